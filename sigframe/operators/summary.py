@@ -20,7 +20,7 @@ def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value: str, probs:
     eps = 2.0 / accuracy
     lows = [max(0.0, p - eps) for p in probs]
     highs = [min(1.0, p + eps) for p in probs]
-    marks = F.percentile_approx(value, [F.lit(q) for q in lows + highs], accuracy)
+    marks = F.percentile_approx(value, lows + highs, accuracy)
     k = len(probs)
     have = df.where(F.col(value).isNotNull())
     bounds = have.groupBy(*group_cols).agg(marks.alias("_m")).select(

@@ -93,9 +93,8 @@ def blocks(df: DataFrame, size: int, *, n_rows: Column, tail: str = "pad", seed:
     elif tail == "pad":
         keys = df.select(*partition_cols).distinct()
         extra = F.pmod(-n_rows, F.lit(size)).cast("int")
-        fill = keys.select(
-            "*", F.explode(F.filter(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: i < extra)).alias("_i")
-        ).withColumn(order_col, (n_rows + F.col("_i")).cast(df.schema[order_col].dataType))
+        fill = keys.select("*", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("_i")).where(
+            F.col("_i") < extra).withColumn(order_col, (n_rows + F.col("_i")).cast(df.schema[order_col].dataType))
         noise = hashed_normal(seed, *partition_cols, order_col)
         others = [c for c in df.columns if c not in (*partition_cols, order_col, *pad_cols)]
         fill = fill.select(
@@ -176,5 +175,6 @@ def trim_edges(df: DataFrame, dropped: int, *, n_rows: Column, fps: float, order
 def masked_mean(value: str | Column, mask: str | Column) -> Column:
     """Aggregate: mean of the values whose mask is set."""
     mask = F.col(mask) if isinstance(mask, str) else mask
+    value = F.col(value) if isinstance(value, str) else value
     return F.avg(F.when(mask.cast("boolean"), value))
 
