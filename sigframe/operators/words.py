@@ -137,7 +137,9 @@ def basis_vector(vectors: DataFrame, positive: Column, negative: Column, *, vect
 
 
 def word_scores(vectors: DataFrame, basis: DataFrame, *, vector_col: str = "vector") -> DataFrame:
-    return vectors.withColumn("score", dot(F.col(vector_col), basis.select("basis").scalar()))
+    """Dot product of every vector with the one basis row."""
+    held = vectors.withColumn("_basis", basis.select("basis").scalar())
+    return held.withColumn("score", dot(F.col(vector_col), F.col("_basis"))).drop("_basis")
 
 
 def clusters(labels: DataFrame, *, cluster_col: str = "cluster", word_col: str = "word", part_rows: int = 1000) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["series", "timing", "texts"]
+MODULES = ["series", "timing", "texts", "maps", "models"]
 
 
 def load():

@@ -54,7 +54,7 @@ def fn_word_spans(spark, d):
 
 
 _PHONES = f"""{TURN_WORDS_SQL}, ok AS (SELECT * FROM turn_words WHERE pos % 13 <> 7 AND pos % 11 <> 5),
-ph AS (SELECT conv_id, turn, pos, CAST(i - 1 AS INTEGER) AS phone_pos, upper(lower(word)[i]) AS phoneme, pos * 0.5 + (i - 1) * 0.125 AS onset FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM ok))"""
+ph AS (SELECT conv_id, turn, pos, CAST(i - 1 AS INTEGER) AS phone_pos, replace(upper(lower(word)[i]), 'ẞ', 'SS') AS phoneme, pos * 0.5 + (i - 1) * 0.125 AS onset FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM ok))"""
 _SYMBOLS = ", ".join(f"('{p}', {i}, '{k}')" for i, (p, k) in enumerate(phonemes.PHONEMES.items()))
 
 

@@ -170,14 +170,14 @@ def m9_block_permutation(spark, d):
     return block_null(spark, d).select("perm", "target", F.round("stat", 6).alias("stat"))
 
 
-@query("m9_user_metric", f"""WITH {_BLOCK_NULL} SELECT perm, d.target, round(avg(abs(s.y - d.p)), 4) AS stat
+@query("m9_user_metric", f"""WITH {_BLOCK_NULL} SELECT perm, d.target, round(avg(abs(s.y - d.p)), 6) AS stat
   FROM map JOIN cut d ON d.b = b1 JOIN cut s ON s.b = b2 AND s.o = d.o AND s.target = d.target GROUP BY 1, 2""")
 def m9_user_metric(spark, d):
     def mean_gap(t, p):
         return abs(t - p).mean(axis=0)
 
     out = inference.permutation_metric(blocked(spark, d), block_perms(spark, d), mean_gap)
-    return out.select("perm", "target", F.round("stat", 4).alias("stat"))
+    return out.select("perm", "target", F.round("stat", 6).alias("stat"))
 
 
 @query("m10_timeshift", f"""WITH {regular_sql()}, {_SCORED}, m AS (SELECT max(t) + 1 AS n FROM scored), s AS (SELECT unnest(range(0, (SELECT max(t) + 1 FROM scored), 24)) AS s)
