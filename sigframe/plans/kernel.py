@@ -26,11 +26,12 @@ class Kernels:
         self.spark, self.spaces = x.sparkSession, list(spaces)
         # a few samples, numbered in one small table
         place = written(x.select(run_col, t_col, (F.row_number().over(Window.orderBy(run_col, t_col)) - 1).alias("i")), "rows")
-        self.rows = place.orderBy("i").collect()
+        self.place = place
+        numbered = place.orderBy("i").collect()
         sides = {}
         for r in folds.where("is_val").select("fold", run_col).collect():
             sides.setdefault(r["fold"], set()).add(r[run_col])
-        runs = np.array([r[run_col] for r in self.rows])
+        runs = np.array([r[run_col] for r in numbered])
         self.val = [np.isin(runs, sorted(sides[f])) for f in sorted(sides)]
         space = F.coalesce(*[F.when((F.col("j") >= s) & (F.col("j") < e), F.lit(n)) for n, s, e in self.spaces])
         cells = x.join(place, [run_col, t_col]).select("i", F.posexplode("x").alias("j", "v"))
@@ -97,11 +98,15 @@ class Kernels:
         """(target, coef[]) on the features: gamma_k X_k' dual, as a sum over the few sample rows."""
         from sigframe.functions.arrays import vector_sum
 
-        place = self.spark.createDataFrame([(r[run_col], r[t_col], r["i"]) for r in self.rows], x.select(run_col, t_col).schema.add("i", "int"))
+        place = self.place.select(run_col, t_col, "i")
         weights = fit.coef.select("target", F.posexplode("coef").alias("i", "w"))
         sums = x.join(place, [run_col, t_col]).join(weights, "i").groupBy("target").agg(
             vector_sum(F.transform("x", lambda v: v * F.col("w"))).alias("s"))
         gammas = fit.deltas.join(fit.choice, "target").select("target", "space", (F.exp("delta") * F.col("alpha")).alias("g"))
         per = gammas.groupBy("target").agg(F.map_from_entries(F.collect_list(F.struct("space", "g"))).alias("m"))
-        parts = [F.transform(F.slice("s", s + 1, e - s), lambda v, n=n: v * F.try_element_at("m", F.lit(n))) for n, s, e in self.spaces]
+
+        def weighted(name: str, start: int, end: int):
+            return F.transform(F.slice("s", start + 1, end - start), lambda v: v * F.try_element_at("m", F.lit(name)))
+
+        parts = [weighted(*space) for space in self.spaces]
         return sums.join(per, "target").select("target", F.concat(*parts).alias("coef"))
