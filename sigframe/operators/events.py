@@ -45,12 +45,12 @@ def regressors(df: DataFrame, form: str, *, offset: float = 0.0, min_duration: f
 
 
 def regressor_lines(df: DataFrame, *, partition_cols: Sequence[str] = ("run",), order_cols: Sequence[str] = ("onset",),
-                    bucket: Column, per_part: int = 1000) -> DataFrame:
+                    buckets: Sequence[Column], per_part: int = 1000) -> DataFrame:
     """Event texts joined by spaces in order, as numbered parts of at most ``per_part`` events.
 
     Joining a run's parts in order with spaces gives its line; no run is ever gathered whole.
     """
-    placed = row_index(df, partition_cols=partition_cols, order_cols=order_cols, bucket=bucket, name="_pos")
+    placed = row_index(df, partition_cols=partition_cols, order_cols=order_cols, buckets=buckets, name="_pos")
     part = F.floor(F.col("_pos") / per_part).cast("long")
     grouped = placed.groupBy(*partition_cols, part.alias("part")).agg(
         F.array_sort(F.collect_list(F.struct("_pos", "regressor"))).alias("_e"))

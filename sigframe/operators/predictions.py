@@ -123,7 +123,7 @@ def prediction_statistics(probs: DataFrame, truth: DataFrame, vector_tables: dic
         F.array_sort(F.collect_list(F.struct("rank", "token"))).alias("_t"), F.max("prob").alias("top_prob"))
     out = (
         truth.select(*keys, F.col("word").alias("ground_truth_word"))
-        .join(word_prob(truth, probs, keys=keys), keys)
+        .join(uncertainty(probs, truth, run_cols=run_cols, pos=pos), keys)
         .join(lists.select(*keys, F.col("_t.token").alias("top_n_predictions"), "top_prob"), keys)
         .withColumn("binary_accuracy", F.array_contains("top_n_predictions", F.col("ground_truth_word")))
     )
@@ -134,5 +134,29 @@ def prediction_statistics(probs: DataFrame, truth: DataFrame, vector_tables: dic
             out = out.withColumns({c: F.lit(None).cast("double") for c in made})
         else:
             out = out.join(similarity(top, truth, table, keys=keys, prefix=f"{name}_"), keys, "left")
-    return out.join(entropy(probs, keys=keys), keys).join(
-        relative_entropy(probs, run_cols=run_cols, pos=pos), keys, "left")
+    return out
+
+
+def uncertainty(probs: DataFrame, truth: DataFrame, *, run_cols: Sequence[str] = ("run",), pos: str = "pos") -> DataFrame:
+    """(run, pos, ground_truth_prob, entropy, relative_entropy) from one pass over the predictions.
+
+    A prediction counts for its own position and as the past of the next, a truth token asks
+    for its probability; one grouping by token and one by position give all three numbers.
+    """
+    keys = [*run_cols, pos]
+    zero, none = F.lit(0.0), F.lit(0)
+    mine = probs.select(*run_cols, "token", F.explode(F.array(
+        F.struct(F.col(pos).alias("at"), F.col("prob").alias("p"), zero.alias("q"), none.alias("asked")),
+        F.struct((F.col(pos) + 1).alias("at"), zero.alias("p"), F.col("prob").alias("q"), none.alias("asked")))).alias("s"))
+    asked = truth.select(*run_cols, F.explode("tokens").alias("token"), F.struct(
+        F.col(pos).alias("at"), zero.alias("p"), zero.alias("q"), F.lit(1).alias("asked")).alias("s"))
+    cells = mine.unionByName(asked).groupBy(*run_cols, F.col("s.at").alias(pos), "token").agg(
+        F.max("s.p").alias("p"), F.max("s.q").alias("q"), F.sum("s.asked").alias("asked"))
+    p, q = F.col("p"), F.col("q")
+    term = F.when((p > 0) & (q > 0), p * F.ln(p / q) - p + q).when(p > 0, 0.0).otherwise(q)
+    sums = cells.groupBy(*keys).agg(
+        F.sum("p").alias("_p"), F.sum("q").alias("_q"), F.sum(F.when(p > 0, p * F.ln(p)).otherwise(0.0)).alias("_plp"),
+        F.sum(term).alias("_kl"), F.try_divide(F.sum(p * F.col("asked")), F.sum("asked")).alias("ground_truth_prob"))
+    return sums.where("_p > 0").select(
+        *keys, "ground_truth_prob", (F.ln("_p") - F.col("_plp") / F.col("_p")).alias("entropy"),
+        F.when(F.col("_q") > 0, F.col("_kl")).alias("relative_entropy"))

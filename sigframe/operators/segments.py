@@ -59,26 +59,34 @@ def row_index(
     *,
     partition_cols: Sequence[str],
     order_cols: Sequence[str | Column],
-    bucket: Column,
+    buckets: Sequence[Column],
     name: str = "t",
 ) -> DataFrame:
     """Dense 0-based position of each row in its run.
 
-    ``bucket`` is any value that never decreases along the order (an hour number, say).
-    Counting per bucket first keeps every window inside one bucket.
+    ``buckets`` never decrease along the order and get finer from left to right (day, then
+    minute, say). Rows are ranked inside their finest bucket only; bucket starts come from
+    counts, one level at a time, so no window spans a run's rows.
     """
-    keyed = df.withColumn("_bucket", bucket)
-    sizes = keyed.groupBy(*partition_cols, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*partition_cols).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(
-        *partition_cols, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start")
-    )
-    local = Window.partitionBy(*partition_cols, "_bucket").orderBy(*order_cols)
+    parts = list(partition_cols)
+    levels = [f"_b{i}" for i in range(len(buckets))]
+    keyed = df.select("*", *[b.alias(n) for b, n in zip(buckets, levels)])
+    starts = keyed.groupBy(*parts, *levels).agg(F.count(F.lit(1)).alias("_n"))
+    finest = starts
+    for depth in range(1, len(levels) + 1):
+        here = levels[:depth]
+        sizes = finest.groupBy(*parts, *here).agg(F.sum("_n").alias("_size"))
+        earlier = Window.partitionBy(*parts, *here[:-1]).orderBy(here[-1]).rowsBetween(Window.unboundedPreceding, -1)
+        before = F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias(f"_s{depth}")
+        starts = starts.join(sizes.select(*parts, *here, before), [*parts, *here])
+    start = sum((F.col(f"_s{i + 1}") for i in range(len(levels))), F.lit(0))
+    starts = starts.select(*parts, *levels, start.alias("_start"))
+    local = Window.partitionBy(*parts, *levels).orderBy(*order_cols)
     return (
         keyed.withColumn("_rn", F.row_number().over(local))
-        .join(starts, [*partition_cols, "_bucket"])
+        .join(starts, [*parts, *levels])
         .withColumn(name, (F.col("_start") + F.col("_rn") - 1).cast("long"))
-        .drop("_bucket", "_rn", "_start")
+        .drop(*levels, "_rn", "_start")
     )
 
 

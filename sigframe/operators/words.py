@@ -8,7 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sigframe.functions.arrays import dot, one_hot, subtract, unit, vector_mean, vector_sum
+from sigframe.functions.arrays import dot, one_hot, pad_front, subtract, unit, vector_mean, vector_sum
+from sigframe.operators.resample import context_windows
 from sigframe.operators.segments import SEG, SEGMENT_ROWS, halo, over_rows
 
 
@@ -46,7 +47,8 @@ def phone_rows(words: DataFrame) -> DataFrame:
 
 def phoneme_features(words: DataFrame, phonemes: DataFrame) -> DataFrame:
     """One-hot phonemes at their onsets; unknown symbols drop out but keep their time."""
-    return phone_rows(words).join(F.broadcast(phonemes), "phoneme").withColumn("features", one_hot(F.col("idx"), 39))
+    # 39 rows by definition, so a broadcast of fixed size; the vectors are made on that side
+    return phone_rows(words).join(F.broadcast(phonemes.withColumn("features", one_hot(F.col("idx"), 39))), "phoneme")
 
 
 def context_strings(words: DataFrame, window: int, *, bidirectional: bool = False, punctuation: bool = False,
@@ -65,34 +67,63 @@ def context_means(words: DataFrame, window: int, *, vector_col: str = "vector",
                   order_col: str = "pos", rows: int = 4096) -> DataFrame:
     """The default context encoder: mean of the known word vectors in each left window.
 
-    Rows arrive sorted per document segment with a margin; whole Arrow batches are averaged
-    with running sums, so cost does not depend on the window.
+    Rows arrive sorted by document segment, each with its margin. Arrow batches run across
+    documents; a batch carries the last rows of the one before, and running sums make the cost
+    independent of the window.
     """
     parts = list(partition_cols)
+    order = [*parts, SEG]
     margin = halo(words.select(*parts, order_col, vector_col), order_col, window - 1, 0, rows)
+    margin = margin.repartition(*order).sortWithinPartitions(*order, order_col)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in words.select(*parts, order_col).schema)
 
-    def average(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order_col)
-        pos = pdf[order_col].to_numpy()
-        known = np.array([v is not None for v in pdf[vector_col]], dtype=bool)
-        mine = pos // rows == key[-1]
-        if not known.any():
-            pdf = pdf[mine]
-            return pdf.assign(context_vector=None)[[*parts, order_col, "context_vector"]]
-        mat = np.zeros((len(pos), len(next(v for v in pdf[vector_col] if v is not None))))
-        mat[known] = np.stack(pdf[vector_col].to_numpy()[known]).astype(float)
-        total = np.vstack([np.zeros((1, mat.shape[1])), np.cumsum(mat, axis=0)])
-        count = np.concatenate([[0], np.cumsum(known)])
-        low = np.searchsorted(pos, pos - (window - 1))
-        high = np.arange(len(pos)) + 1
-        n = count[high] - count[low]
-        mean = (total[high] - total[low]) / np.maximum(n, 1)[:, None]
-        out = pdf[mine][[*parts, order_col]].copy()
-        out["context_vector"] = [m if c else None for m, c in zip(mean[mine], n[mine])]
-        return out
+    def average(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tail = None
+        for pdf in batches:
+            old = 0 if tail is None else len(tail)
+            both = pdf if tail is None else pd.concat([tail, pdf], ignore_index=True)
+            tail = both.iloc[max(len(both) - (window - 1), 0):] if window > 1 else None
+            known = both[vector_col].notna().to_numpy()
+            at = np.arange(len(both))
+            group = both[order]
+            fresh = (group != group.shift()).any(axis=1).to_numpy()
+            low = np.maximum(np.maximum.accumulate(np.where(fresh, at, 0)), at - (window - 1))
+            mine = (at >= old) & (both[order_col].to_numpy() // rows == both[SEG].to_numpy())
+            out = both.loc[mine, [*parts, order_col]].copy()
+            if not known.any():
+                out["context_vector"] = None
+                yield out
+                continue
+            vecs = np.stack(both.loc[known, vector_col].to_numpy()).astype(float)
+            count = np.concatenate([[0], np.cumsum(known)])
+            total = np.vstack([np.zeros((1, vecs.shape[1])), np.cumsum(vecs, axis=0)])
+            first, last = count[low[mine]], count[at[mine] + 1]
+            mean = (total[last] - total[first]) / np.maximum(last - first, 1)[:, None]
+            out["context_vector"] = [m if n else None for m, n in zip(mean, last - first)]
+            yield out
+
+    return margin.mapInPandas(average, f"{ddl}, context_vector array<double>")
+
+
+def windowed_model(df: DataFrame, model: Callable[[np.ndarray], np.ndarray], *, step: float, width: float, n_steps: Column,
+                   samples_per_window: int, keys: Sequence[str] = ("run",), time_col: str = "time", value_col: str = "value") -> DataFrame:
+    """A user model ``(windows, samples) -> (windows, features)`` over context windows.
+
+    Windows are padded with zeros in front to ``samples_per_window`` (longer ones keep all their
+    samples and are passed on one by one).
+    """
+    spread = context_windows(df, step=step, width=width, n_steps=n_steps, time_col=time_col)
+    cells = F.array_sort(F.collect_list(F.struct(time_col, value_col)))
+    packed = spread.groupBy(*keys, "k").agg(cells.alias("c")).select(
+        *keys, "k", pad_front(F.col(f"c.{value_col}"), samples_per_window).alias("samples"))
+    ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in packed.select(*keys, "k").schema)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for _, part in pdf.groupby(pdf["samples"].str.len()):
+                yield part[[*keys, "k"]].assign(features=list(model(np.stack(part["samples"]).astype(float))))
 
-    return margin.groupBy(*parts, SEG).applyInPandas(average, f"{ddl}, context_vector array<double>")
+    return packed.mapInPandas(run, f"{ddl}features array<double>")
 
 
 def encode_batches(df: DataFrame, encoder: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str,
@@ -154,12 +185,14 @@ def clusters(labels: DataFrame, *, cluster_col: str = "cluster", word_col: str =
 
 
 def silhouette(df: DataFrame, *, id_col: str = "word", cluster_col: str = "cluster", vector_col: str = "vector",
-               normalise: bool = True, tiles: int = 8) -> DataFrame:
+               normalise: bool = True, tiles: int | None = None) -> DataFrame:
     """Exact per-item silhouette with Euclidean distances.
 
     Items go to ``tiles`` hash tiles. Each pair of tiles is one matrix product that yields only
-    distance totals per (item, other cluster); pairs are never rows.
+    distance totals per (item, other cluster); pairs are never rows. The number of tiles grows
+    with the table unless given.
     """
+    tiles = tiles or max(1, -(-df.count() // 2000))
     vec = unit(F.col(vector_col).cast("array<double>")) if normalise else F.col(vector_col).cast("array<double>")
     tile = F.pmod(F.xxhash64(id_col), F.lit(tiles)).cast("int")
     rows = df.select(F.col(id_col).alias("id"), F.col(cluster_col).alias("c"), vec.alias("v"), tile.alias("tile"))

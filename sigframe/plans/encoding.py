@@ -12,6 +12,7 @@ from sigframe.functions.arrays import subtract, vector_mean
 from sigframe.operators.windows import delay
 from sigframe.plans.kernel import Kernels
 from sigframe.plans.ridge import ALPHAS, Banded, Fit, prepare, prepare_group, random_gammas
+from sigframe.session import written
 
 DELAYS = (1, 2, 3, 4)
 SOLVERS: dict[str, Callable] = {}
@@ -58,6 +59,24 @@ def _group_search(x, y, folds, spaces, *, banded, gammas, alphas, n_chunks, cent
     return data, data.search(gammas, alphas)
 
 
+def _gradient_search(x, y, folds, spaces, *, banded, gammas, alphas, n_chunks, centre_y):
+    """Start every target from one shared weight with its best penalty, then descend."""
+    data = prepare(x, y, folds, spaces, n_chunks=n_chunks, centre_y=centre_y)
+    k = len(spaces)
+    start = data.search(np.full((1, k), 1.0 / k), alphas)
+    refined, _ = data.refine(start, max_iter=len(gammas))
+    refined = written(refined, "refined")
+    names = F.array(*[F.lit(n) for n, _, _ in spaces])
+    deltas = refined.select("target", F.posexplode("deltas").alias("i", "delta")).select(
+        "target", F.element_at(names, F.col("i") + 1).alias("space"), "delta")
+    choice = start.choice.join(refined.select("target", (-F.col("loss")).alias("_s")), "target", "left").select(
+        "target", "gamma_id", "alpha", F.coalesce("_s", "score").alias("score"))
+    kept = start.coef.join(refined, "target", "left_anti").unionByName(refined.select("target", "coef"))
+    rest = start.deltas.join(refined, "target", "left_anti").unionByName(deltas)
+    return data, Fit(kept, rest, choice, start.cv_scores)
+
+
+SOLVERS["hyper_gradient"] = _gradient_search
 SOLVERS["random_search"] = _random_search
 SOLVERS["group_level_random_search"] = _group_search
 
@@ -79,7 +98,7 @@ def fit_encoding(x: DataFrame, y: DataFrame, folds: DataFrame, spaces: Sequence[
     wide_x, wide = delayed_features(x, stats["m"], delays, bands, partition_cols=partition_cols)
     if gammas is None:
         gammas = np.ones((1, 1)) if single else random_gammas(n_iter, [b[0] for b in bands], seed)
-    banded = single or stats["n"] > len(stats["m"]) or force_banded
+    banded = single or solver == "hyper_gradient" or stats["n"] > len(stats["m"]) or force_banded
     data, fit = SOLVERS[solver](wide_x, y, folds, wide, banded=banded, gammas=np.asarray(gammas, float), alphas=alphas,
                                 n_chunks=n_chunks, centre_y=centre_y)
     kind = "ridge" if single else "banded" if banded else "kernel"

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import re
 
-from sigframe.operators.segments import fill_linear
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 WORD = (
     "struct<word:string,alignedWord:string,`case`:string,start:double,`end`:double,"
@@ -25,21 +27,36 @@ def parse_transcripts(df: DataFrame, json_col: str, start_offset: float | None =
     return word_rows(parsed, start_offset)
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def fill_gaps(starts: pd.Series) -> pd.Series:
+    """Straight-line fill by position: leading gap stays missing, trailing gap holds the last value."""
+    def one(values):
+        v = np.array([np.nan if x is None else x for x in values], dtype=float)
+        at = np.flatnonzero(~np.isnan(v))
+        if not len(at):
+            return [None] * len(v)
+        out = np.interp(np.arange(len(v)), at, v[at])
+        return [None] * at[0] + out[at[0]:].tolist()
+
+    return starts.map(lambda values: None if values is None else one(values))
+
+
 def word_rows(docs: DataFrame, start_offset: float | None = None) -> DataFrame:
     """(doc, transcript, words[]) to words with punctuation, filled starts and lower case.
 
-    The next word's offset and the transcript slice are taken while the array is still whole,
-    so no window is needed for punctuation.
+    A file is one row with one word array, so the next word's offset, the transcript slice and
+    the filled starts are all taken before the array is exploded: nothing is shuffled.
     """
     n = F.size("words")
+    filled = docs.withColumn("_starts", fill_gaps(F.transform("words", lambda w: w["start"])))
     items = F.transform(
-        F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
-        lambda i: F.struct(
-            F.get("words", i).alias("w"),
-            _slice(F.col("transcript"), F.get("words", i)["endOffset"], F.get("words", i + 1)["startOffset"]).alias("punctuation")))
-    rows = docs.where(n > 0).select("doc", F.posexplode(items).alias("pos", "i")).select(
-        "doc", "pos", "i.w.*", "i.punctuation")
-    out = fill_linear(rows, "start", partition_cols=["doc"], order_col="pos").withColumn("word", F.lower("word"))
+        F.arrays_zip(F.col("words").alias("w"), F.col("_starts").alias("s"),
+                     F.slice("words", F.lit(2), F.greatest(n, F.lit(0))).alias("next")),
+        lambda z: F.struct(
+            z["w"].alias("w"), z["s"].alias("s"),
+            _slice(F.col("transcript"), z["w"]["endOffset"], z["next"]["startOffset"]).alias("punctuation")))
+    rows = filled.select("doc", F.posexplode(items).alias("pos", "i")).select("doc", "pos", "i.w.*", "i.s", "i.punctuation")
+    out = rows.withColumns({"start": F.col("s"), "word": F.lower("word")}).drop("s")
     if start_offset:
         out = out.withColumns({"start": F.col("start") - start_offset, "end": F.col("end") - start_offset})
     return out
@@ -55,27 +72,23 @@ def words_of(df: DataFrame, doc_cols: list[str], text_col: str = "text") -> Data
     return df.select(*doc_cols, F.posexplode(tokens(F.col(text_col))).alias("pos", "word"))
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"(\S+)"), F.lit(1))
+SPANS = T.ArrayType(T.StructType([
+    T.StructField("word", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
+# Runs of characters that are no white space in the Unicode sense.
+WORD_PATTERN = r"[^\s\x1c-\x1f\x85\p{Z}]+"
 
-def word_spans(df: DataFrame, doc_cols: list[str], text_col: str = "text") -> DataFrame:
-    """(pos, word, start, end) with inclusive character spans.
 
-    Word and gap lengths alternate, so spans are running sums over the split, inside the row.
-    """
-    gaps = F.split(F.col(text_col), r"\S+")
-    toks = tokens(F.col(text_col))
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<word:string,start:int,end:int>>").alias("out"))
-    pairs = F.zip_with(toks, F.slice(gaps, 1, F.greatest(F.size(toks), F.lit(1))), lambda w, g: F.struct(w.alias("w"), g.alias("g")))
+def tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"({WORD_PATTERN})"), F.lit(1))
 
-    def add(state, item):
-        start = state["at"] + F.coalesce(F.char_length(item["g"]), F.lit(0))
-        stop = start + F.char_length(item["w"])
-        return F.struct(stop.alias("at"), F.concat(state["out"], F.array(
-            F.struct(item["w"].alias("word"), start.alias("start"), (stop - 1).alias("end")))).alias("out"))
 
-    spans = F.aggregate(pairs, first, add, lambda s: s["out"])
-    return df.select(*doc_cols, F.posexplode(spans).alias("pos", "s")).select(*doc_cols, "pos", "s.*")
+@F.pandas_udf(SPANS)
+def span_list(text: pd.Series) -> pd.Series:
+    """Words of each text with inclusive character spans."""
+    return text.map(lambda t: [{"word": m.group(), "start": m.start(), "end": m.end() - 1} for m in re.finditer(r"\S+", t or "")])
 
 
+def word_spans(df: DataFrame, doc_cols: list[str], text_col: str = "text") -> DataFrame:
+    """(pos, word, start, end) of every word."""
+    return df.select(*doc_cols, F.posexplode(span_list(text_col)).alias("pos", "s")).select(*doc_cols, "pos", "s.*")

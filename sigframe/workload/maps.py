@@ -233,7 +233,7 @@ for _i, _form in enumerate(("times", "am", "dm", "dm_am")):
 SELECT run, CAST(pos // 500 AS BIGINT) AS part, string_agg(printf('%.2f', onset), ' ' ORDER BY pos) AS line FROM o GROUP BY 1, 2""")
 def s12_regressor_lines(spark, d):
     out = events.regressors(stimuli(spark, d), "times")
-    return events.regressor_lines(out, order_cols=["onset", "l_orderkey", "l_linenumber"], bucket=F.col("onset"), per_part=500)
+    return events.regressor_lines(out, order_cols=["onset", "l_orderkey", "l_linenumber"], buckets=[F.col("onset"), F.floor(F.col("l_orderkey") / 4096)], per_part=500)
 
 
 @query("s12_written_regressors", f"WITH {_EV} SELECT run, count(*) AS n, round(sum(onset), 2) AS total FROM ev WHERE note IS NOT NULL GROUP BY run")
@@ -341,3 +341,73 @@ def s2_components_json(spark, d):
   SELECT doc_id, i, trim(l[i], e' ') AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '\r?\n') AS l FROM documents))) WHERE line <> ''""")
 def s5_line_labels(spark, d):
     return tables.line_labels(table(spark, d, "documents"), F.col("text"), "doc_id")
+
+
+# -- files: tables written in the formats the readers take, then read back ------------------------------------
+
+@query("s3_region_table", "SELECT CAST(n_nationkey + 1 AS INTEGER) AS parcel_index, n_name AS area, 'Area of' || chr(10) || '\"' || r_name || '\"' AS description, r_name AS aggregate_label, CAST(NULL AS VARCHAR) AS cortex FROM nation JOIN region ON n_regionkey = r_regionkey")
+def s3_region_table(spark, d):
+    from sigframe.session import shared_dir
+
+    path = f"{shared_dir(spark)}/regions"
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = n.select((F.col("n_nationkey") + 1).alias("parcel_index"), F.col("n_name").alias("area"), F.concat(F.lit("Area of\n\""), "r_name", F.lit("\"")).alias("description"),
+                    F.col("r_name").alias("aggregate_label"), F.lit(None).cast("string").alias("cortex"))
+    rows.write.csv(path, header=True, quoteAll=False, escape='"')
+    return tables.read_region_table(spark, path)
+
+
+@query("s4_colour_table", "SELECT CAST(n_nationkey AS INTEGER) AS parcel_index, replace(n_name, ' ', '_') AS aggregate_label FROM nation")
+def s4_colour_table(spark, d):
+    from sigframe.session import shared_dir
+
+    path = f"{shared_dir(spark)}/colours"
+    n = table(spark, d, "nation").select(F.concat_ws(" ", "n_nationkey", F.replace("n_name", F.lit(" "), F.lit("_"))).alias("value"))
+    n.write.text(path)
+    return tables.read_colour_table(spark, path)
+
+
+@query("s2_confound_table", f"WITH {_CONF} SELECT t, trans_x, cosine00, CASE WHEN t = 0 THEN NULL ELSE a_comp_cor_2 END AS a_comp_cor_2 FROM conf")
+def s2_confound_table(spark, d):
+    from sigframe.session import shared_dir
+
+    path = f"{shared_dir(spark)}/confounds"
+    rows = confound_table(spark, d).select("t", "trans_x", "cosine00", F.when(F.col("t") != 0, F.col("a_comp_cor_2")).alias("a_comp_cor_2"))
+    rows.write.csv(f"{path}/run.tsv", sep="\t", header=True, nullValue="n/a")
+    sidecar = rows.agg(F.to_json(F.create_map(F.lit("a_comp_cor_2"), F.struct(F.lit("aCompCor").alias("Method"), F.lit(True).alias("Retained"), F.stddev_pop("trans_x").alias("SingularValue")))).alias("value"))
+    sidecar.write.text(f"{path}/run.json")
+    wide, comps = tables.read_confounds(spark, f"{path}/run.tsv")
+    return wide.where(comps.agg(F.count(F.lit(1))).scalar() == 1)
+
+
+@query("s7_banded_files", f"WITH {regular_sql()} SELECT run, t, CAST(f AS INTEGER) AS feature, CASE f WHEN 0 THEN value ELSE CAST(n AS DOUBLE) END AS x FROM series, (SELECT unnest([0, 1]) AS f)")
+def s7_banded_files(spark, d):
+    from sigframe.session import shared_dir
+
+    path = shared_dir(spark)
+    s = series(spark, d)
+    s.select("run", "t", F.array("value").alias("x")).write.parquet(f"{path}/amount")
+    s.select("run", "t", F.array(F.col("n").cast("double")).alias("x")).write.parquet(f"{path}/count")
+    x, _ = tables.read_banded_features(spark, [f"{path}/amount", f"{path}/count"], ["amount", "count"])
+    return x.select("run", "t", F.posexplode("x").alias("feature", "x"))
+
+
+@query("s8_word_vectors", "SELECT 'w' || vec_id AS word, CAST(i - 1 AS INTEGER) AS dim, round(CAST(embedding[i] AS DOUBLE), 6) AS value FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings)")
+def s8_word_vectors(spark, d):
+    from sigframe.session import shared_dir
+
+    path = f"{shared_dir(spark)}/vectors"
+    e = table(spark, d, "embeddings")
+    e.select(F.concat_ws(" ", F.concat(F.lit("w"), "vec_id"), F.array_join(F.col("embedding").cast("array<string>"), " ")).alias("value")).write.text(path)
+    v = tables.read_word_vectors(spark, path)
+    return v.select("word", F.posexplode("vector").alias("dim", "value")).select("word", "dim", F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
+@query("s13_logits", "SELECT event_type AS run, event_id AS pos, CAST(user_id AS VARCHAR) AS token, value AS logit FROM events")
+def s13_logits(spark, d):
+    from sigframe.session import shared_dir
+
+    path = f"{shared_dir(spark)}/logits"
+    e = table(spark, d, "events").select(F.col("event_type").alias("run"), F.col("event_id").alias("pos"), F.col("user_id").cast("string").alias("token"), F.col("value").alias("logit"))
+    tables.write_logits(e, path)
+    return spark.read.parquet(path).select("run", "pos", "token", "logit")

@@ -216,6 +216,12 @@ def m5_single_space(spark, d):
     return model.fit.choice.select("target", "alpha", "score")
 
 
+@query("m5_gradient_search")
+def m5_gradient_search(spark, d):
+    model = encoded(spark, d, solver="hyper_gradient")
+    return model.fit.deltas.join(model.fit.choice, "target").select("target", "space", "delta", "score")
+
+
 @query("m5b_refine")
 def m5b_refine(spark, d):
     model = encoded(spark, d)
@@ -282,6 +288,11 @@ def m8_scree(spark, d):
     return _scree(spark, d).select("s_nationkey", "s_suppkey", "component", F.round("explained_ratio", 6).alias("explained_ratio"), F.round("cumulative", 6).alias("cumulative"), "selected")
 
 
+@query("a21_cumulative_variance", f"WITH {_SCREE} SELECT s_nationkey, CAST(component AS INTEGER) AS component, round(cumulative, 6) AS cumulative FROM sc")
+def a21_cumulative_variance(spark, d):
+    return _scree(spark, d).select("s_nationkey", "component", F.round("cumulative", 6).alias("cumulative"))
+
+
 @query("a22_components_needed", f"WITH {_SCREE} SELECT s_nationkey, CAST(coalesce(min(component) FILTER (WHERE cumulative >= 0.8), max(component)) AS INTEGER) AS n_components FROM sc GROUP BY 1")
 def a22_components_needed(spark, d):
     return decomposition.needed_components(_scree(spark, d), 0.8, keys=["s_nationkey"])

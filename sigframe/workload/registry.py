@@ -22,4 +22,18 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
+
+
+# Tables whose rows grow a lot when they are cut into words.
+TEXT_TABLES = ("documents", "conversations")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the input has fewer splits than that (one small file).
+
+    Large inputs have enough splits of their own and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -187,7 +187,7 @@ SELECT run, event_id, CAST(row_number() OVER (PARTITION BY run ORDER BY ts) - 1
   round(sum(value) OVER (PARTITION BY run ORDER BY ts ROWS UNBOUNDED PRECEDING), 2) AS running FROM samples""")
 def w4_row_index(spark, d):
     s = samples(spark, d)
-    t = segments.row_index(s, partition_cols=["run"], order_cols=["time"], bucket=F.floor(F.col("time") / HOUR))
+    t = segments.row_index(s, partition_cols=["run"], order_cols=["time"], buckets=[F.floor(F.col("time") / HOUR), F.floor(F.col("time") / 60)])
     out = segments.running_sum(t, F.col("value"), "running", partition_cols=["run"], order_col="t")
     return out.select("run", "event_id", "t", F.round("running", 2).alias("running"))
 
@@ -201,7 +201,7 @@ k AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN t END IGNORE NULLS) OVER
 SELECT run, event_id, round(CASE WHEN v IS NOT NULL THEN v WHEN t0 IS NULL THEN NULL WHEN t1 IS NULL THEN v0
   ELSE v0 + (v1 - v0) * ((t - t0) / CAST(t1 - t0 AS DOUBLE)) END, 4) AS value FROM k""")
 def w4_interpolate(spark, d):
-    s = segments.row_index(samples(spark, d), partition_cols=["run"], order_cols=["time"], bucket=F.floor(F.col("time") / HOUR))
+    s = segments.row_index(samples(spark, d), partition_cols=["run"], order_cols=["time"], buckets=[F.floor(F.col("time") / HOUR), F.floor(F.col("time") / 60)])
     gaps = s.withColumn("value", F.when(~(F.col("t") % 7).isin(0, 3, 4), F.col("value")))
     out = segments.fill_linear(gaps, "value", partition_cols=["run"], order_col="t", rows=64)
     return out.select("run", "event_id", F.round("value", 4).alias("value"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sigframe.functions.arrays import cosine
 from sigframe.operators import predictions, words
+from sigframe.session import written
 from sigframe.sources import catalog, phonemes, transcripts
 from sigframe.workload.base import (
     DOC_WORDS_SQL, TURN_WORDS_SQL, WORD_KEY_SQL, doc_words, turn_words, vectors, word_key,
@@ -18,20 +19,19 @@ TURN = ("conv_id", "turn")
 # -- transcripts: conversation turns become alignment JSON -------------------------------------------
 
 def alignments(spark, d) -> DataFrame:
-    """Turns as transcript documents: spans from the text, letters as phones, gaps in ``start``."""
-    spans = transcripts.word_spans(table(spark, d, "conversations").withColumn("doc", F.concat_ws("-", "conv_id", "turn")), ["doc", "text"])
-    letters = F.filter(F.split(F.lower("word"), ""), lambda c: c != "")
-    word = F.struct(
-        "pos", F.col("word").alias("word"), F.when(F.col("pos") % 11 == 5, "<unk>").otherwise(F.lower("word")).alias("alignedWord"),
-        F.when(F.col("pos") % 13 == 7, "not-found-in-audio").otherwise("success").alias("case"),
-        F.when(~(F.col("pos") % 7).isin(0, 3), F.col("pos") * 0.5).alias("start"), (F.col("pos") * 0.5 + 0.25).alias("end"),
-        F.col("start").alias("startOffset"), (F.col("end") + 1).alias("endOffset"),
-        F.transform(letters, lambda c: F.struct(F.concat(c, F.lit("_B")).alias("phone"), F.lit(0.125).alias("duration"))).alias("phones"))
-    # the words of one document are the array the file format holds
-    docs = spans.groupBy("doc", "text").agg(F.array_sort(F.collect_list(word)).alias("w"))
-    items = F.transform("w", lambda x: F.struct(*[x[c].alias(c) for c in (
-        "word", "alignedWord", "case", "start", "end", "startOffset", "endOffset", "phones")]))
-    return docs.select("doc", F.to_json(F.struct(F.col("text").alias("transcript"), items.alias("words"))).alias("json"))
+    """Turns as transcript documents: spans from the text, gaps in ``start``."""
+    docs = table(spark, d, "conversations").select(
+        F.concat_ws("-", "conv_id", "turn").alias("doc"), "text", transcripts.span_list("text").alias("spans"))
+
+    def word(s, i):
+        return F.struct(
+            s["word"].alias("word"), F.when(i % 11 == 5, "<unk>").otherwise(F.lower(s["word"])).alias("alignedWord"),
+            F.when(i % 13 == 7, "not-found-in-audio").otherwise("success").alias("case"),
+            F.when(~(i % 7).isin(0, 3), i * 0.5).alias("start"), (i * 0.5 + 0.25).alias("end"),
+            s["start"].alias("startOffset"), (s["end"] + 1).alias("endOffset"))
+
+    words_ = F.transform("spans", word)
+    return docs.select("doc", F.to_json(F.struct(F.col("text").alias("transcript"), words_.alias("words"))).alias("json"))
 
 
 _SPANS = r"""docs AS (SELECT conv_id || '-' || turn AS doc, text, regexp_extract_all(text, '\S+') AS w, regexp_split_to_array(text, '\S+') AS g FROM conversations),
@@ -301,7 +301,7 @@ den AS (SELECT a.run, a.pos, avg(1 - list_cosine_similarity(a.e, b.e)) AS densit
 @query("j12_similarity", f"WITH {_SHARES}, {_SIM} SELECT run, pos, round(mean_cos, 6) AS avg_accuracy, round(max_cos, 6) AS max_accuracy, round(density, 6) AS prediction_density FROM sim LEFT JOIN den USING (run, pos)")
 def j12_similarity(spark, d):
     top = predictions.top_n(shares(spark, d), 3)
-    out = predictions.similarity(top, truths(spark, d), word_vector_table(spark, d))
+    out = predictions.similarity(top, truths(spark, d), written(word_vector_table(spark, d)))
     return out.withColumns({c: F.round(c, 6) for c in ("avg_accuracy", "max_accuracy", "prediction_density")})
 
 
@@ -312,7 +312,9 @@ SELECT run, pos, word AS ground_truth_word, round(prob, 9) AS ground_truth_prob,
   round(density, 6) AS glove_prediction_density, CAST(NULL AS DOUBLE) AS word2vec_avg_accuracy, round(entropy, 6) AS entropy, CASE WHEN nq > 0 THEN round(kl, 6) END AS relative_entropy
 FROM truths t JOIN tl USING (run, pos) JOIN (SELECT run, pos, token AS word, prob FROM shares) s USING (run, pos, word) LEFT JOIN sim USING (run, pos) LEFT JOIN den USING (run, pos) JOIN ent USING (run, pos) JOIN kl USING (run, pos)""")
 def a16_model_statistics(spark, d):
-    out = predictions.prediction_statistics(shares(spark, d), truths(spark, d), {"glove": word_vector_table(spark, d)}, n=3)
+    # predictions, truth and vectors are stored tables to the operator
+    inputs = [written(t(spark, d)) for t in (shares, truths, word_vector_table)]
+    out = predictions.prediction_statistics(inputs[0], inputs[1], {"glove": inputs[2]}, n=3)
     return out.select(
         "run", "pos", "ground_truth_word", F.round("ground_truth_prob", 9).alias("ground_truth_prob"), F.array_join("top_n_predictions", " ").alias("top_n"),
         F.round("top_prob", 9).alias("top_prob"), "binary_accuracy",

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from sigframe.operators import inference, resample, scenes, spectral, windows
+from sigframe.operators import inference, resample, scenes, spectral, windows, words
 from sigframe.workload.base import HOUR, SAMPLES_SQL, last_step, regular_sql, samples, series
 from sigframe.workload.registry import query
 
@@ -64,6 +65,16 @@ def e2_mean_pool(spark, d):
     return out.select("run", "k", "n", F.round("value", 6).alias("value"))
 
 
+@query("e2_user_model", f"""WITH {_WINDOWS_SQL}, w AS (SELECT run, k, count(*) AS n, min(value) AS lo, max(value) AS hi, sum(value) AS total FROM samples JOIN win ON time >= ws AND time < we GROUP BY 1, 2)
+SELECT run, k, round(hi - CASE WHEN n < 12 THEN least(lo, 0) ELSE lo END, 2) AS spread, round(total, 2) AS total FROM w""")
+def e2_user_model(spark, d):
+    def spread_and_total(x):
+        return np.stack([x.max(1) - x.min(1), x.sum(1)], axis=1)
+
+    out = words.windowed_model(samples(spark, d), spread_and_total, step=HOUR, width=6 * HOUR, n_steps=last_step(spark, d, HOUR) + 1, samples_per_window=12)
+    return out.select("run", "k", F.round(F.get("features", F.lit(0)), 2).alias("spread"), F.round(F.get("features", F.lit(1)), 2).alias("total"))
+
+
 _SCENE_SQL = {
     "content": "CASE WHEN score >= 400 THEN true ELSE false END",
     "adaptive": "coalesce(CASE WHEN others > 0 THEN score / others WHEN score > 0 THEN 255 ELSE 0 END, CASE WHEN score > 0 THEN 255 ELSE 0 END) >= 1.5 AND score >= 15",
