@@ -91,7 +91,7 @@ def context_means(words: DataFrame, window: int, *, vector_col: str = "vector",
             mine = (at >= old) & (both[order_col].to_numpy() // rows == both[SEG].to_numpy())
             out = both.loc[mine, [*parts, order_col]].copy()
             if not known.any():
-                out["context_vector"] = None
+                out["context_vector"] = pd.Series(None, index=out.index, dtype=object)
                 yield out
                 continue
             vecs = np.stack(both.loc[known, vector_col].to_numpy()).astype(float)
@@ -99,7 +99,7 @@ def context_means(words: DataFrame, window: int, *, vector_col: str = "vector",
             total = np.vstack([np.zeros((1, vecs.shape[1])), np.cumsum(vecs, axis=0)])
             first, last = count[low[mine]], count[at[mine] + 1]
             mean = (total[last] - total[first]) / np.maximum(last - first, 1)[:, None]
-            out["context_vector"] = [m if n else None for m, n in zip(mean, last - first)]
+            out["context_vector"] = pd.Series([m if n else None for m, n in zip(mean, last - first)], index=out.index, dtype=object)
             yield out
 
     return margin.mapInPandas(average, f"{ddl}, context_vector array<double>")

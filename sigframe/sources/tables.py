@@ -30,7 +30,7 @@ def read_line_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def line_labels(df: DataFrame, text: Column, *keys: str) -> DataFrame:
-    names = F.filter(F.transform(F.split(text, r"\r?\n"), F.trim), lambda s: s != "")
+    names = F.filter(F.transform(F.split(text, r"\r?\n"), lambda s: F.trim(s)), lambda s: s != "")
     return df.select(*keys, F.posexplode(names).alias("i", "aggregate_label")).select(
         *keys, (F.col("i") + 1).alias("parcel_index"), "aggregate_label")
 
