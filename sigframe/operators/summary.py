@@ -61,9 +61,9 @@ def box_summary(df: DataFrame, group_cols: Sequence[str], value: str, whisker: f
     q = q.groupBy(*group_cols).agg(pick(0.25).alias("q1"), pick(0.5).alias("median"), pick(0.75).alias("q3"), F.max("n").alias("n"))
     iqr = F.col("q3") - F.col("q1")
     inside = (F.col(value) >= F.col("q1") - whisker * iqr) & (F.col(value) <= F.col("q3") + whisker * iqr)
-    ends = df.join(q, list(group_cols)).where(inside).groupBy(*group_cols).agg(
+    # the quartiles ride along as grouping columns, so they are not computed again for a join
+    return df.join(q, list(group_cols)).where(inside).groupBy(*group_cols, "q1", "median", "q3", "n").agg(
         F.min(value).alias("whisker_low"), F.max(value).alias("whisker_high"))
-    return q.join(ends, list(group_cols))
 
 
 def mean_interval(df: DataFrame, group_cols: Sequence[str], value: str, z: float = 1.959963984540054) -> DataFrame:
