@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from sigframe.operators import bands, events as stimulus, folds as fold_ops
 from sigframe.plans import decomposition, encoding, ridge
 from sigframe.plans.kernel import Kernels
-from sigframe.session import shared_dir
+from sigframe.session import shared_dir, written
 from sigframe.sources.models import load_model, save_model
 from sigframe.streaming import run as stream, state, windows as stream_windows
 from sigframe.workload.base import event_seconds, regular_sql, series
@@ -22,22 +22,22 @@ TWO = [("view", 0, 1), ("click", 1, 2)]
 
 
 def features(spark, d, names=("view", "click")) -> DataFrame:
+    """Stored once per query: the plans read their inputs more than once."""
     s = series(spark, d)
     wide = s.groupBy("t").agg(*[F.max(F.when(F.col("run") == n, F.col("value"))).alias(n) for n in names])
     from sigframe.operators.windows import delay
 
     lagged = delay(wide, [1], list(names), partition_cols=[])
     x = lagged.select((F.floor(F.col("t") / 168)).cast("int").alias("run"), "t", *[F.col(f"{n}_d1").alias(n) for n in names])
-    return bands.centre_on_train(x, F.lit(True), list(names)).select("run", "t", F.array(*names).alias("x"))
+    return written(bands.centre_on_train(x, F.lit(True), list(names)).select("run", "t", F.array(*names).alias("x")))
 
 
 def responses(spark, d) -> DataFrame:
-    return series(spark, d).select(F.floor(F.col("t") / 168).cast("int").alias("run"), "t", F.col("run").alias("target"), F.col("value").alias("y"))
+    return written(series(spark, d).select(F.floor(F.col("t") / 168).cast("int").alias("run"), "t", F.col("run").alias("target"), F.col("value").alias("y")))
 
 
-def week_folds(spark, d) -> DataFrame:
-    runs = responses(spark, d).select("run").distinct()
-    return fold_ops.leave_runs_out(runs, 5, 1)
+def run_folds(y: DataFrame) -> DataFrame:
+    return fold_ops.leave_runs_out(y.select("run").distinct(), 5, 1)
 
 
 _DATA = f"""{regular_sql()}, wide AS (SELECT t, max(value) FILTER (WHERE run = 'view') AS view, max(value) FILTER (WHERE run = 'click') AS click FROM series GROUP BY t),
@@ -61,13 +61,14 @@ w AS (SELECT *, (a22 * c1 - g12 * c2) / (a11 * a22 - g12 * g12) AS u, (a11 * c2
 
 
 def one_feature(spark, d) -> ridge.Fit:
-    x = features(spark, d, ("view",))
-    return ridge.prepare(x, responses(spark, d), week_folds(spark, d), [("view", 0, 1)], n_chunks=2).search(np.ones((1, 1)), ALPHAS)
+    x, y = features(spark, d, ("view",)), responses(spark, d)
+    return ridge.prepare(x, y, run_folds(y), [("view", 0, 1)], n_chunks=2).search(np.ones((1, 1)), ALPHAS)
 
 
-def two_spaces(spark, d) -> tuple[ridge.Banded, ridge.Fit]:
-    data = ridge.prepare(features(spark, d), responses(spark, d), week_folds(spark, d), TWO, n_chunks=2)
-    return data, data.search(GAMMAS, ALPHAS)
+def two_spaces(spark, d) -> tuple[DataFrame, DataFrame, ridge.Fit]:
+    """Features, responses and the fit on two feature spaces."""
+    x, y = features(spark, d), responses(spark, d)
+    return x, y, ridge.prepare(x, y, run_folds(y), TWO, n_chunks=2).search(GAMMAS, ALPHAS)
 
 
 @query("m1_ridge_single_feature", f"WITH {_ONE} SELECT target, alpha, round(score, 3) AS score, round(c1 / (g11 + alpha), 9) AS coef FROM best JOIN tot USING (target)")
@@ -78,7 +79,8 @@ def m1_ridge_single_feature(spark, d):
 
 @query("m1_shared_alpha", f"WITH {_ONE}, sh AS (SELECT alpha FROM l1 GROUP BY alpha ORDER BY avg(score) DESC, alpha LIMIT 1) SELECT target, alpha, round(score, 3) AS score FROM l1 JOIN sh USING (alpha)")
 def m1_shared_alpha(spark, d):
-    data = ridge.prepare(features(spark, d, ("view",)), responses(spark, d), week_folds(spark, d), [("view", 0, 1)])
+    x, y = features(spark, d, ("view",)), responses(spark, d)
+    data = ridge.prepare(x, y, run_folds(y), [("view", 0, 1)])
     fit = data.search(np.ones((1, 1)), ALPHAS, local_alpha=False)
     return fit.choice.select("target", "alpha", F.round("score", 3).alias("score"))
 
@@ -96,37 +98,37 @@ def _band_rows(fit: ridge.Fit, coef: DataFrame) -> DataFrame:
 
 @query("m2_banded", f"WITH {_TWO} {_BAND_OUT}")
 def m2_banded(spark, d):
-    fit = two_spaces(spark, d)[1]
+    fit = two_spaces(spark, d)[2]
     return _band_rows(fit, fit.coef)
 
 
 @query("m3_kernel", f"WITH {_TWO} {_BAND_OUT}")
 def m3_kernel(spark, d):
     """The same search through kernels; weights mapped back to features."""
-    x = features(spark, d)
-    data = Kernels(x, responses(spark, d), week_folds(spark, d), TWO)
+    x, y = features(spark, d), responses(spark, d)
+    data = Kernels(x, y, run_folds(y), TWO)
     fit = data.search(GAMMAS, ALPHAS)
     return _band_rows(fit, data.primal(fit, x))
 
 
 @query("m14_prediction", f"WITH {_TWO} SELECT w.target, x.t, round(u * x1 + v * x2, 6) AS prediction FROM w, x")
 def m14_prediction(spark, d):
-    fit = two_spaces(spark, d)[1]
-    return ridge.predict(features(spark, d), fit.coef).select("target", "t", F.round("prediction", 6).alias("prediction"))
+    x, _, fit = two_spaces(spark, d)
+    return ridge.predict(x, fit.coef).select("target", "t", F.round("prediction", 6).alias("prediction"))
 
 
 @query("m14_prediction_split", f"WITH {_TWO} SELECT w.target, x.t, sp AS space, round(CASE sp WHEN 'view' THEN u * x1 ELSE v * x2 END, 6) AS prediction FROM w, x, (SELECT unnest(['view', 'click']) AS sp)")
 def m14_prediction_split(spark, d):
-    fit = two_spaces(spark, d)[1]
-    return ridge.predict(features(spark, d), fit.coef, spaces=TWO).select("target", "t", "space", F.round("prediction", 6).alias("prediction"))
+    x, _, fit = two_spaces(spark, d)
+    return ridge.predict(x, fit.coef, spaces=TWO).select("target", "t", "space", F.round("prediction", 6).alias("prediction"))
 
 
 @query("a23_metrics", f"""WITH {_TWO}, j AS (SELECT w.target, y.y, u * x1 + v * x2 AS p FROM w JOIN y USING (target) JOIN x USING (t))
 SELECT target, round(coalesce(covar_pop(p, y) / nullif(sqrt(var_pop(p) * var_pop(y)), 0), 0), 6) AS correlation, round(1 - avg((y - p) * (y - p)) / var_pop(y), 6) AS r2, count(*) AS n FROM j GROUP BY 1""")
 def a23_metrics(spark, d):
-    fit = two_spaces(spark, d)[1]
-    y = bands.standardise(responses(spark, d), "y", keys=["target"], scale=False)
-    out = ridge.metrics(y, ridge.predict(features(spark, d), fit.coef))
+    x, y, fit = two_spaces(spark, d)
+    y = bands.standardise(y, "y", keys=["target"], scale=False)
+    out = ridge.metrics(y, ridge.predict(x, fit.coef))
     return out.withColumns({c: F.round(c, 6) for c in ("correlation", "r2")})
 
 
@@ -134,17 +136,17 @@ def a23_metrics(spark, d):
 q AS (SELECT target, unnest(['view', 'click']) AS space, unnest([pa, pb]) AS pk, y, pa + pb AS p FROM j)
 SELECT target, space, round(avg(pk * (2 * y - p)) / var_pop(y), 6) AS r2, round(avg(pk * y) / sqrt(var_pop(y) * var_pop(p)), 6) AS correlation FROM q GROUP BY 1, 2""")
 def a23_split_metrics(spark, d):
-    fit = two_spaces(spark, d)[1]
-    y = bands.standardise(responses(spark, d), "y", keys=["target"], scale=False)
-    out = ridge.split_metrics(y, ridge.predict(features(spark, d), fit.coef, spaces=TWO))
+    x, y, fit = two_spaces(spark, d)
+    y = bands.standardise(y, "y", keys=["target"], scale=False)
+    out = ridge.split_metrics(y, ridge.predict(x, fit.coef, spaces=TWO))
     return out.select("target", "space", F.round("r2", 6).alias("r2"), F.round("correlation", 6).alias("correlation"))
 
 
 @query("a23_residuals", f"WITH {_TWO} SELECT w.target, x.t, round(y.y - u * x1 - v * x2, 6) AS residual FROM w JOIN y USING (target) JOIN x USING (t)")
 def a23_residuals(spark, d):
-    fit = two_spaces(spark, d)[1]
-    y = bands.standardise(responses(spark, d), "y", keys=["target"], scale=False)
-    return ridge.residuals(y, ridge.predict(features(spark, d), fit.coef)).select("target", "t", F.round("residual", 6).alias("residual"))
+    x, y, fit = two_spaces(spark, d)
+    y = bands.standardise(y, "y", keys=["target"], scale=False)
+    return ridge.residuals(y, ridge.predict(x, fit.coef)).select("target", "t", F.round("residual", 6).alias("residual"))
 
 
 # -- group level: users in four groups as subjects, one left out per fold -------------------------------------
@@ -177,7 +179,7 @@ def _subject_folds(spark, d) -> DataFrame:
 @query("m4_group_level", f"WITH {_GROUP} SELECT target, alpha, round(score, 3) AS score, round(coef, 9) AS coef FROM cf")
 def m4_group_level(spark, d):
     x = features(spark, d, ("view",)).drop("run")
-    data = ridge.prepare_group(x, subject_responses(spark, d), _subject_folds(spark, d), [("view", 0, 1)])
+    data = ridge.prepare_group(x, written(subject_responses(spark, d)), _subject_folds(spark, d), [("view", 0, 1)])
     fit = data.search(np.ones((1, 1)), ALPHAS)
     return fit.choice.join(fit.coef, "target").select("target", "alpha", F.round("score", 3).alias("score"), F.round(F.get("coef", F.lit(0)), 9).alias("coef"))
 
@@ -193,14 +195,15 @@ def raw_features(spark, d) -> DataFrame:
     s = series(spark, d)
     names = ("view", "click", "signup")
     wide = s.groupBy("t").agg(*[F.max(F.when(F.col("run") == n, F.col("value"))).alias(n) for n in names])
-    return wide.select(F.floor(F.col("t") / 168).cast("int").alias("run"), "t", F.array(*names).alias("x"))
+    return written(wide.select(F.floor(F.col("t") / 168).cast("int").alias("run"), "t", F.array(*names).alias("x")))
 
 
 SPACES = [("browse", 0, 2), ("join", 2, 3)]
 
 
 def encoded(spark, d, **options) -> encoding.Encoding:
-    return encoding.fit_encoding(raw_features(spark, d), responses(spark, d), week_folds(spark, d), SPACES, n_iter=6, alphas=np.logspace(4, 10, 7), seed=3, n_chunks=2, **options)
+    y = responses(spark, d)
+    return encoding.fit_encoding(raw_features(spark, d), y, run_folds(y), SPACES, n_iter=6, alphas=np.logspace(4, 10, 7), seed=3, n_chunks=2, **options)
 
 
 @query("m5_fit_encoding")
@@ -212,7 +215,8 @@ def m5_fit_encoding(spark, d):
 
 @query("m5_single_space")
 def m5_single_space(spark, d):
-    model = encoding.fit_encoding(raw_features(spark, d), responses(spark, d), week_folds(spark, d), None, alphas=np.logspace(4, 10, 7))
+    y = responses(spark, d)
+    model = encoding.fit_encoding(raw_features(spark, d), y, run_folds(y), None, alphas=np.logspace(4, 10, 7))
     return model.fit.choice.select("target", "alpha", "score")
 
 
@@ -232,7 +236,7 @@ def m5b_refine(spark, d):
 @query("s11_model_roundtrip", f"WITH {_TWO} SELECT target, alpha, round(u, 9) AS view, round(v, 9) AS click FROM w")
 def s11_model_roundtrip(spark, d):
     path = f"{shared_dir(spark)}/model"
-    save_model(two_spaces(spark, d)[1], path, "banded", spaces=[s[0] for s in TWO])
+    save_model(two_spaces(spark, d)[2], path, "banded", spaces=[s[0] for s in TWO])
     fit, _ = load_model(spark, path)
     return fit.choice.join(fit.coef, "target").select("target", "alpha", F.round(F.get("coef", F.lit(0)), 9).alias("view"), F.round(F.get("coef", F.lit(1)), 9).alias("click"))
 

@@ -293,7 +293,7 @@ def w21_trim(spark, d):
 
 
 @query("w22_time_grid", f"""WITH {regular_sql()}, r AS (SELECT run, max(t) + 1 AS c FROM series GROUP BY run)
-SELECT run, CAST(i AS INTEGER) AS i, i * 0.5 AS even_time, round(i * 360.0 / (c - 1), 6) AS spread_time FROM (SELECT run, c, unnest(range(0, c)) AS i FROM r)""")
+SELECT run, CAST(i AS INTEGER) AS i, CAST(i * 0.5 AS DOUBLE) AS even_time, round(i * 360.0 / (c - 1), 6) AS spread_time FROM (SELECT run, c, unnest(range(0, c)) AS i FROM r)""")
 def w22_time_grid(spark, d):
     runs = series(spark, d).groupBy("run").agg((F.max("t") + 1).alias("c"))
     even = layout.even_times(runs, count=F.col("c"), step=0.5, name="even_time")

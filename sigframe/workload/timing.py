@@ -51,7 +51,7 @@ def j14_context_windows(spark, d):
     return out.groupBy("run", "k").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("value"), 2).alias("top"))
 
 
-@query("j14_per_frame_windows", f"""WITH {regular_sql()}, win AS (SELECT run, t * {HOUR} AS g, greatest(0, t * {HOUR} - 5400) AS ws, (t + 1) * {HOUR} AS we FROM series)
+@query("j14_per_frame_windows", f"""WITH {regular_sql()}, win AS (SELECT run, CAST(t * {HOUR} AS DOUBLE) AS g, greatest(0, t * {HOUR} - 5400) AS ws, (t + 1) * {HOUR} AS we FROM series)
 SELECT run, g AS grid_time, count(*) AS n, round(sum(s.value), 2) AS total FROM win JOIN samples s USING (run) WHERE time >= ws AND time < we GROUP BY 1, 2""")
 def j14_per_frame_windows(spark, d):
     grid = series(spark, d).select("run", (F.col("t") * HOUR).alias("time"))

@@ -57,7 +57,7 @@ def compare(spark, con, name, fn, sql, sf_dir):
     at = [order.index(c) for c in cols]
     want = [tuple(plain(r[i]) for i in at) for r in raw]
     types = [(f.name, kind(f.dataType.simpleString()), kind(desc[f.name])) for f in df.schema]
-    odd = [t for t in types if t[1] != t[2] and not ("array" in t[1] or "decimal" in t[2])]
+    odd = [t for t in types if t[1] != t[2]]
     if len(got) != len(want):
         return took, len(got), f"rows {len(got)} vs {len(want)}"
     key = lambda r: tuple((x is not None, str(type(x)) if not isinstance(x, (int, float)) else "", x if x is not None else 0) for x in r)
