@@ -19,10 +19,14 @@ def norm2(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, v: s + v * v))
 
 
+def with_value(value: Column, fn) -> Column:
+    """``fn`` of a value that is computed once, also where ``fn`` uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def unit(a: Column) -> Column:
     """Vector over its L2 norm; a zero vector has NULL entries."""
-    n = norm2(a)
-    return F.transform(a, lambda v: F.try_divide(v, n))
+    return with_value(norm2(a), lambda n: F.transform(a, lambda v: F.try_divide(v, n)))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sigframe.functions.arrays import cosine, norm2, unit
+from sigframe.functions.arrays import cosine, norm2, unit, with_value
 from sigframe.operators.words import join_skewed
 
 POS = ("run", "pos")
@@ -84,9 +84,9 @@ def similarity(pred: DataFrame, truth: DataFrame, vectors: DataFrame, *, keys: S
     t = join_skewed(truth.select(*k, "word"), vec, "word", spread_by=k).select(*k, F.col("_v").alias("_t"))
     p = join_skewed(pred.select(*k, F.col("token").alias("word")), vec, "word", spread_by=[*k, "word"]).select(*k, "_v")
     pairs = p.join(t, k).withColumn("_cos", cosine(F.col("_v"), F.col("_t")))
-    width = F.size(F.col("_v"))
-    u = F.when(norm2(F.col("_v")) > 0, unit(F.col("_v"))).otherwise(F.array_repeat(F.lit(0.0), width))
-    good = F.sum((norm2(F.col("_v")) > 0).cast("int"))
+    # a zero vector has no direction and stays out of the density
+    u = with_value(norm2(F.col("_v")), lambda n: F.transform("_v", lambda v: F.when(n > 0, v / n).otherwise(0.0)))
+    good = F.sum(F.exists("_v", lambda v: v != 0).cast("int"))
     agg = pairs.groupBy(*k).agg(
         F.avg("_cos").alias(f"{prefix}avg_accuracy"), F.max("_cos").alias(f"{prefix}max_accuracy"),
         good.alias("_n"), vector_to_array(Summarizer.sum(array_to_vector(u))).alias("_s"))

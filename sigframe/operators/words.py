@@ -13,19 +13,23 @@ from sigframe.operators.resample import context_windows
 from sigframe.operators.segments import SEG, SEGMENT_ROWS, halo, over_rows
 
 
-def join_skewed(left: DataFrame, right: DataFrame, key: str, *, spread_by: Sequence[str], salts: int = 8,
+def join_skewed(left: DataFrame, right: DataFrame, key: str, *, spread_by: Sequence[str], salts: int = 1,
                 how: str = "inner") -> DataFrame:
-    """Equi-join whose left side has hot keys: left rows spread over ``salts`` copies of right.
+    """Equi-join of rows with hot keys to a table of unique keys.
 
-    The salt is a hash of the row's own key, so a retried task places rows alike.
+    Adaptive execution splits an oversized key partition of ``left`` and repeats only the matching
+    part of ``right``, so by default nothing is copied beforehand. Where it is switched off, ``salts``
+    spreads left rows by a hash of their own key over that many copies of ``right``.
     """
+    if salts <= 1:
+        return left.join(right, key, how)
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
     many = right.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
     return left.withColumn("_salt", salt).join(many, [key, "_salt"], how).drop("_salt")
 
 
 def word_vectors(words: DataFrame, vectors: DataFrame, *, word_col: str = "word", row_cols: Sequence[str] = ("doc", "pos"),
-                 keep_unknown: bool = False, salts: int = 8) -> DataFrame:
+                 keep_unknown: bool = False, salts: int = 1) -> DataFrame:
     """Words with their vector; unknown words drop out unless kept (with a NULL vector)."""
     return join_skewed(words, vectors, word_col, spread_by=row_cols, salts=salts, how="left" if keep_unknown else "inner")
 

@@ -27,34 +27,41 @@ def parse_transcripts(df: DataFrame, json_col: str, start_offset: float | None =
     return word_rows(parsed, start_offset)
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def fill_gaps(starts: pd.Series) -> pd.Series:
-    """Straight-line fill by position: leading gap stays missing, trailing gap holds the last value."""
-    def one(values):
+FILLED = T.StructType([T.StructField("starts", T.ArrayType(T.DoubleType())), T.StructField("gaps", T.ArrayType(T.StringType()))])
+
+
+@F.pandas_udf(FILLED)
+def fill_words(text: pd.Series, begins: pd.Series, ends: pd.Series, starts: pd.Series) -> pd.DataFrame:
+    """Starts filled on the straight line by position, and the text between each word and the next.
+
+    A leading gap stays missing and a trailing one holds the last value.
+    """
+    def line(values):
         v = np.array([np.nan if x is None else x for x in values], dtype=float)
         at = np.flatnonzero(~np.isnan(v))
         if not len(at):
             return [None] * len(v)
-        out = np.interp(np.arange(len(v)), at, v[at])
-        return [None] * at[0] + out[at[0]:].tolist()
+        return [None] * at[0] + np.interp(np.arange(at[0], len(v)), at, v[at]).tolist()
 
-    return starts.map(lambda values: None if values is None else one(values))
+    def between(t, b, e):
+        nexts = [*b[1:], len(t)] if len(b) else []
+        return [t[i:max(j, i)] for i, j in zip(e, nexts)]
+
+    known = [v is not None for v in begins]
+    return pd.DataFrame({
+        "starts": [line(v) if k else [] for v, k in zip(starts, known)],
+        "gaps": [between(t or "", b, e) if k else [] for t, b, e, k in zip(text, begins, ends, known)]})
 
 
 def word_rows(docs: DataFrame, start_offset: float | None = None) -> DataFrame:
     """(doc, transcript, words[]) to words with punctuation, filled starts and lower case.
 
-    A file is one row with one word array, so the next word's offset, the transcript slice and
-    the filled starts are all taken before the array is exploded: nothing is shuffled.
+    A file is one row with one word array, so everything that looks at neighbouring words happens
+    before the array is exploded: nothing is shuffled.
     """
-    n = F.size("words")
-    filled = docs.withColumn("_starts", fill_gaps(F.transform("words", lambda w: w["start"])))
-    items = F.transform(
-        F.arrays_zip(F.col("words").alias("w"), F.col("_starts").alias("s"),
-                     F.slice("words", F.lit(2), F.greatest(n, F.lit(0))).alias("next")),
-        lambda z: F.struct(
-            z["w"].alias("w"), z["s"].alias("s"),
-            _slice(F.col("transcript"), z["w"]["endOffset"], z["next"]["startOffset"]).alias("punctuation")))
+    part = lambda name: F.transform("words", lambda w: w[name])
+    filled = docs.withColumn("_f", fill_words("transcript", part("startOffset"), part("endOffset"), part("start")))
+    items = F.arrays_zip(F.col("words").alias("w"), F.col("_f.starts").alias("s"), F.col("_f.gaps").alias("punctuation"))
     rows = filled.select("doc", F.posexplode(items).alias("pos", "i")).select("doc", "pos", "i.w.*", "i.s", "i.punctuation")
     out = rows.withColumns({"start": F.col("s"), "word": F.lower("word")}).drop("s")
     if start_offset:
@@ -62,11 +69,6 @@ def word_rows(docs: DataFrame, start_offset: float | None = None) -> DataFrame:
     return out
 
 
-def _slice(text: Column, begin: Column, end: Column) -> Column:
-    stop = F.coalesce(end, F.char_length(text))
-    return F.substring(text, begin + 1, F.greatest(stop - begin, F.lit(0)))
-
-
 def words_of(df: DataFrame, doc_cols: list[str], text_col: str = "text") -> DataFrame:
     """(doc, pos, word) of plain text, split on whitespace."""
     return df.select(*doc_cols, F.posexplode(tokens(F.col(text_col))).alias("pos", "word"))

@@ -229,3 +229,14 @@ def test_written_regressor_is_one_line_in_order(spark):
     tables.write_regressor(df, f"{base}/out")
     text = "".join(open(p).read() for p in sorted(glob.glob(f"{base}/out/run=a/part-*"))).strip()
     assert text == "1.00 2.00 3.00 4.00 5.00"
+
+
+@pytest.mark.parametrize("salts", [1, 5])
+def test_word_join_with_one_hot_word(spark, salts):
+    rows = [("d", i, "the" if i % 3 else f"w{i % 4}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc string, pos int, word string")
+    vec = spark.createDataFrame([("the", [1.0]), ("w0", [2.0])], "word string, vector array<double>")
+    out = words.word_vectors(df, vec, salts=salts)
+    assert out.count() == sum(w in ("the", "w0") for _, _, w in rows)
+    kept = words.word_vectors(df, vec, salts=salts, keep_unknown=True)
+    assert kept.count() == 200 and kept.where("vector is null").count() == sum(w not in ("the", "w0") for _, _, w in rows)
