@@ -45,7 +45,10 @@ def frame_samples(df: DataFrame, *, n_samples: Column, n_fft: int, hop: int, key
 
 def spectral_features(df: DataFrame, *, sr: float, n_samples: Column, n_fft: int = 2048, hop: int = 512, n_mels: int = 128,
                       keys: Sequence[str] = ("run",), index_col: str = "n", value_col: str = "amp") -> DataFrame:
-    """Mel power per frame as (keys, frame, mel ARRAY<DOUBLE>); Arrow batches, one FFT per batch."""
+    """Mel power per frame as (keys, frame, mel ARRAY<DOUBLE>, time); Arrow batches, one FFT per batch.
+
+    Times run evenly from 0 to the signal's duration.
+    """
     filters = mel_filters(sr, n_fft, n_mels)
     window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n_fft) / n_fft)
     frames = frame_samples(df, n_samples=n_samples, n_fft=n_fft, hop=hop, keys=keys, index_col=index_col, value_col=value_col)
@@ -61,4 +64,6 @@ def spectral_features(df: DataFrame, *, sr: float, n_samples: Column, n_fft: int
                 power = np.abs(np.fft.rfft(mat * window, axis=1)) ** 2
                 yield part[[*keys, "frame"]].assign(mel=list(power @ filters))
 
-    return frames.mapInPandas(mel, f"{ddl}, mel array<double>")
+    out = frames.mapInPandas(mel, f"{ddl}, mel array<double>")
+    time = F.coalesce(F.try_divide(F.col("frame") * (n_samples / F.lit(float(sr))), F.floor(n_samples / hop)), F.lit(0.0))
+    return out.withColumn("time", time)

@@ -122,6 +122,11 @@ def test_group_level(spark):
         scores.append(np.mean(loss))
     row = fit.choice.first()
     assert row["score"] == pytest.approx(max(scores)) and row["alpha"] == [1.0, 50.0][int(np.argmax(scores))]
+    by_entry = encoding.fit_encoding(xs.withColumn("run", F.lit(0)), ys, folds, None, delays=None, alphas=[1.0, 50.0], solver="group_level_random_search")
+    xc = x - x.mean(0)
+    whole = np.mean([s - mean for s in subs], axis=0)
+    alpha = by_entry.fit.choice.first()["alpha"]
+    np.testing.assert_allclose(by_entry.fit.coef.first()["coef"], np.linalg.solve(xc.T @ xc + alpha * np.eye(2), xc.T @ whole))
     short = ys.where("not (subject = 1 and t = 3)")
     with pytest.raises(ValueError, match="same number of samples"):
         ridge.prepare_group(xs, short, folds, spaces)
@@ -258,6 +263,7 @@ def test_p_from_null_sides_and_ties(spark):
     assert p(side="right", exact=True) == pytest.approx(2 / 5)
     with pytest.raises(ValueError):
         p(side="up")
+    assert p(side="right", adjust="bonferroni") == pytest.approx(0.5)
     flat = null.withColumn("stat", F.lit(0.0))
     assert inference.p_from_null(obs, flat).first()["z"] == float("inf")
 
@@ -268,6 +274,10 @@ def adjusted(p, method):
     rank = np.arange(1, m + 1)
     if method == "holm":
         a = np.maximum.accumulate(s * (m - rank + 1))
+    elif method == "holm-sidak":
+        a = np.maximum.accumulate(1 - (1 - s) ** (m - rank + 1))
+    elif method == "simes-hochberg":
+        a = np.minimum.accumulate((s * (m - rank + 1))[::-1])[::-1]
     else:
         c = 1.0 if method == "fdr_bh" else (1 / rank).sum()
         a = np.minimum.accumulate((s * m * c / rank)[::-1])[::-1]
@@ -276,13 +286,13 @@ def adjusted(p, method):
     return out
 
 
-@pytest.mark.parametrize("method", ["holm", "fdr_bh", "fdr_by"])
+@pytest.mark.parametrize("method", ["holm", "holm-sidak", "simes-hochberg", "fdr_bh", "fdr_by"])
 def test_adjust_p_with_ties_and_many_values(spark, method):
     rng = np.random.default_rng(7)
     p = np.concatenate([rng.uniform(size=200), [0.01] * 100, rng.uniform(size=50) ** 8, [1.0, 1e-12]])
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(p)], "i int, p double")
     got = np.array([r["p_adj"] for r in inference.adjust_p(df, method).orderBy("i").collect()])
-    np.testing.assert_allclose(got, adjusted(p, method), rtol=1e-9)
+    np.testing.assert_allclose(got, adjusted(p, method), rtol=1e-9, atol=1e-12)
 
 
 def test_p_threshold_masks_every_failure(spark):
