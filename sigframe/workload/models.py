@@ -314,7 +314,9 @@ def s9_decomposition_roundtrip(spark, d):
 
 def event_stream(spark, d) -> DataFrame:
     s = stream.read_files(spark, d, "events.parquet")
-    return s.select(F.col("event_type").alias("run"), F.col("ts").cast("timestamp").alias("ts"), "value", "event_id")
+    # the file's times carry no zone and mean UTC, whatever zone the session reads them in
+    utc = F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())
+    return s.select(F.col("event_type").alias("run"), utc.alias("ts"), "value", "event_id")
 
 
 _STREAM = "e AS (SELECT event_type AS run, epoch_us(ts) AS us, value, event_id FROM events), wm AS (SELECT max(us) - 600000000 AS wm FROM e)"
