@@ -224,7 +224,7 @@ def p14_threshold(spark, d):
 
 # -- multiple comparisons: one p per customer from the balance's rank within its nation ------------
 
-_P = """pv AS (SELECT c_custkey, round((count(*) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC RANGE UNBOUNDED PRECEDING)) / (count(*) OVER (PARTITION BY c_nationkey) + 1), 6) AS p FROM customer),
+_P = """pv AS (SELECT c_custkey, round((count(*) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC RANGE UNBOUNDED PRECEDING)) / (count(*) OVER (PARTITION BY c_nationkey) + 1), 12) AS p FROM customer),
 rk AS (SELECT p, count(*) AS c, sum(count(*)) OVER (ORDER BY p) AS hi, sum(count(*)) OVER () AS m FROM pv GROUP BY p)"""
 _ADJ = {
     "bonferroni": "p * m",
@@ -242,13 +242,13 @@ def rank_p(spark, d) -> DataFrame:
 
     w = Window.partitionBy("c_nationkey")
     rank = F.count(F.lit(1)).over(w.orderBy(F.col("c_acctbal").desc()))
-    return table(spark, d, "customer").select("c_custkey", F.round(rank / (F.count(F.lit(1)).over(w) + 1), 6).alias("p"))
+    return table(spark, d, "customer").select("c_custkey", F.round(rank / (F.count(F.lit(1)).over(w) + 1), 12).alias("p"))
 
 
 for _m in _ADJ:
-    @query(f"a4_{_m}", f"WITH {_P} SELECT c_custkey, p, round(least(a, 1), 6) AS p_adj FROM pv JOIN (SELECT p, {_ADJ[_m]} AS a FROM rk) USING (p)")
+    @query(f"a4_{_m}", f"WITH {_P} SELECT c_custkey, p, round(least(a, 1), 9) AS p_adj FROM pv JOIN (SELECT p, {_ADJ[_m]} AS a FROM rk) USING (p)")
     def a4_adjust(spark, d, method=_m):
-        return inference.adjust_p(rank_p(spark, d), method).select("c_custkey", "p", F.round("p_adj", 6).alias("p_adj"))
+        return inference.adjust_p(rank_p(spark, d), method).select("c_custkey", "p", F.round("p_adj", 9).alias("p_adj"))
 
 
 @query("a5_threshold_scores", """WITH z AS (SELECT c_custkey, (c_acctbal - avg(c_acctbal) OVER ()) / 1500 AS z FROM customer),
