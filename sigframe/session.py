@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -24,17 +26,40 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "sig
     )
 
 
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below the cluster's ``spark.checkpoint.dir``.
 
-    The machine-local fallback is used only where the setting is absent, which is the case
-    in single-process tests.
+    Only a local master, where driver and executors are one process, may do without the
+    setting; its folder is then a temporary one that goes when Python ends. On a cluster the
+    setting is required, because executors cannot read what another machine wrote locally.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not is_local(master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/sigframe-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/sigframe-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process; ``local-cluster`` starts several."""
+    return master == "local" or master.startswith("local[")
+
+
+def drop_shared(spark: SparkSession) -> None:
+    """Delete every intermediate folder of this process; call it once results are stored."""
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(hadoop).delete(path, True)
 
 
 def written(df, name: str = "table"):
