@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sigframe.llm import search, sharding, urls
-from sigframe.llm.common import table
+from sigframe.llm import language, pieces, search, sharding, urls
+from sigframe.llm.common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -59,3 +60,21 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 """)
 def op10_term_at_a_time(spark: SparkSession, d: str) -> DataFrame:
     return search.top_k(table(spark, d, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query("op1_language_id")
+def op1_language_id(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    held = fold_of(F.col("doc_id"), 3)
+    model = language.LanguageModel.train(language.sample(docs.where(held != 1)))
+    out = language.identify(docs, model)
+    return out.select("doc_id", F.coalesce(held == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+@query("op6_sentencepiece")
+def op6_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    both = pieces.decode(pieces.encode(table(spark, d, "documents"), path, ["doc_id"]), path, ["doc_id"])
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                       F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
