@@ -86,6 +86,12 @@ class Vocabulary:
                           np.unique(-scores, return_inverse=True)[1].astype(np.int32), bytes_.astype(np.int32),
                           np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts]), is_byte, span)
 
+    def encoder(self) -> "Encoder":
+        """One encoder for all tasks of a worker."""
+        if not hasattr(self, "_encoder"):
+            self._encoder = Encoder(self)
+        return self._encoder
+
 
 class Encoder:
     """Encodes words and remembers them; one in each worker."""
@@ -233,9 +239,6 @@ def decoded(v: Vocabulary, ids: np.ndarray, ends: np.ndarray) -> list[str]:
     return out
 
 
-_encoders: dict[int, Encoder] = {}
-
-
 def encode(docs: DataFrame, model_path: str, keys: list[str], text: str = "text", end: bool = True) -> DataFrame:
     """The key columns and ``ids``, the ids of each whole text with an end id.
 
@@ -246,10 +249,7 @@ def encode(docs: DataFrame, model_path: str, keys: list[str], text: str = "text"
     rows = docs.select(*keys, whole(text).alias("_text"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if shared.id not in _encoders:
-            _encoders.clear()
-            _encoders[shared.id] = Encoder(shared.value)
-        encoder = _encoders[shared.id]
+        encoder = shared.value.encoder()
         for batch in batches:
             for part in slices(batch, "_text"):
                 ids, ends = encoder.encode(part["_text"].to_pylist(), end)
