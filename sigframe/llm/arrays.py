@@ -45,6 +45,24 @@ def sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
+class Grown:
+    """An array that rows are added to; its room doubles when it is full."""
+
+    def __init__(self, like: np.ndarray):
+        self.room, self.n = np.empty((1024, *like.shape[1:]), like.dtype), 0
+
+    def add(self, rows: np.ndarray) -> None:
+        if self.n + len(rows) > len(self.room):
+            room = np.empty((2 * (self.n + len(rows)), *self.room.shape[1:]), self.room.dtype)
+            room[:self.n] = self.room[:self.n]
+            self.room = room
+        self.room[self.n:self.n + len(rows)] = rows
+        self.n += len(rows)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return self.room[at]
+
+
 class HashIndex:
     """Places of distinct 64-bit keys: open addressing with linear probes, looked up for whole arrays."""
 

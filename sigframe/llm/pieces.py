@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sigframe.llm.arrays import HashIndex, ragged, slices
+from sigframe.llm.arrays import Grown, HashIndex, ragged, slices
 from sigframe.llm.common import whole
 
 SPACE = "▁"
@@ -106,7 +106,8 @@ class Encoder:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.starts, self.lengths, self.ids, self.total = [], [], [], 0
+        self.places = Grown(np.zeros((0, 2), np.int64))  # start and length of each word's ids
+        self.ids = Grown(np.zeros(0, np.int32))
 
     def merge_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Id that each pair merges to, or -1."""
@@ -187,21 +188,20 @@ class Encoder:
 
     def learn(self, words: list[str]) -> None:
         short, far = [w for w in words if len(w) <= LONG], [w for w in words if len(w) > LONG]
-        for w, (symbol, points) in zip(short + far, self.rounds(short) + [self.by_heap(w) for w in far]):
+        parts = []
+        for symbol, points in self.rounds(short) + [self.by_heap(w) for w in far]:
             odd = (symbol < 0) | (symbol >= self.v.size)
             if odd.any():  # characters outside the vocabulary as their bytes
-                ids = np.concatenate([self.v.bytes_[list(chr(p).encode())] if o else np.array([s]) for s, p, o in zip(symbol, points, odd)])
-            else:
-                ids = symbol
-            self.known[w] = len(self.starts)
-            self.starts.append(self.total)
-            self.lengths.append(len(ids))
-            self.ids.append(ids.astype(np.int32))
-            self.total += len(ids)
+                symbol = np.concatenate([self.v.bytes_[list(chr(p).encode())] if o else [s] for s, p, o in zip(symbol, points, odd)])
+            parts.append(symbol)
+        self.known.update(zip(short + far, range(self.places.n, self.places.n + len(words))))
+        lengths = np.array([len(p) for p in parts])
+        self.places.add(np.stack([self.ids.n + np.cumsum(lengths) - lengths, lengths], axis=1))
+        self.ids.add(np.concatenate(parts))
 
     def encode(self, texts: list[str], end: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of whole texts, each with the end id if asked for."""
-        if len(self.known) > REMEMBERED or self.total > 32 * REMEMBERED:
+        if len(self.known) > REMEMBERED or self.ids.n > 32 * REMEMBERED:
             self.forget()
         cut = [WORDS.findall(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
         new = dict.fromkeys(w for ws in cut for w in ws if w not in self.known)
@@ -209,20 +209,15 @@ class Encoder:
             self.learn(list(new))
         counts = [len(ws) for ws in cut]
         which = np.fromiter((self.known[w] for ws in cut for w in ws), np.int64, sum(counts))
-        starts, lengths, flat = np.array(self.starts + [0]), np.array(self.lengths + [0]), self.flat()
-        ids = flat[ragged(starts[which], lengths[which])] if len(which) else np.zeros(0, np.int32)
-        word_ends = np.concatenate([[0], np.cumsum(lengths[which])])
+        starts, lengths = self.places[which].T
+        ids = self.ids[ragged(starts, lengths)]
+        word_ends = np.concatenate([[0], np.cumsum(lengths)])
         ends = word_ends[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
         if end:
             ids = np.insert(ids, ends[1:], self.v.end)
             ends = ends + np.arange(len(ends))
         return ids, ends
 
-    def flat(self) -> np.ndarray:
-        if len(self.ids) > 1:
-            self.ids = [np.concatenate(self.ids)]
-        return self.ids[0] if self.ids else np.zeros(0, np.int32)
-
 
 def decoded(v: Vocabulary, ids: np.ndarray, ends: np.ndarray) -> list[str]:
     """The text of each run ids[ends[i]:ends[i + 1]]; the space before the first piece is taken off."""

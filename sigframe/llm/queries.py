@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sigframe.llm import language, pieces, search, sharding, urls
+from sigframe.llm import language, lines, pieces, quality, search, sharding, urls
 from sigframe.llm.common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,3 +78,39 @@ def op6_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
+@query("op5_quality")
+def op5_quality(spark: SparkSession, d: str) -> DataFrame:
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    held = fold_of(F.col("doc_id"), 4)
+    model = quality.fit(docs.where(held != 2), labels.where(held != 2))
+    out = quality.score(docs, model)
+    return out.select("doc_id", F.coalesce(held == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op9_line_rules", r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS host FROM documents),
+w AS (SELECT r, doc_id, host, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
+n AS (SELECT r, ws, len(ws) AS n FROM w),
+g AS (SELECT r, i, array_to_string(ws[i:i + 7], ' ') AS g FROM (SELECT r, ws, unnest(range(1, n - 6)) AS i FROM n WHERE n > 8)),
+gr AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM g) WHERE c > 1),
+rep AS (SELECT r, count(DISTINCT at) AS n_repeat_words FROM (SELECT r, i + unnest(range(0, 8)) AS at FROM gr) GROUP BY r),
+l AS (SELECT r, host, i, line, regexp_replace(lower(line), '[^\pL\pN]+', '', 'g') AS key, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
+      FROM (SELECT r, host, ls[i] AS line, i FROM (SELECT r, host, ls, unnest(range(1, len(ls) + 1)) AS i
+            FROM (SELECT r, host, string_split(text, chr(10)) AS ls FROM d)))),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE words > 0 GROUP BY r),
+f AS (SELECT host, key FROM (SELECT host, key, count(DISTINCT r) AS c FROM l WHERE key <> '' GROUP BY 1, 2)
+      JOIN (SELECT host, count(*) AS docs FROM d GROUP BY 1) USING (host) WHERE c > 20 AND c > docs * 0.01),
+lost AS (SELECT r, sum(words) AS n_removed FROM l JOIN f USING (host, key) GROUP BY r),
+b AS (SELECT w.r, w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+             CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+             CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+             CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed
+      FROM w LEFT JOIN dup USING (r) LEFT JOIN rep USING (r) LEFT JOIN lost USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       n_removed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - n_removed >= n_words * 0.5 AS kept
+FROM b
+""")
+def op9_line_rules(spark: SparkSession, d: str) -> DataFrame:
+    return lines.rules(table(spark, d, "documents"))
