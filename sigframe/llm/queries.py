@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sigframe.llm import language, lines, pieces, quality, search, sharding, urls
+from sigframe.llm import language, lines, pieces, pii, quality, search, sharding, urls
 from sigframe.llm.common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,7 +95,7 @@ w AS (SELECT r, doc_id, host, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+'
 n AS (SELECT r, ws, len(ws) AS n FROM w),
 g AS (SELECT r, i, array_to_string(ws[i:i + 7], ' ') AS g FROM (SELECT r, ws, unnest(range(1, n - 6)) AS i FROM n WHERE n > 8)),
 gr AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM g) WHERE c > 1),
-rep AS (SELECT r, count(DISTINCT at) AS n_repeat_words FROM (SELECT r, i + unnest(range(0, 8)) AS at FROM gr) GROUP BY r),
+rep AS (SELECT r, count(DISTINCT pos) AS n_repeat_words FROM (SELECT r, i + unnest(range(0, 8)) AS pos FROM gr) GROUP BY r),
 l AS (SELECT r, host, i, line, regexp_replace(lower(line), '[^\pL\pN]+', '', 'g') AS key, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
       FROM (SELECT r, host, ls[i] AS line, i FROM (SELECT r, host, ls, unnest(range(1, len(ls) + 1)) AS i
             FROM (SELECT r, host, string_split(text, chr(10)) AS ls FROM d)))),
@@ -114,3 +114,11 @@ FROM b
 """)
 def op9_line_rules(spark: SparkSession, d: str) -> DataFrame:
     return lines.rules(table(spark, d, "documents"))
+
+
+@query("op8_pii_trees")
+def op8_pii_trees(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    found = pii.find(docs, pii.train(docs), [F.col("doc_id")])
+    counts = [F.size(F.array_remove(F.transform("base", lambda s: s["kind"] == i), False)).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.BASE)]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
