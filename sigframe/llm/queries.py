@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sigframe.llm import language, lines, pieces, pii, quality, search, sharding, urls
+from sigframe.llm import language, lines, mixing, pieces, pii, quality, search, sharding, urls
 from sigframe.llm.common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,3 +122,8 @@ def op8_pii_trees(spark: SparkSession, d: str) -> DataFrame:
     found = pii.find(docs, pii.train(docs), [F.col("doc_id")])
     counts = [F.size(F.array_remove(F.transform("base", lambda s: s["kind"] == i), False)).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.BASE)]
     return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
+@query("op7_temperature_mix")
+def op7_temperature_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"))
