@@ -103,3 +103,20 @@ class HashIndex:
                 break
             left, keys = left[go], keys[go]
         return out
+
+
+def mix(a: np.ndarray, b: int) -> np.ndarray:
+    """A hash of the hashes ``a`` that differs with ``b``."""
+    with np.errstate(over="ignore"):
+        x = (a ^ (a >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(b)
+    return x ^ (x >> np.uint64(32))
+
+
+def ngrams(values: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of n neighbours within a text and their offsets; shorter texts have none."""
+    counts = np.maximum(0, np.diff(ends) - n + 1)
+    at = np.repeat(ends[:-1], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    out = values[at]
+    for i in range(1, n):
+        out = mix(out, i) + values[at + i]
+    return out, np.concatenate([[0], np.cumsum(counts)])

@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F, Window
+from pyspark.sql import DataFrame, functions as F, Window
 
 from sigframe.llm.common import WORD, whole
 from sigframe.session import written
@@ -79,10 +79,6 @@ def plan(tokens: dict[str, int], target_entropy: float = 0.95, most_repeats: flo
     return Mix(exponent, weights, tokens, spent(weights))
 
 
-def rank_hash(*parts: Column) -> Column:
-    return F.xxhash64(*parts)
-
-
 def mix(docs: DataFrame, target_entropy: float = 0.95, most_repeats: float = 4.0, budget: float | None = None, seed: int = 0,
         doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: list[str] | None = None) -> DataFrame:
     """doc_id, source, n_tokens, pass (from 0) and position of every document each time it is taken, and the columns ``keep``.
@@ -99,7 +95,7 @@ def mix(docs: DataFrame, target_entropy: float = 0.95, most_repeats: float = 4.0
     n = F.greatest(F.regexp_count(whole(text), F.lit(WORD)), F.lit(1)).cast("long")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_source"), n.alias("n_tokens"),
                        F.xxhash64(F.col(doc_id), whole(text)).alias("_h"), *([F.struct(*keep).alias("_keep")] if keep else []))
-    rows = rows.withColumn("_block", F.pmod(rank_hash("_h", F.lit(seed)), F.lit(BLOCKS)))
+    rows = rows.withColumn("_block", F.pmod(F.xxhash64("_h", F.lit(seed)), F.lit(BLOCKS)))
     sizes = written(rows.groupBy("_source", "_block").agg(F.sum("n_tokens").alias("n")), "blocks")
     totals = sizes.groupBy("_source").agg(F.sum("n").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
@@ -112,7 +108,7 @@ def mix(docs: DataFrame, target_entropy: float = 0.95, most_repeats: float = 4.0
     taken = taken.withColumn("total", F.sum("n").over(total))
     # passes are whole numbers where the budget is a multiple of the total; what rounding leaves over is no pass
     taken = taken.withColumn("pass", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("passes") - 1e-9).cast("int") - 1))))
-    order = Window.partitionBy("_source", "pass").orderBy(rank_hash(F.lit(seed), "_source", "pass", "_block"), "_block").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("_source", "pass").orderBy(F.xxhash64(F.lit(seed), "_source", "pass", "_block"), "_block").rowsBetween(Window.unboundedPreceding, -1)
     taken = taken.withColumn("start", F.col("pass") * F.col("total") + F.coalesce(F.sum("n").over(order), F.lit(0)))
     taken = taken.where(F.col("start") < F.col("given") - 0.5).select("_source", "_block", "pass", "start", "given")
     within = Window.partitionBy("_source", "_block").orderBy("_h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)

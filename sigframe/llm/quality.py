@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from sigframe.llm.arrays import Grown, slices, sums
+from sigframe.llm.arrays import Grown, mix, ngrams, slices, sums
 from sigframe.llm.common import unit, whole
 
 BITS = 20
@@ -62,13 +62,6 @@ class Words:
         return pairs[:, 0], pairs[:, 1], np.concatenate([[0], np.cumsum(counts)])
 
 
-def _mix(a: np.ndarray, b: int) -> np.ndarray:
-    """A hash of the hashes ``a`` that differs with ``b``."""
-    with np.errstate(over="ignore"):
-        x = (a ^ (a >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(b)
-    return x ^ (x >> np.uint64(32))
-
-
 def features(words: np.ndarray, shapes: np.ndarray, ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each of KINDS the buckets of all n-grams and the offsets of texts among them."""
     text = np.repeat(np.arange(len(ends) - 1, dtype=np.uint64), np.diff(ends))
@@ -77,14 +70,14 @@ def features(words: np.ndarray, shapes: np.ndarray, ends: np.ndarray) -> list[tu
     fours, four_ends = ngrams(words, ends, 4)
     owner = np.repeat(np.arange(len(ends) - 1, dtype=np.uint64), np.diff(four_ends))
     again = np.ones(len(fours), bool)
-    again[np.unique(_mix(owner + np.uint64(1), 7) ^ fours, return_index=True)[1]] = False
+    again[np.unique(mix(owner + np.uint64(1), 7) ^ fours, return_index=True)[1]] = False
     seen = np.zeros(len(words), np.uint64)  # at the last word of a repeated four
     seen[np.arange(len(fours)) + 3 * (owner.astype(np.int64) + 1) - lost(ends, owner)] = again
-    marked = _mix(_mix(shapes, 1) ^ (np.uint64(2) * same + seen), 2)
+    marked = mix(mix(shapes, 1) ^ (np.uint64(2) * same + seen), 2)
     out = []
     for nth, (kind, n) in enumerate(KINDS):
         grams, at = ngrams(words if kind == "word" else marked, ends, n)
-        out.append(((_mix(grams, nth + 11) >> np.uint64(64 - BITS - 4) & np.uint64((1 << BITS) - 1)).astype(np.int64), at))
+        out.append(((mix(grams, nth + 11) >> np.uint64(64 - BITS - 4) & np.uint64((1 << BITS) - 1)).astype(np.int64), at))
     return out
 
 
@@ -94,16 +87,6 @@ def lost(ends: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return np.cumsum(short)[owner.astype(np.int64)]
 
 
-def ngrams(values: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of n neighbours within a text and their offsets; shorter texts have none."""
-    counts = np.maximum(0, np.diff(ends) - n + 1)
-    at = np.repeat(ends[:-1], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    out = values[at]
-    for i in range(1, n):
-        out = _mix(out, i) + values[at + i]
-    return out, np.concatenate([[0], np.cumsum(counts)])
-
-
 @dataclass
 class Model:
     weights: np.ndarray

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sigframe.llm import language, lines, mixing, pieces, pii, quality, search, sharding, urls
+from sigframe.llm import dedup, language, lines, mixing, pieces, pii, quality, search, sharding, urls
 from sigframe.llm.common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,3 +127,25 @@ def op8_pii_trees(spark: SparkSession, d: str) -> DataFrame:
 @query("op7_temperature_mix")
 def op7_temperature_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"))
+
+
+@query("op2_minhash_bayes", r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, doc_id, array_to_string(w[i:i + 4], ' ') AS g
+      FROM (SELECT r, doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM d WHERE len(w) > 0)),
+c AS (SELECT r, doc_id, count(*) AS n, list(g ORDER BY g) AS gs FROM s GROUP BY ALL),
+u AS (SELECT gs, any_value(n) AS n, min(doc_id) AS id, row_number() OVER () AS node FROM c GROUP BY gs),
+e AS (SELECT node, n, unnest(gs) AS g FROM u),
+l AS (SELECT x.node AS a, y.node AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS k
+      FROM e x JOIN e y ON x.g = y.g AND x.node < y.node GROUP BY 1, 2),
+k AS (SELECT a, b FROM l WHERE 100 * k >= 85 * (na + nb - k)),
+edges AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k),
+reach(node, other) AS (SELECT node, node FROM u UNION SELECT reach.node, edges.b FROM reach JOIN edges ON edges.a = reach.other),
+m AS (SELECT reach.node, min(u.id) AS component_id FROM reach JOIN u ON u.node = reach.other GROUP BY 1)
+SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, coalesce(m.component_id, d.doc_id) AS component_id,
+       d.doc_id = coalesce(m.component_id, d.doc_id) AS kept
+FROM d LEFT JOIN c ON c.r = d.r LEFT JOIN u ON u.gs = c.gs LEFT JOIN m ON m.node = u.node
+""")
+def op2_minhash_bayes(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.near_duplicates(table(spark, d, "documents"), percent=85)
