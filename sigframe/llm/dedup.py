@@ -197,12 +197,13 @@ def sized(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id reachable over links, itself included) and kept of every row.
+    """doc_id, n_shingles, component_id (the least doc_id reachable over links, itself included), kept, text_hash and component of every row.
 
     Texts are linked if their sets of ``words``-word shingles have ``percent`` / 100 of their union in common. A row
     without words is linked with nothing. Equal sets are one node, so copies need no pairs, whatever their number. Repeated rows
     and repeated ids are rows of their own; NULL ids count only where a component has no other. ``kept`` is whether
-    the row's id is that of its component (also if both are NULL). An empty table gives an empty result.
+    the row's id is that of its component (also if both are NULL). ``component`` is one value for all rows of a component, NULL for
+    a row without words. An empty table gives an empty result.
     """
     threshold = percent / 100
     rows = written(described(docs, doc_id, text, words), "rows")
@@ -239,7 +240,25 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, doc_id:
 
     placed = nodes.select("key", "least_id").join(names, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     least = placed.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-    of_key = placed.join(least, "comp").select("key", "component_id")
-    some = rows.where("key IS NOT NULL").join(of_key, "key").select("doc_id", "n_shingles", "component_id")
-    none = rows.where("key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    of_key = placed.join(least, "comp").select("key", "component_id", F.col("comp").alias("component"))
+    some = rows.where("key IS NOT NULL").join(of_key, "key").select("doc_id", "n_shingles", "component_id", "text_hash", "component")
+    none = rows.where("key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_hash", F.lit(None).cast("binary").alias("component"))
     return some.unionAll(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(docs: DataFrame, percent: int = 80, words: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, less near-duplicates: of each component the row with the least id stays.
+
+    Rows without words are no duplicates of anything. Of rows that are repeated with id and text one stays.
+    """
+    found = near_duplicates(docs, percent, words, doc_id, text).where("component IS NOT NULL")
+    ids = written(found.select("component", F.struct("doc_id", "text_hash").alias("rep"), F.xxhash64("doc_id", "text_hash").alias("id")), "ids")
+    first = ids.groupBy("component").agg(F.min("rep").alias("first"))
+    many = ids.groupBy("component", "rep", "id").agg(F.count(F.lit(1)).alias("times")).join(first, "component")
+    many = written(many.where("rep <> first OR times > 1").select("id", (F.col("rep") == F.col("first")).alias("again")), "less")
+    few = many.count() <= SENT_KEYS
+    send = F.broadcast if few else (lambda x: x)
+    rows = docs.withColumn("_id", F.xxhash64(F.col(doc_id), F.xxhash64(whole(text))))
+    rest = rows.join(send(many.select(F.col("id").alias("_id"))), "_id", "left_anti")
+    repeated = rows.join(send(many.where("again").select(F.col("id").alias("_id"))), "_id", "left_semi").dropDuplicates(["_id"])
+    return rest.unionAll(repeated).select(*docs.columns)

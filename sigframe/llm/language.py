@@ -144,8 +144,8 @@ def sample(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "
     return out
 
 
-def identify(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score and bits_per_byte of every row.
+def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text: str = "text") -> DataFrame:
+    """The columns ``keep``, lang_pred, score and bits_per_byte of every row.
 
     ``lang_pred`` is the language with the shortest code of the whole text, by name where codes tie; ``und`` if the text
     is NULL, has no letter, or no language was learned. ``score`` is the share of that language among all,
@@ -154,15 +154,15 @@ def identify(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # bounded by the training sample
-    rows = docs.select(F.col(doc_id).alias("doc_id"), whole(text).alias("text"), whole(text).rlike(r"\p{L}").alias("letter"))
+    rows = docs.select(*keep, whole(text).alias("_text"), whole(text).rlike(r"\p{L}").alias("_letter"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learned = shared.value
         names = np.array([*learned.languages, "und"], object)
         for batch in batches:
-            for part in slices(batch):
-                data, ends = text_bytes(part["text"])
-                letter = part["letter"].to_numpy(zero_copy_only=False).astype(bool)
+            for part in slices(batch, "_text"):
+                data, ends = text_bytes(part["_text"])
+                letter = part["_letter"].to_numpy(zero_copy_only=False).astype(bool)
                 if not learned.languages:
                     letter[:] = False
                     bits = np.zeros((len(letter), 1))
@@ -172,11 +172,11 @@ def identify(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text
                 least = bits[np.arange(len(top)), top]
                 score = np.where(letter, 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1), 0.0)
                 rate = pa.array(least / np.maximum(np.diff(ends), 1), mask=~letter)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(names[np.where(letter, top, len(names) - 1)], pa.string()),
-                                                  pa.array(score.round(9)), rate], ["doc_id", "lang_pred", "score", "bits_per_byte"])
+                yield pa.RecordBatch.from_arrays([*(part[k] for k in keep), pa.array(names[np.where(letter, top, len(names) - 1)], pa.string()),
+                                                  pa.array(score.round(9)), rate], [*keep, "lang_pred", "score", "bits_per_byte"])
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(each, f"doc_id {kind}, lang_pred string, score double, bits_per_byte double")
+    schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keep)
+    return rows.mapInArrow(each, f"{schema}, lang_pred string, score double, bits_per_byte double")
 
 
 def accepted(lang_pred: Column, bits_per_byte: Column, n_bytes: Column, least_bytes: int = 64, most_bits: float = 8.0) -> Column:

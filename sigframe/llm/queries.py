@@ -67,7 +67,7 @@ def op1_language_id(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     held = fold_of(F.col("doc_id"), 3)
     model = language.LanguageModel.train(language.sample(docs.where(held != 1)))
-    out = language.identify(docs, model)
+    out = language.identify(docs, model, ["doc_id"])
     return out.select("doc_id", F.coalesce(held == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
@@ -148,4 +148,5 @@ SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, coalesce(m.component_id, d.doc_
 FROM d LEFT JOIN c ON c.r = d.r LEFT JOIN u ON u.gs = c.gs LEFT JOIN m ON m.node = u.node
 """)
 def op2_minhash_bayes(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.near_duplicates(table(spark, d, "documents"), percent=85)
+    out = dedup.near_duplicates(table(spark, d, "documents"), percent=85)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
