@@ -93,7 +93,7 @@ def mix(docs: DataFrame, target_entropy: float = 0.95, most_repeats: float = 4.0
     """
     keep = [c for c in keep or [] if c not in (doc_id, source)]
     n = F.greatest(F.regexp_count(whole(text), F.lit(WORD)), F.lit(1)).cast("long")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_source"), n.alias("n_tokens"),
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_source"), n.alias("n_tokens"),
                        F.xxhash64(F.col(doc_id), whole(text)).alias("_h"), *([F.struct(*keep).alias("_keep")] if keep else []))
     rows = rows.withColumn("_block", F.pmod(F.xxhash64("_h", F.lit(seed)), F.lit(BLOCKS)))
     sizes = written(rows.groupBy("_source", "_block").agg(F.sum("n_tokens").alias("n")), "blocks")
@@ -115,5 +115,5 @@ def mix(docs: DataFrame, target_entropy: float = 0.95, most_repeats: float = 4.0
     placed = rows.withColumn("_before", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
     out = placed.join(taken, ["_source", "_block"]).withColumn("_at", F.col("start") + F.col("_before"))
     out = out.where(F.col("_at") < F.col("given") - 0.5)
-    return out.select("doc_id", F.nullif("_source", F.lit("")).alias("source"), "n_tokens", "pass", (F.col("_at") / F.col("given")).alias("position"),
+    return out.select("doc_id", "source", "n_tokens", "pass", (F.col("_at") / F.col("given")).alias("position"),
                       *([F.col(f"_keep.{c}").alias(c) for c in keep]))
