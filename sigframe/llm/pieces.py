@@ -122,7 +122,7 @@ class Encoder:
     def rounds(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """(symbols, first code points) of each word after all merges."""
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        lengths = np.array([len(w) for w in words])
+        lengths = np.array([len(w) for w in words], np.int64)
         word = np.repeat(np.arange(len(words)), lengths)
         symbol = self.first[points]
         out: list = [None] * len(words)
