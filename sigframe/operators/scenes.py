@@ -37,7 +37,7 @@ def candidate_cuts(df: DataFrame, detector: str, *, signal: str = "signal", thre
     hash       share of differing bits against the previous frame over the threshold
     """
     if detector not in THRESHOLDS:
-        raise ValueError(f"Unknown detector: {detector}. Must be one of {sorted(THRESHOLDS)}.")
+        raise ValueError(f"no detector {detector!r}; there are {', '.join(sorted(THRESHOLDS))}")
     thr = THRESHOLDS[detector] if threshold is None else threshold
     keys = dict(partition_cols=partition_cols, order_col=order_col)
     if detector == "content":

@@ -19,7 +19,7 @@ def delay(
     order_col: str = "t",
     rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
-    """One copy of ``cols`` per delay; positive looks back, negative ahead, vacated rows are 0.
+    """One copy of ``cols`` per delay; positive looks back, negative ahead, vacated rows are 0, NULL values stay NULL.
 
     Scalar columns become ``{col}_d{delay}`` (``m`` marks a minus). ARRAY columns are replaced
     by the delay-major concatenation.
@@ -31,10 +31,10 @@ def delay(
     for d in delays:
         for c in cols:
             def shifted(w: Window, c: str = c, d: int = d) -> Column:
-                moved = F.lag(c, d).over(w) if d >= 0 else F.lead(c, -d).over(w)
-                if is_array[c]:
-                    return F.coalesce(moved, zeros(F.size(c)))
-                return F.coalesce(moved, F.lit(0.0)) if d else F.col(c)
+                step = (lambda x: F.lag(x, d).over(w)) if d >= 0 else (lambda x: F.lead(x, -d).over(w))
+                empty = zeros(F.size(c)) if is_array[c] else F.lit(0.0)
+                # a missing value moves like any other; only rows that nothing moves to are filled
+                return F.when(step(F.lit(True)).isNull(), empty).otherwise(step(F.col(c))) if d else F.col(c)
 
             made[_delayed_name(c, d)] = shifted
     out = over_rows(
@@ -127,7 +127,7 @@ def run_ids(df: DataFrame, onsets: Sequence[int], *, order_col: str = "t", name:
     """0-based run of each position; the first onset is the start of the series."""
     cuts = list(onsets)[1:]
     if any(b <= a for a, b in zip(cuts, cuts[1:])) or any(c <= 0 for c in cuts):
-        raise ValueError("Some runs have no samples: onsets must increase and start new runs.")
+        raise ValueError("each run needs a sample: let the onsets rise")
     t = F.col(order_col)
     passed = F.filter(F.array(*[F.lit(int(c)) for c in cuts]), lambda c: c <= t) if cuts else F.array()
     return df.withColumn(name, F.size(passed).cast("int"))

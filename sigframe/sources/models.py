@@ -14,7 +14,7 @@ KINDS = ("ridge", "banded", "kernel")
 def save_model(fit: Fit, path: str, kind: str, **meta) -> None:
     """Weights, deltas, choices and scores as parquet, plus one metadata row."""
     if kind not in KINDS:
-        raise ValueError(f"Model must be one of {KINDS}, got {kind!r}")
+        raise ValueError(f"cannot store a {kind!r} model; kinds are {KINDS}")
     spark = fit.coef.sparkSession
     for name in ("coef", "deltas", "choice", "cv_scores"):
         getattr(fit, name).write.mode("overwrite").parquet(f"{path}/{name}")
@@ -25,5 +25,5 @@ def save_model(fit: Fit, path: str, kind: str, **meta) -> None:
 def load_model(spark: SparkSession, path: str) -> tuple[Fit, dict]:
     meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
     if meta.get("kind") not in KINDS:
-        raise ValueError(f"Model must be one of {KINDS}, got {meta.get('kind')!r}")
+        raise ValueError(f"{path} holds a {meta.get('kind')!r} model; kinds are {KINDS}")
     return Fit(*[spark.read.parquet(f"{path}/{n}") for n in ("coef", "deltas", "choice", "cv_scores")]), meta

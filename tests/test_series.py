@@ -299,3 +299,27 @@ def test_layout_helpers(spark):
     assert flipped.agg(F.max("t")).first()[0] == 4 and flipped.where("t = 3 and var = 1").first()["value"] == 13
     with pytest.raises(ValueError):
         layout.require_columns(wide, "nope")
+
+
+def test_lags_move_missing_values_and_fill_vacated_rows(spark):
+    rows = [("a", 0, 1.0, [1.0]), ("a", 1, None, None), ("a", 2, 3.0, [3.0]), ("a", 3, 4.0, [4.0])]
+    df = spark.createDataFrame(rows, "run string, t int, v double, x array<double>")
+    got = windows.delay(df, [0, 1, -1], ["v"], rows=2).orderBy("t").collect()
+    assert [(r["v_d0"], r["v_d1"], r["v_dm1"]) for r in got] == [(1.0, 0.0, None), (None, 1.0, 3.0), (3.0, None, 4.0), (4.0, 3.0, 0.0)]
+    wide = windows.delay(df.where("t > 1"), [1], ["x"]).orderBy("t").collect()
+    assert [r["x"] for r in wide] == [[0.0], [3.0]]
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch, spark):
+    from sigframe import session
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())
+    assert session.is_local("local[4]") and not session.is_local("local-cluster[2,1,1024]") and not session.is_local("yarn")
