@@ -14,6 +14,7 @@ from sigframe.plans.kernel import Kernels
 from sigframe.plans.ridge import ALPHAS, Banded, Fit, prepare, prepare_group, random_gammas
 from sigframe.session import written
 
+# The default lags in samples.
 DELAYS = (1, 2, 3, 4)
 SOLVERS: dict[str, Callable] = {}
 
@@ -33,7 +34,7 @@ class Encoding:
 def delayed_features(x: DataFrame, mean: Sequence[float], delays: Sequence[int] | None, spaces: Sequence[tuple[str, int, int]], *,
                      partition_cols: Sequence[str] = ("run",), order_col: str = "t") -> tuple[DataFrame, list]:
     """Centred features with all delays of a space side by side; also the widened space list."""
-    centred = x.withColumn("x", subtract(F.col("x").cast("array<double>"), F.array(*[F.lit(float(m)) for m in mean])))
+    centred = x.withColumn("x", subtract(F.col("x").cast("array<double>"), F.lit([float(m) for m in mean])))
     if delays is None:
         return centred, list(spaces)
     width, n = len(mean), len(delays)
@@ -46,32 +47,29 @@ def delayed_features(x: DataFrame, mean: Sequence[float], delays: Sequence[int]
     return stacked.withColumn("x", F.concat(*parts)), wide
 
 
-def _random_search(x, y, folds, spaces, *, banded, gammas, alphas, n_chunks, centre_y):
-    if banded:
-        data = prepare(x, y, folds, spaces, n_chunks=n_chunks, centre_y=centre_y)
-    else:
-        data = Kernels(x, y, folds, spaces, n_chunks=n_chunks, centre_y=centre_y)
+def _random_search(x, y, folds, spaces, *, banded, gammas, alphas, max_iter, **how):
+    data = (prepare if banded else Kernels)(x, y, folds, spaces, **how)
     return data, data.search(gammas, alphas)
 
 
-def _group_search(x, y, folds, spaces, *, banded, gammas, alphas, n_chunks, centre_y):
-    data = prepare_group(x, y, folds, spaces, n_chunks=n_chunks, centre_y=centre_y)
+def _group_search(x, y, folds, spaces, *, banded, gammas, alphas, max_iter, **how):
+    data = prepare_group(x, y, folds, spaces, **how)
     return data, data.search(gammas, alphas)
 
 
-def _gradient_search(x, y, folds, spaces, *, banded, gammas, alphas, n_chunks, centre_y):
+def _gradient_search(x, y, folds, spaces, *, banded, gammas, alphas, max_iter, **how):
     """Start every target from one shared weight with its best penalty, then descend."""
-    data = prepare(x, y, folds, spaces, n_chunks=n_chunks, centre_y=centre_y)
+    data = prepare(x, y, folds, spaces, **how)
     k = len(spaces)
     start = data.search(np.full((1, k), 1.0 / k), alphas)
-    refined, _ = data.refine(start, max_iter=len(gammas))
+    refined, _ = data.refine(start, max_iter=max_iter)
     refined = written(refined, "refined")
     names = F.array(*[F.lit(n) for n, _, _ in spaces])
     deltas = refined.select("target", F.posexplode("deltas").alias("i", "delta")).select(
         "target", F.element_at(names, F.col("i") + 1).alias("space"), "delta")
     choice = start.choice.join(refined.select("target", (-F.col("loss")).alias("_s")), "target", "left").select(
         "target", "gamma_id", "alpha", F.coalesce("_s", "score").alias("score"))
-    kept = start.coef.join(refined, "target", "left_anti").unionByName(refined.select("target", "coef"))
+    kept = start.coef.join(refined, "target", "left_anti").unionByName(refined.select("target", "coef", "mean"))
     rest = start.deltas.join(refined, "target", "left_anti").unionByName(deltas)
     return data, Fit(kept, rest, choice, start.cv_scores)
 
@@ -83,24 +81,25 @@ SOLVERS["group_level_random_search"] = _group_search
 
 def fit_encoding(x: DataFrame, y: DataFrame, folds: DataFrame, spaces: Sequence[tuple[str, int, int]] | None = None, *,
                  delays: Sequence[int] | None = DELAYS, alphas: Sequence[float] = ALPHAS, n_iter: int = 20, gammas: np.ndarray | None = None,
-                 solver: str = "random_search", n_chunks: int = 1, force_banded: bool = False, centre_y: bool = True,
-                 partition_cols: Sequence[str] = ("run",), seed: int = 0) -> Encoding:
+                 solver: str = "random_search", n_chunks: int | None = None, force_banded: bool = False, centre_y: bool = True,
+                 missing: str = "error", max_iter: int = 10, partition_cols: Sequence[str] = ("run",), seed: int = 0) -> Encoding:
     """Fit x(run, t, x[]) to y(run, t, target, y) with inner folds (fold, run, is_val).
 
     Without spaces one shared weight is used. With spaces the primal form serves more samples
-    than features (or when forced), kernels otherwise. Counts and means are small collects.
+    than features (or when forced), kernels otherwise; ``primal_coef`` gives feature weights of either. The group-level and the
+    gradient solver are primal. ``max_iter`` is the number of gradient steps. Counts and means are small collects.
     """
     if solver not in SOLVERS:
-        raise ValueError(f"Unsupported solver: {solver}")
+        raise ValueError(f"no solver {solver!r}; registered are {sorted(SOLVERS)}")
     stats = x.agg(F.count(F.lit(1)).alias("n"), vector_mean(F.col("x")).alias("m")).first()
     single = not spaces
     bands = [("all", 0, len(stats["m"]))] if single else list(spaces)
     wide_x, wide = delayed_features(x, stats["m"], delays, bands, partition_cols=partition_cols)
     if gammas is None:
         gammas = np.ones((1, 1)) if single else random_gammas(n_iter, [b[0] for b in bands], seed)
-    banded = single or solver == "hyper_gradient" or stats["n"] > len(stats["m"]) or force_banded
+    banded = single or solver != "random_search" or stats["n"] > len(stats["m"]) or force_banded
     data, fit = SOLVERS[solver](wide_x, y, folds, wide, banded=banded, gammas=np.asarray(gammas, float), alphas=alphas,
-                                n_chunks=n_chunks, centre_y=centre_y)
+                                max_iter=max_iter, n_chunks=n_chunks, centre_y=centre_y, missing=missing)
     kind = "ridge" if single else "banded" if banded else "kernel"
     return Encoding(fit, kind, list(stats["m"]), tuple(delays) if delays is not None else None, wide, data)
 

@@ -10,7 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from sigframe.functions.arrays import vector_sum
 from sigframe.session import written
@@ -66,16 +66,18 @@ def collect_gram(table: DataFrame, group_cols: Sequence[str]) -> dict[tuple, np.
 
 
 def cross(df: DataFrame, group_cols: Sequence[str], x_col: str = "x", y_col: str = "y") -> DataFrame:
-    """(group, width, values): [1|x]'y, then y'y per column, flattened, per group."""
+    """(group, width, n, values): rows, and [1|x]'y, then y'y per column, flattened, per group."""
     groups = list(group_cols)
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc: dict = {}
+        counts: dict = {}
 
         def rows() -> Iterator[pd.DataFrame]:
             for key, c in acc.items():
-                yield pd.DataFrame([(*key, c.shape[1], c.ravel())], columns=[*groups, "width", "values"])
+                yield pd.DataFrame([(*key, c.shape[1], counts[key], c.ravel())], columns=[*groups, "width", "n", "values"])
             acc.clear()
+            counts.clear()
 
         for pdf in batches:
             for key, part in pdf.groupby(groups, sort=False):
@@ -84,24 +86,52 @@ def cross(df: DataFrame, group_cols: Sequence[str], x_col: str = "x", y_col: str
                 c = np.vstack([y.sum(0), x.T @ y, (y * y).sum(0)])
                 key = tuple(key)
                 acc[key] = acc[key] + c if key in acc else c
+                counts[key] = counts.get(key, 0) + len(y)
             if sum(c.nbytes for c in acc.values()) > FLUSH_BYTES:
                 yield from rows()
         yield from rows()
 
-    parts = df.select(*groups, x_col, y_col).mapInPandas(add, _ddl(df, groups) + "width int, values array<double>")
-    return parts.groupBy(*groups, "width").agg(vector_sum(F.col("values")).alias("values"))
+    parts = df.select(*groups, x_col, y_col).mapInPandas(add, _ddl(df, groups) + "width int, n bigint, values array<double>")
+    return parts.groupBy(*groups, "width").agg(F.sum("n").alias("n"), vector_sum(F.col("values")).alias("values"))
+
+
+#: Targets that are packed, solved and predicted together.
+CHUNK_TARGETS = 200
 
 
 def pack_targets(y: DataFrame, *, keys: Sequence[str] = ("run", "t"), target: str = "target", value: str = "y",
-                 n_chunks: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Long responses to (keys, chunk, y[]) and the (chunk, targets[]) list; absent cells are 0.
+                 n_chunks: int | None = None, missing: str = "error", samples: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Long responses to (keys, chunk, y[]) and the (chunk, targets[]) list.
 
-    Chunks are hash groups of targets, so one row stays small however many targets there are.
+    Chunks are hash groups of targets, about CHUNK_TARGETS each unless their number is given, so that a row and a task stay
+    small however many targets there are. A sample that lacks a response of some target, or has it NULL or NaN, is an error; with
+    ``missing="zero"`` such responses are 0, which pulls weights towards 0, also at those of ``samples`` (keys) that have no response.
     """
-    chunk = F.pmod(F.xxhash64(target), F.lit(n_chunks)).cast("int")
-    keyed = y.withColumn("chunk", chunk)
-    names = keyed.groupBy("chunk").agg(F.array_sort(F.collect_set(target)).alias("targets"))
-    cells = keyed.groupBy(*keys, "chunk").agg(F.map_from_entries(F.collect_list(F.struct(target, value))).alias("_m"))
-    rows = cells.join(names, "chunk").select(
-        *keys, "chunk", F.transform("targets", lambda n: F.coalesce(F.try_element_at("_m", n), F.lit(0.0)).cast("double")).alias("y"))
-    return rows, names
+    if missing not in ("error", "zero"):
+        raise ValueError(f"missing responses are an error or zero, not {missing!r}")
+    if n_chunks is None:
+        n_chunks = max(1, -(-y.select(target).distinct().count() // CHUNK_TARGETS))
+    names = y.select(target).distinct().withColumn("chunk", F.pmod(F.xxhash64(target), F.lit(n_chunks)).cast("int"))
+    places = names.withColumn("place", F.row_number().over(Window.partitionBy("chunk").orderBy(target)) - 1)
+    places = places.withColumn("width", F.count(F.lit(1)).over(Window.partitionBy("chunk")))
+    value = F.col(value).cast("double")
+    cells = y.select(*keys, target, F.when(~F.isnan(value), value).alias("_v")).where(F.col("_v").isNotNull()).join(places, target)
+    rows = cells.groupBy(*keys, "chunk").agg(F.first("width").alias("width"), F.array_sort(F.collect_list(F.struct("place", F.lit(0).alias("blank"), "_v"))).alias("c"))
+    whole = F.size("c") == F.col("width")
+    if missing == "error":
+        told = F.concat_ws(" ", F.lit("of"), F.col("width").cast("string"), F.lit("responses"), F.size("c").cast("string"), F.lit("are there at"),
+                           *(F.col(k).cast("string") for k in keys))
+        packed = F.when(whole, F.col("c._v")).otherwise(F.raise_error(told).cast("array<double>"))
+    else:
+        # one merge of the places that are there with those that should be, not a lookup of each
+        blank = F.transform(F.sequence(F.lit(0), F.col("width").cast("int") - 1), lambda i: F.struct(i.alias("place"), F.lit(1).alias("blank"), F.lit(0.0).alias("_v")))
+        merged = F.aggregate(F.array_sort(F.concat("c", blank)), F.struct(F.lit(-1).alias("at"), F.array().cast("array<double>").alias("out")), lambda acc, x: F.when(
+            x["place"] == acc["at"], acc).otherwise(F.struct(x["place"].alias("at"), F.array_append(acc["out"], x["_v"]).alias("out"))))["out"]
+        packed = F.when(whole, F.col("c._v")).otherwise(merged)
+    listed = names.groupBy("chunk").agg(F.array_sort(F.collect_list(target)).alias("targets"))
+    out = rows.select(*keys, "chunk", packed.alias("y"))
+    if missing == "zero" and samples is not None:
+        widths = listed.select("chunk", F.size("targets").alias("width"))
+        grid = samples.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("chunk")).join(widths, "chunk")
+        out = grid.join(out, [*keys, "chunk"], "left").select(*keys, "chunk", F.coalesce("y", F.array_repeat(F.lit(0.0), F.col("width"))).alias("y"))
+    return out, listed

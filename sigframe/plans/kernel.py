@@ -22,7 +22,7 @@ class Kernels:
     """Kernels of one data set and the search over their weights."""
 
     def __init__(self, x: DataFrame, y: DataFrame, folds: DataFrame, spaces: Sequence[tuple[str, int, int]], *,
-                 run_col: str = "run", t_col: str = "t", n_chunks: int = 1, centre_y: bool = True):
+                 run_col: str = "run", t_col: str = "t", n_chunks: int | None = None, centre_y: bool = True, missing: str = "error"):
         self.spark, self.spaces = x.sparkSession, list(spaces)
         x = written(x, "features")
         # a few samples, numbered in one small table
@@ -40,21 +40,25 @@ class Kernels:
             space.alias("space"), F.col("c.v").alias("x"))
         grams = collect_gram(gram(cols, ["space"]), ["space"])
         self.kernels = self.spark.sparkContext.broadcast([grams[(n,)][1:, 1:] for n, _, _ in self.spaces])
-        packed, names = pack_targets(y, keys=(run_col, t_col), n_chunks=n_chunks)
+        packed, names = pack_targets(y, keys=(run_col, t_col), n_chunks=n_chunks, missing=missing, samples=x)
         self.y = written(packed.join(place, [run_col, t_col]).join(names, "chunk").select("chunk", "i", "y", "targets"), "responses")
         self.centre = centre_y
 
     def search(self, gammas: np.ndarray, alphas: Sequence[float]) -> Fit:
         kernels, val, alphas, centre = self.kernels, self.val, np.asarray(alphas, float), self.centre
+        n_samples = len(val[0])
         kind = self.y.schema["targets"].dataType.elementType.simpleString()
 
         def read(pdf: pd.DataFrame):
             pdf = pdf.sort_values("i")
             y = np.stack(pdf["y"].to_numpy()).astype(float)
-            return (y - y.mean(0) if centre else y), list(pdf["targets"].iloc[0])
+            if len(y) != n_samples:
+                raise ValueError(f"{n_samples} samples have features and {len(y)} responses; drop or complete the others")
+            mean = y.mean(0) if centre else np.zeros(y.shape[1])
+            return y - mean, list(pdf["targets"].iloc[0]), mean
 
         def losses(pdf: pd.DataFrame) -> pd.DataFrame:
-            y, targets = read(pdf)
+            y, targets, _ = read(pdf)
             g = int(pdf["gamma_id"].iloc[0])
             k = sum(w * m for w, m in zip(gammas[g], kernels.value))
             score = np.zeros((len(val), len(alphas), len(targets)))
@@ -79,15 +83,15 @@ class Kernels:
             F.collect_list(F.struct("target", "gamma_id", "alpha")).alias("picks"))
 
         def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-            y, targets = read(pdf)
+            y, targets, mean = read(pdf)
             out = []
             for p in pdf["picks"].iloc[0]:
                 k = sum(w * m for w, m in zip(gammas[p["gamma_id"]], kernels.value))
-                dual = np.linalg.solve(k + p["alpha"] * np.eye(len(k)), y[:, targets.index(p["target"])])
-                out.append((p["target"], dual))
-            return pd.DataFrame(out, columns=["target", "coef"])
+                j = targets.index(p["target"])
+                out.append((p["target"], np.linalg.solve(k + p["alpha"] * np.eye(len(k)), y[:, j]), mean[j]))
+            return pd.DataFrame(out, columns=["target", "coef", "mean"])
 
-        dual = written(self.y.join(picks, "chunk").groupBy("chunk").applyInPandas(solve, f"target {kind}, coef array<double>"), "dual")
+        dual = written(self.y.join(picks, "chunk").groupBy("chunk").applyInPandas(solve, f"target {kind}, coef array<double>, mean double"), "dual")
         rows = [(i, n, float(g)) for i, draw in enumerate(gammas) for (n, _, _), g in zip(self.spaces, draw)]
         table = self.spark.createDataFrame(rows, "gamma_id int, space string, gamma double")
         delta = F.when(F.col("gamma") > 0, F.ln(F.col("gamma") / F.col("alpha"))).otherwise(F.lit(float("-inf")))
@@ -110,4 +114,4 @@ class Kernels:
             return F.transform(F.slice("s", start + 1, end - start), lambda v: v * F.try_element_at("m", F.lit(name)))
 
         parts = [weighted(*space) for space in self.spaces]
-        return sums.join(per, "target").select("target", F.concat(*parts).alias("coef"))
+        return sums.join(per, "target").join(fit.coef.select("target", "mean"), "target").select("target", F.concat(*parts).alias("coef"), "mean")

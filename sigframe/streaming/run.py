@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sigframe.session import shared_dir
 
+#: Event time of the row that ends a replay; it stands in no result.
+END = "2261-01-01 00:00:00"
+
 
 def read_files(spark: SparkSession, folder: str, pattern: str, files_per_trigger: int = 1000) -> DataFrame:
     """A parquet file stream of the files in ``folder`` that match ``pattern``."""
@@ -16,13 +21,40 @@ def read_files(spark: SparkSession, folder: str, pattern: str, files_per_trigger
     )
 
 
-def drain(df: DataFrame, mode: str = "append") -> DataFrame:
-    """Process all available input into a parquet table in the shared folder and read it."""
+def replay(spark: SparkSession, folder: str, pattern: str, ts_col: str, files_per_trigger: int = 1000) -> tuple[DataFrame, Callable[[], None]]:
+    """A stream of files that ends, and what ends it.
+
+    Calling the second adds one row far in the future, NULL but for its event time, so that every window that is open and every row
+    that waits is emitted; ``drain`` does so once all files are read.
+    """
+    files = read_files(spark, folder, pattern, files_per_trigger)
+    last = f"{shared_dir(spark)}/end"
+    row = spark.range(1).select(*[(F.lit(END) if f.name == ts_col else F.lit(None)).cast(f.dataType).alias(f.name) for f in files.schema])
+    row.limit(0).write.parquet(last)  # the folder has to be there when the stream starts
+    return files.unionAll(spark.readStream.schema(files.schema).parquet(last)), lambda: row.write.mode("append").parquet(last)
+
+
+def drain(df: DataFrame, mode: str = "append", finish: Callable[[], None] | None = None, allow_late: bool = False) -> DataFrame:
+    """Process all available input into a parquet table in the shared folder and read it.
+
+    With ``finish``, of ``replay``, the stream is ended and the result complete. Rows that come later than the stream allows
+    are lost to it; unless that is allowed they are an error, because which they are depends on how files fall into batches.
+    """
     spark = df.sparkSession
     base = shared_dir(spark)
-    q = (
-        df.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out")
-        .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
+
+    def run() -> int:
+        q = (
+            df.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out")
+            .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+        )
+        q.awaitTermination()
+        return sum(int(s.numRowsDroppedByWatermark) for p in q.recentProgress for s in p.stateOperators)
+
+    late = run()
+    if finish is not None:
+        finish()
+        late += run()
+    if late and not allow_late:
+        raise ValueError(f"{late} rows or partial groups came later than the stream allows; allow more time or pass allow_late")
     return spark.read.schema(df.schema).parquet(f"{base}/out")

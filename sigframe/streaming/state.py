@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -14,11 +15,12 @@ from sigframe.plans.decomposition import State
 from sigframe.plans.gram import collect_gram, gram
 
 
-def lagged(df: DataFrame, delays: Sequence[int], *, key: str = "run", order_col: str = "ts", value_col: str = "value",
+def lagged(df: DataFrame, delays: Sequence[int], *, late: str, key: str = "run", order_col: str = "ts", value_col: str = "value",
            carry: Sequence[str] = ()) -> DataFrame:
-    """Earlier values of each run, 0 before its start; the state holds the last max(delay) values.
+    """Earlier values of each run, 0 before its start, in the order of the event time ``order_col``.
 
-    Rows of a run are put in order within a micro-batch; batches follow each other in time.
+    A row waits in the state until rows before it can no longer come (``late``), so lags do not depend on how rows fall into
+    batches. The state of a run holds the rows that wait and the last max(delay) values.
     """
     depth = max(delays)
     fields = df.select(key, order_col, value_col, *carry).schema
@@ -27,17 +29,29 @@ def lagged(df: DataFrame, delays: Sequence[int], *, key: str = "run", order_col:
     schema = ddl + "".join(f", {value_col}_d{d} double" for d in delays)
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        past = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(order_col, kind="stable").reset_index(drop=True)
-        values = np.concatenate([np.zeros(depth - len(past)), past, rows[value_col].to_numpy(float)])
-        out = rows[out_cols].copy()
-        for d in delays:
-            out[f"{value_col}_d{d}"] = values[depth - d: len(values) - d]
-        state.update(([float(v) for v in values[-depth:]],))
-        yield out
-
-    return df.select(*out_cols).groupBy(key).applyInPandasWithState(
-        step, schema, "past array<double>", "append", GroupStateTimeout.NoTimeout)
+        past, held = state.get if state.exists else ([], None)
+        parts = [p for p in [*([pickle.loads(held)] if held else []), *batches] if len(p)]
+        if not parts:
+            return
+        rows = pd.concat(parts, ignore_index=True)
+        border = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
+        ready = rows[order_col] <= border
+        done, wait = rows[ready].sort_values([order_col, *carry], kind="stable"), rows[~ready]
+        if len(done):
+            values = np.concatenate([np.zeros(depth - len(past)), past, done[value_col].to_numpy(float)])
+            done = done[out_cols].reset_index(drop=True)
+            for d in delays:
+                done[f"{value_col}_d{d}"] = values[depth - d: len(values) - d]
+            past = [float(v) for v in values[-depth:]]
+        state.update((list(past), pickle.dumps(wait[out_cols].reset_index(drop=True)) if len(wait) else None))
+        if len(wait):
+            state.setTimeoutTimestamp(max(int(wait[order_col].min().timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+        if len(done):
+            yield done
+
+    rows = df.select(*out_cols).withWatermark(order_col, late)
+    return rows.groupBy(key).applyInPandasWithState(
+        step, schema, "past array<double>, held binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def write_moments(df: DataFrame, path: str, checkpoint: str, *, x_col: str = "x"):

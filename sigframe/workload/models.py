@@ -11,7 +11,7 @@ from sigframe.plans.kernel import Kernels
 from sigframe.session import shared_dir, written
 from sigframe.sources.models import load_model, save_model
 from sigframe.streaming import run as stream, state, windows as stream_windows
-from sigframe.workload.base import event_seconds, regular_sql, series
+from sigframe.workload.base import SAMPLES_SQL, event_seconds, regular_sql, samples, series
 from sigframe.workload.registry import query, table
 
 # -- hourly responses of five series to the view and click series one hour before, weeks as runs -----------
@@ -80,7 +80,7 @@ def m1_ridge_single_feature(spark, d):
 @query("m1_shared_alpha", f"WITH {_ONE}, sh AS (SELECT alpha FROM l1 GROUP BY alpha ORDER BY avg(score) DESC, alpha LIMIT 1) SELECT target, alpha, round(score, 3) AS score FROM l1 JOIN sh USING (alpha)")
 def m1_shared_alpha(spark, d):
     x, y = features(spark, d, ("view",)), responses(spark, d)
-    data = ridge.prepare(x, y, run_folds(y), [("view", 0, 1)])
+    data = ridge.prepare(x, y, run_folds(y), [("view", 0, 1)], n_chunks=3)
     fit = data.search(np.ones((1, 1)), ALPHAS, local_alpha=False)
     return fit.choice.select("target", "alpha", F.round("score", 3).alias("score"))
 
@@ -106,7 +106,7 @@ def m2_banded(spark, d):
 def m3_kernel(spark, d):
     """The same search through kernels; weights mapped back to features."""
     x, y = features(spark, d), responses(spark, d)
-    data = Kernels(x, y, run_folds(y), TWO)
+    data = Kernels(x, y, run_folds(y), TWO, n_chunks=3)
     fit = data.search(GAMMAS, ALPHAS)
     return _band_rows(fit, data.primal(fit, x))
 
@@ -114,13 +114,13 @@ def m3_kernel(spark, d):
 @query("m14_prediction", f"WITH {_TWO} SELECT w.target, x.t, round(u * x1 + v * x2, 6) AS prediction FROM w, x")
 def m14_prediction(spark, d):
     x, _, fit = two_spaces(spark, d)
-    return ridge.predict(x, fit.coef).select("target", "t", F.round("prediction", 6).alias("prediction"))
+    return ridge.predict(x, fit.coef.drop("mean")).select("target", "t", F.round("prediction", 6).alias("prediction"))
 
 
 @query("m14_prediction_split", f"WITH {_TWO} SELECT w.target, x.t, sp AS space, round(CASE sp WHEN 'view' THEN u * x1 ELSE v * x2 END, 6) AS prediction FROM w, x, (SELECT unnest(['view', 'click']) AS sp)")
 def m14_prediction_split(spark, d):
     x, _, fit = two_spaces(spark, d)
-    return ridge.predict(x, fit.coef, spaces=TWO).select("target", "t", "space", F.round("prediction", 6).alias("prediction"))
+    return ridge.predict(x, fit.coef.drop("mean"), spaces=TWO).select("target", "t", "space", F.round("prediction", 6).alias("prediction"))
 
 
 @query("a23_metrics", f"""WITH {_TWO}, j AS (SELECT w.target, y.y, u * x1 + v * x2 AS p FROM w JOIN y USING (target) JOIN x USING (t))
@@ -128,7 +128,7 @@ SELECT target, round(coalesce(covar_pop(p, y) / nullif(sqrt(var_pop(p) * var_pop
 def a23_metrics(spark, d):
     x, y, fit = two_spaces(spark, d)
     y = bands.standardise(y, "y", keys=["target"], scale=False)
-    out = ridge.metrics(y, ridge.predict(x, fit.coef))
+    out = ridge.metrics(y, ridge.predict(x, fit.coef.drop("mean")))
     return out.withColumns({c: F.round(c, 6) for c in ("correlation", "r2")})
 
 
@@ -138,7 +138,7 @@ SELECT target, space, round(avg(pk * (2 * y - p)) / var_pop(y), 6) AS r2, round(
 def a23_split_metrics(spark, d):
     x, y, fit = two_spaces(spark, d)
     y = bands.standardise(y, "y", keys=["target"], scale=False)
-    out = ridge.split_metrics(y, ridge.predict(x, fit.coef, spaces=TWO))
+    out = ridge.split_metrics(y, ridge.predict(x, fit.coef.drop("mean"), spaces=TWO))
     return out.select("target", "space", F.round("r2", 6).alias("r2"), F.round("correlation", 6).alias("correlation"))
 
 
@@ -146,7 +146,58 @@ def a23_split_metrics(spark, d):
 def a23_residuals(spark, d):
     x, y, fit = two_spaces(spark, d)
     y = bands.standardise(y, "y", keys=["target"], scale=False)
-    return ridge.residuals(y, ridge.predict(x, fit.coef)).select("target", "t", F.round("residual", 6).alias("residual"))
+    return ridge.residuals(y, ridge.predict(x, fit.coef.drop("mean"))).select("target", "t", F.round("residual", 6).alias("residual"))
+
+
+_RAW = f"""{_TWO}, raw AS (SELECT run AS target, t, value, avg(value) OVER (PARTITION BY run) AS m FROM series),
+j AS (SELECT w.target, x.t, raw.value AS y, raw.m + u * x1 + v * x2 AS p FROM w JOIN raw USING (target) JOIN x USING (t))"""
+
+
+@query("m14_prediction_raw", f"WITH {_RAW} SELECT target, t, round(p, 6) AS prediction FROM j")
+def m14_prediction_raw(spark, d):
+    """Predictions of the responses as they are: the training mean is part of the model."""
+    x, _, fit = two_spaces(spark, d)
+    return ridge.predict(x, fit.coef).select("target", "t", F.round("prediction", 6).alias("prediction"))
+
+
+@query("a23_metrics_raw", f"""WITH {_RAW} SELECT target, round(coalesce(covar_pop(p, y) / nullif(sqrt(var_pop(p) * var_pop(y)), 0), 0), 6) AS correlation,
+round(1 - avg((y - p) * (y - p)) / var_pop(y), 6) AS r2, count(*) AS n FROM j GROUP BY 1""")
+def a23_metrics_raw(spark, d):
+    x, y, fit = two_spaces(spark, d)
+    out = ridge.metrics(y, ridge.predict(x, fit.coef))
+    return out.withColumns({c: F.round(c, 6) for c in ("correlation", "r2")})
+
+
+# -- many targets: every user's events of a type, in steps of six hours -------------------------------------------
+
+_USERS = f"""{SAMPLES_SQL}, st AS (SELECT CAST(unnest(range(0, (SELECT CAST(floor(max(time) / 21600.0) AS BIGINT) FROM samples) + 1)) AS INTEGER) AS t),
+tot AS (SELECT CAST(floor(time / 21600.0) AS INTEGER) AS t, round(sum(value), 2) AS v FROM samples WHERE run = 'view' GROUP BY 1),
+xs AS (SELECT st.t, st.t // 24 AS run, coalesce(tot.v, 0) AS x0 FROM st LEFT JOIN tot USING (t)),
+x AS (SELECT t, run, x0 - avg(x0) OVER () AS x FROM xs),
+cl AS (SELECT user_id || '-' || run AS target, CAST(floor(time / 21600.0) AS INTEGER) AS t, round(sum(value), 2) AS v FROM samples GROUP BY 1, 2),
+y0 AS (SELECT g.target, x.t, x.run, x.x, coalesce(cl.v, 0) AS y FROM (SELECT DISTINCT target FROM cl) g CROSS JOIN x LEFT JOIN cl ON cl.target = g.target AND cl.t = x.t),
+y AS (SELECT *, y - avg(y) OVER (PARTITION BY target) AS yc, avg(y) OVER (PARTITION BY target) AS m FROM y0),
+s AS (SELECT target, run, max(m) AS m, sum(x * x) AS g, sum(x * yc) AS c, sum(yc * yc) AS yy, count(*) AS n FROM y GROUP BY 1, 2),
+tt AS (SELECT target, max(m) AS m, sum(g) AS g, sum(c) AS c FROM s GROUP BY 1),
+l AS (SELECT target, alpha, avg(-(yy - 2 * b * c + b * b * g) / n) AS score FROM (
+  SELECT s.*, alpha, (tt.c - s.c) / (tt.g - s.g + alpha) AS b FROM s JOIN tt USING (target), (SELECT unnest([1e5, 1e7, 1e9]) AS alpha)) GROUP BY 1, 2),
+b AS (SELECT DISTINCT ON (target) target, alpha, score FROM l ORDER BY target, round(score, 6) DESC, alpha)"""
+
+
+@query("m1_user_targets", f"WITH {_USERS} SELECT target, round(c / (g + alpha), 8) AS coef, round(m, 6) AS mean FROM b JOIN tt USING (target)")
+def m1_user_targets(spark, d):
+    """Hundreds of targets in chunks of about 200; steps without an event of a user are 0."""
+    s = samples(spark, d).withColumn("t", F.floor(F.col("time") / 21600.0).cast("int"))
+    last = s.agg(F.max("t")).scalar()
+    v = s.where("run = 'view'").groupBy("t").agg(F.round(F.sum("value"), 2).alias("v"))
+    t = spark.range(1).select(F.explode(F.sequence(F.lit(0), last)).alias("t"))
+    x = t.join(v, "t", "left").select((F.floor(F.col("t") / 24)).cast("int").alias("run"), "t", F.coalesce("v", F.lit(0.0)).alias("v"))
+    x = written(bands.centre_on_train(x, F.lit(True), ["v"]).select("run", "t", F.array("v").alias("x")))
+    y = s.groupBy(F.concat_ws("-", "user_id", "run").alias("target"), "t").agg(F.round(F.sum("value"), 2).alias("y"))
+    y = written(y.withColumn("run", F.floor(F.col("t") / 24).cast("int")))
+    folds = fold_ops.leave_runs_out(x.select("run").distinct(), x.select("run").distinct().count(), 1)
+    fit = ridge.prepare(x, y, folds, [("view", 0, 1)], missing="zero").search(np.ones((1, 1)), [1e5, 1e7, 1e9])
+    return fit.coef.select("target", F.round(F.get("coef", F.lit(0)), 8).alias("coef"), F.round("mean", 6).alias("mean"))
 
 
 # -- group level: users in four groups as subjects, one left out per fold -------------------------------------
@@ -312,29 +363,32 @@ def s9_decomposition_roundtrip(spark, d):
 
 # -- streams: the event file replayed -----------------------------------------------------------------------------
 
-def event_stream(spark, d) -> DataFrame:
-    s = stream.read_files(spark, d, "events.parquet")
+def event_stream(spark, d):
+    """The events, and what ends their stream."""
+    s, finish = stream.replay(spark, d, "events.parquet", "ts")
     # the file's times carry no zone and mean UTC, whatever zone the session reads them in
     utc = F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())
-    return s.select(F.col("event_type").alias("run"), utc.alias("ts"), "value", "event_id")
+    return s.select(F.col("event_type").alias("run"), utc.alias("ts"), "value", "event_id"), finish
 
 
-_STREAM = "e AS (SELECT event_type AS run, epoch_us(ts) AS us, value, event_id FROM events), wm AS (SELECT max(us) - 600000000 AS wm FROM e)"
+_STREAM = "e AS (SELECT event_type AS run, epoch_us(ts) AS us, value, event_id FROM events)"
 
 
-def _stream_out(df: DataFrame) -> DataFrame:
+def _windowed(spark, d, windows) -> DataFrame:
+    events, finish = event_stream(spark, d)
+    df = stream.drain(windows(events), finish=finish)
     return df.select("run", F.unix_seconds("window_start").alias("start_s"), "n", F.round("value", 6).alias("value"))
 
 
 @query("st1_sliding", f"""WITH {_STREAM}, w AS (SELECT run, value, CAST(us // 3600000000 - k AS BIGINT) AS h FROM e, (SELECT unnest(range(0, 6)) AS k))
-SELECT run, h * 3600 AS start_s, count(*) AS n, round(avg(value), 6) AS value FROM w, wm WHERE (h + 6) * 3600000000 <= wm GROUP BY 1, 2""")
+SELECT run, h * 3600 AS start_s, count(*) AS n, round(avg(value), 6) AS value FROM w GROUP BY 1, 2""")
 def st1_sliding(spark, d):
-    return _stream_out(stream.drain(stream_windows.sliding_features(event_stream(spark, d), width="6 hours", step="1 hour")))
+    return _windowed(spark, d, lambda s: stream_windows.sliding_features(s, width="6 hours", step="1 hour", late="10 minutes"))
 
 
-@query("st2_tumbling", f"""WITH {_STREAM} SELECT run, CAST(us // 3600000000 * 3600 AS BIGINT) AS start_s, count(*) AS n, round(avg(value), 6) AS value FROM e, wm WHERE (us // 3600000000 + 1) * 3600000000 <= wm GROUP BY 1, 2""")
+@query("st2_tumbling", f"""WITH {_STREAM} SELECT run, CAST(us // 3600000000 * 3600 AS BIGINT) AS start_s, count(*) AS n, round(avg(value), 6) AS value FROM e GROUP BY 1, 2""")
 def st2_tumbling(spark, d):
-    return _stream_out(stream.drain(stream_windows.tumbling_features(event_stream(spark, d), width="1 hour")))
+    return _windowed(spark, d, lambda s: stream_windows.tumbling_features(s, width="1 hour", late="10 minutes"))
 
 
 @query("st3_incremental_moments", """SELECT CAST(i - 1 AS INTEGER) AS dim, count(*) AS n, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS mean, round(var_pop(CAST(embedding[i] AS DOUBLE)), 6) AS variance FROM (SELECT embedding, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY i""")
@@ -349,18 +403,19 @@ def st3_incremental_moments(spark, d):
 
 @query("st4_segments", f"""WITH {_STREAM}, g AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY run ORDER BY us) < 1800000000 THEN 0 ELSE 1 END AS new FROM e),
 i AS (SELECT *, sum(new) OVER (PARTITION BY run ORDER BY us) AS seg FROM g)
-SELECT run, CAST(min(us) // 1000000 AS BIGINT) AS start_s, count(*) AS n, round(avg(value), 6) AS value FROM i, wm GROUP BY run, seg, wm HAVING max(us) + 1800000000 <= wm""")
+SELECT run, CAST(min(us) // 1000000 AS BIGINT) AS start_s, count(*) AS n, round(avg(value), 6) AS value FROM i GROUP BY run, seg""")
 def st4_segments(spark, d):
-    return _stream_out(stream.drain(stream_windows.active_segments(event_stream(spark, d), gap="30 minutes")))
+    return _windowed(spark, d, lambda s: stream_windows.active_segments(s, gap="30 minutes", late="10 minutes"))
 
 
 @query("st5_lagged", f"WITH {_STREAM} SELECT run, event_id, value, coalesce(lag(value, 1) OVER w, 0) AS value_d1, coalesce(lag(value, 3) OVER w, 0) AS value_d3 FROM e WINDOW w AS (PARTITION BY run ORDER BY us)")
 def st5_lagged(spark, d):
-    out = stream.drain(state.lagged(event_stream(spark, d), [1, 3], carry=["event_id"]))
+    events, finish = event_stream(spark, d)
+    out = stream.drain(state.lagged(events, [1, 3], late="10 minutes", carry=["event_id"]), finish=finish)
     return out.select("run", "event_id", "value", "value_d1", "value_d3")
 
 
 @query("st6_regressors", f"WITH {_STREAM} SELECT event_id, printf('%.2f*%.2f', CAST(us // 1000000 - 1704067200 AS DOUBLE), value) AS regressor FROM e")
 def st6_regressors(spark, d):
-    s = event_stream(spark, d).select("run", "event_id", (F.unix_seconds("ts") - 1704067200).cast("double").alias("onset"), F.col("value").alias("amplitude"))
+    s = event_stream(spark, d)[0].select("run", "event_id", (F.unix_seconds("ts") - 1704067200).cast("double").alias("onset"), F.col("value").alias("amplitude"))
     return stream.drain(stimulus.regressors(s, "am")).select("event_id", "regressor")

@@ -9,7 +9,7 @@ from sigframe.plans import decomposition, encoding, gram, ridge
 from sigframe.plans.kernel import Kernels
 from sigframe.session import shared_dir
 from sigframe.sources.models import load_model, save_model
-from sigframe.streaming import run as stream, state
+from sigframe.streaming import run as stream, state, windows
 
 
 def problem(spark, n=60, p=6, targets=5, runs=3, seed=0, noise=0.5):
@@ -77,9 +77,9 @@ def test_predictions_and_metrics(spark):
     w = {r["target"]: np.array(r["coef"]) for r in fit.coef.collect()}
     pred = ridge.predict(xs, fit.coef, row_groups=3, target_groups=2)
     for r in pred.where("t = 7").collect():
-        assert r["prediction"] == pytest.approx(x[7] @ w[r["target"]])
+        assert r["prediction"] == pytest.approx(x[7] @ w[r["target"]] + y[:, int(r["target"][1:])].mean())
     m = {r["target"]: r for r in ridge.metrics(ys, pred).collect()}
-    p0 = x @ w["v0"]
+    p0 = x @ w["v0"] + y[:, 0].mean()
     assert m["v0"]["r2"] == pytest.approx(1 - ((y[:, 0] - p0) ** 2).sum() / ((y[:, 0] - y[:, 0].mean()) ** 2).sum())
     assert m["v0"]["correlation"] == pytest.approx(np.corrcoef(y[:, 0], p0)[0, 1])
     split = ridge.predict(xs, fit.coef, spaces=SPACES)
@@ -128,10 +128,75 @@ def test_group_level(spark):
     alpha = by_entry.fit.choice.first()["alpha"]
     np.testing.assert_allclose(by_entry.fit.coef.first()["coef"], np.linalg.solve(xc.T @ xc + alpha * np.eye(2), xc.T @ whole))
     short = ys.where("not (subject = 1 and t = 3)")
-    with pytest.raises(ValueError, match="same number of samples"):
+    with pytest.raises(ValueError, match="equally many"):
         ridge.prepare_group(xs, short, folds, spaces)
 
 
+def test_responses_keep_their_mean(spark):
+    x, y, run, xs, ys, folds = problem(spark, noise=0.0)
+    high = ys.withColumn("y", F.col("y") + 100)
+    model = encoding.fit_encoding(xs, high, folds, SPACES, delays=None, alphas=[1e-9], n_iter=1)
+    fit, xs = model.fit, encoding.transform(model, xs, SPACES)
+    for r in ridge.metrics(high, ridge.predict(xs, fit.coef)).collect():
+        assert r["r2"] > 0.99
+    split = ridge.predict(xs, fit.coef, spaces=SPACES).groupBy("run", "t", "target").agg(F.sum("prediction").alias("s"))
+    both = split.join(ridge.predict(xs, fit.coef), ["run", "t", "target"]).agg(F.max(F.abs(F.col("s") - F.col("prediction"))).alias("d")).first()
+    assert both["d"] < 1e-8
+
+
+@pytest.mark.parametrize("model", [ridge.prepare, Kernels])
+def test_absent_responses_are_refused_or_zero(spark, model):
+    x, y, run, xs, ys, folds = problem(spark)
+    gammas = np.array([[0.5, 0.5]])
+    gapped = ys.where("NOT (target = 'v1' AND t % 3 = 0)")
+    nulls = ys.withColumn("y", F.when(~((F.col("target") == "v1") & (F.col("t") % 3 == 0)), F.col("y")))
+    nans = nulls.withColumn("y", F.coalesce("y", F.lit(float("nan"))))
+    for rows in (gapped, nulls, nans):
+        with pytest.raises(Exception, match="responses"):
+            model(xs, rows, folds, SPACES, n_chunks=2).search(gammas, ALPHAS)
+    with pytest.raises(Exception, match="responses"):
+        model(xs, ys.where("t <> 7"), folds, SPACES).search(gammas, ALPHAS)
+    if model is ridge.prepare:
+        with pytest.raises(Exception, match="no features"):
+            model(xs.where("t <> 7"), ys, folds, SPACES).search(gammas, ALPHAS)
+    zeros = ys.withColumn("y", F.when((F.col("target") == "v1") & (F.col("t") % 3 == 0), 0.0).when(F.col("t") == 7, 0.0).otherwise(F.col("y")))
+    want = {r["target"]: r["coef"] for r in model(xs, zeros, folds, SPACES).search(gammas, ALPHAS).coef.collect()}
+    got = model(xs, gapped.where("t <> 7"), folds, SPACES, n_chunks=2, missing="zero").search(gammas, ALPHAS).coef.collect()
+    for r in got:
+        np.testing.assert_allclose(r["coef"], want[r["target"]], atol=1e-10)
+    with pytest.raises(ValueError, match="error or zero"):
+        model(xs, ys, folds, SPACES, missing="mean")
+
+
+def test_targets_are_chunked_by_default(spark, monkeypatch):
+    x, y, run, xs, ys, folds = problem(spark, targets=9)
+    one = {r["target"]: r["coef"] for r in ridge.prepare(xs, ys, folds, SPACES).search(np.array([[0.5, 0.5]]), ALPHAS).coef.collect()}
+    monkeypatch.setattr(gram, "CHUNK_TARGETS", 2)
+    data = ridge.prepare(xs, ys, folds, SPACES)
+    assert data.crosses.select("chunk").distinct().count() > 2
+    for r in data.search(np.array([[0.5, 0.5]]), ALPHAS).coef.collect():
+        np.testing.assert_allclose(r["coef"], one[r["target"]])
+
+
+def test_group_level_with_time_restarting_in_each_run(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(20, 2))
+    subs = [x @ [1.0, 2.0] + rng.normal(size=20) for _ in range(3)]
+    at = [(i // 10, i % 10) for i in range(20)]
+    xs = spark.createDataFrame([(*at[i], i, [float(v) for v in x[i]]) for i in range(20)], "run int, t int, u int, x array<double>")
+    ys = spark.createDataFrame([(s, *at[i], i, "v", float(subs[s][i])) for s in range(3) for i in range(20)], "subject int, run int, t int, u int, target string, y double")
+    folds = fold_ops.leave_runs_out(spark.createDataFrame([(i,) for i in range(3)], "subject int"), 3, 1, run_col="subject")
+    spaces, gammas = [("a", 0, 2)], np.ones((1, 1))
+    by_run = ridge.prepare_group(xs.drop("u"), ys.drop("u"), folds, spaces).search(gammas, [1.0]).coef.first()["coef"]
+    flat = ridge.prepare_group(xs.select(F.col("u").alias("t"), "x"), ys.select("subject", F.col("u").alias("t"), "target", "y"), folds, spaces)
+    np.testing.assert_allclose(by_run, flat.search(gammas, [1.0]).coef.first()["coef"])
+    with pytest.raises(ValueError, match="repeat values"):
+        ridge.prepare_group(xs.drop("u", "run"), ys.drop("u"), folds, spaces)
+    wide = encoding.fit_encoding(xs.drop("u").limit(1).withColumn("x", F.array_repeat(F.lit(1.0), 30)).union(xs.drop("u").withColumn(
+        "x", F.concat("x", F.array_repeat(F.lit(0.5), 28))).where("NOT (run = 0 AND t = 0)")), ys.drop("u"), folds, None, delays=None, alphas=[1.0], solver="group_level_random_search")
+    assert len(encoding.primal_coef(wide, xs).first()["coef"]) == 30
+
+
 def test_fit_encoding_chooses_solver_and_delays(spark):
     x, y, run, xs, ys, folds = problem(spark, n=30, p=6, runs=3)
     model = encoding.fit_encoding(xs, ys, folds, SPACES, delays=[0, 1], alphas=ALPHAS, n_iter=2)
@@ -149,7 +214,7 @@ def test_fit_encoding_chooses_solver_and_delays(spark):
     b = {r["target"]: r["coef"] for r in forced.fit.coef.collect()}
     for k in a:
         np.testing.assert_allclose(a[k], b[k], atol=1e-8)
-    with pytest.raises(ValueError, match="Unsupported solver"):
+    with pytest.raises(ValueError, match="no solver"):
         encoding.fit_encoding(xs, ys, folds, SPACES, solver="none")
 
 
@@ -301,24 +366,64 @@ def test_p_threshold_masks_every_failure(spark):
     assert got == [None, 2.0, None, None, None]
 
 
+def test_missing_p_values_and_draws_do_not_count(spark):
+    p = spark.createDataFrame([(1, 0.01), (2, float("nan")), (3, 0.5), (4, None)], "i int, p double")
+    got = {r["i"]: r["p_adj"] for r in inference.adjust_p(p, "bonferroni").collect()}
+    assert got == {1: 0.02, 2: None, 3: 1.0, 4: None}
+    observed = spark.createDataFrame([("a", 1.0), ("b", None)], "target string, stat double")
+    null = spark.createDataFrame([(1, "a", 0.5), (2, "a", None), (3, "a", 2.0), (4, "a", float("nan")), (1, "b", 1.0)], "perm int, target string, stat double")
+    got = {r["target"]: r["p"] for r in inference.p_from_null(observed, null).collect()}
+    assert got == {"a": pytest.approx(2 / 3), "b": None}
+    pairs = spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (float("nan"), 9.0), (3.0, 6.0), (8.0, None)], "x double, y double")
+    assert pairs.agg(inference.correlation(F.col("x"), F.col("y")).alias("r")).first()["r"] == pytest.approx(1)
+    m = spark.createDataFrame([(float(i),) for i in (1, 2, 10, 256, 257, 5000)], "m double")
+    for r in m.select("m", inference.harmonic(F.col("m")).alias("h")).collect():
+        assert r["h"] == pytest.approx(sum(1 / i for i in range(1, int(r["m"]) + 1)), rel=1e-12)
+
+
 # -- streams -------------------------------------------------------------------------------------------
 
-def test_lagged_state_spans_batches(spark):
+def event_files(spark, n_files=6):
+    """Rows of two runs in files that are out of order, with a late row in each."""
+    import time
+
     base = shared_dir(spark)
-    rows = [("a", i, float(i)) for i in range(12)] + [("b", i, float(100 + i)) for i in range(5)]
-    for k in range(3):
-        spark.createDataFrame([r for r in rows if r[1] // 4 == k], "run string, ts int, value double").coalesce(1).write.mode("append").parquet(f"{base}/in")
-        import time
-        time.sleep(1.1)  # file times order the batches
-    s = spark.readStream.schema("run string, ts int, value double").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    out = stream.drain(state.lagged(s, [1, 5])).collect()
-    got = {(r["run"], r["ts"]): (r["value_d1"], r["value_d5"]) for r in out}
-    assert len(got) == 17
+    rows = [("a", i, float(i)) for i in range(40)] + [("b", i, float(100 + i)) for i in range(10)]
+    dealt = [sorted(rows, key=lambda r: (-r[1], r[0]))[k::n_files] for k in range(n_files)]
+    for part in dealt:
+        df = spark.createDataFrame(part, "run string, s int, value double").select("run", F.timestamp_seconds(F.col("s") + 1_000_000_000).alias("ts"), "value")
+        df.coalesce(1).write.mode("append").parquet(f"{base}/in")
+        time.sleep(0.02)
+    return f"{base}/in"
+
+
+@pytest.mark.parametrize("files_per_trigger", [1, 3, 1000])
+def test_lags_do_not_depend_on_batches(spark, files_per_trigger):
+    s, finish = stream.replay(spark, event_files(spark), "*.parquet", "ts", files_per_trigger)
+    out = stream.drain(state.lagged(s, [1, 5], late="1 hour"), finish=finish)
+    got = {(r["run"], r["t"]): (r["value_d1"], r["value_d5"]) for r in out.withColumn("t", F.unix_seconds("ts") - 1_000_000_000).collect()}
+    assert len(got) == 50
     for (run, t), (d1, d5) in got.items():
         first = 0 if run == "a" else 100
         assert d1 == (first + t - 1 if t >= 1 else 0) and d5 == (first + t - 5 if t >= 5 else 0)
 
 
+@pytest.mark.parametrize("files_per_trigger", [1, 3, 1000])
+def test_windows_are_complete_for_any_batches(spark, files_per_trigger):
+    s, finish = stream.replay(spark, event_files(spark), "*.parquet", "ts", files_per_trigger)
+    out = stream.drain(windows.tumbling_features(s, width="10 seconds", late="1 hour"), finish=finish).collect()
+    assert {(r["run"], int(r["value"])): r["n"] for r in out} == {("a", 4): 10, ("a", 14): 10, ("a", 24): 10, ("a", 34): 10, ("b", 104): 10}
+
+
+def test_late_rows_are_told(spark):
+    folder = event_files(spark)
+    late = lambda: windows.tumbling_features(spark.readStream.schema("run string, ts timestamp, value double").option(
+        "maxFilesPerTrigger", 1).parquet(folder), width="1 second", late="0 seconds")
+    with pytest.raises(ValueError, match="later than the stream allows"):
+        stream.drain(late())
+    assert stream.drain(late(), allow_late=True).count() > 0
+
+
 def test_stream_moments_are_idempotent(spark):
     base = shared_dir(spark)
     rng = np.random.default_rng(8)
