@@ -1,8 +1,8 @@
 """Near-duplicate documents by MinHash with sequential Bayesian verification.
 
 1. A document becomes a set of word shingles and a signature of minima; equal sets are one node from here on.
-2. Bands of the signature propose candidates. A bucket's members are compared with its first member; then members of different
-   components that are still in one bucket are compared with each other. Pairs within a component are never formed.
+2. Bands of the signature propose candidates. A bucket's members are compared with its first member; then those of its members that
+   are still in different components are compared with each other, block by block. Pairs within a component are never compared.
 3. Signatures of a pair are compared batch by batch. After each batch the pair goes if the posterior probability that its
    similarity reaches the threshold is below MISS.
 4. Survivors are verified on their full sets, and components of verified links are made.
@@ -27,10 +27,12 @@ from sigframe.session import written
 ROWS, BANDS = 10, 64
 HASHES = ROWS * BANDS
 BATCH = 64
-MISS = 1e-9
+MISS = 1e-6
+#: Members of a bucket that are compared with as many others at a time.
+BLOCK = 128
 #: Node keys that are sent to every task to fetch their texts (16 bytes each); more are joined by shuffle.
 SENT_KEYS = 500_000
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 
 def _constants() -> tuple[np.ndarray, np.ndarray]:
@@ -147,24 +149,67 @@ def least_matches(threshold: float, miss: float = MISS) -> list[tuple[int, int]]
     return out
 
 
+def passing(one: np.ndarray, two: np.ndarray, a: np.ndarray, b: np.ndarray, steps: list[tuple[int, int]]) -> np.ndarray:
+    """Which of the pairs (one[a], two[b]) no batch rules out; a pair that is ruled out is not looked at again."""
+    left, seen, at = np.arange(len(a)), np.zeros(len(a), np.int64), 0
+    for to, least in steps:
+        seen = seen + (one[a[left], at:to] == two[b[left], at:to]).sum(axis=1)
+        go = seen >= least
+        left, seen, at = left[go], seen[go], to
+    return left
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, HASHES)
+
+
 def likely(pairs: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b, sig_a, sig_b) that no batch rules out."""
     steps = least_matches(threshold)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            one, two = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(n, HASHES) for c in ("sig_a", "sig_b"))
-            left, seen, at = np.arange(n), np.zeros(n, np.int64), 0
-            for to, least in steps:
-                seen = seen + (one[left, at:to] == two[left, at:to]).sum(axis=1)
-                go = seen >= least
-                left, seen, at = left[go], seen[go], to
-            yield pa.RecordBatch.from_arrays([batch["a"].take(pa.array(left)), batch["b"].take(pa.array(left))], ["a", "b"])
+            same = np.arange(batch.num_rows)
+            left = pa.array(passing(_matrix(batch["sig_a"]), _matrix(batch["sig_b"]), same, same, steps))
+            yield pa.RecordBatch.from_arrays([batch["a"].take(left), batch["b"].take(left)], ["a", "b"])
 
     return pairs.mapInArrow(each, "a binary, b binary")
 
 
+def likely_across(open_: DataFrame, threshold: float, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that no batch rules out, of the members (bucket, band, key, n, comp, sig) of buckets.
+
+    Members are dealt into blocks of about BLOCK; blocks of a bucket meet, and their members are compared inside a task, so
+    that only what passes leaves it. A pair passes in the first band that it agrees in, once.
+    """
+    steps = least_matches(threshold)
+    counts = open_.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = open_.join(counts, "bucket").withColumn("block", F.pmod(F.xxhash64("key", "bucket"), F.col("blocks")).cast("int"))
+    packed = dealt.groupBy("bucket", "block").agg(
+        F.first("band").alias("band"), F.first("blocks").alias("blocks"), F.collect_list(F.struct("key", "n", "comp", "sig")).alias("x"))
+    left = packed.select("bucket", "band", F.col("block").alias("first"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"), "x")
+    met = left.join(packed.select("bucket", "block", F.col("x").alias("y")), ["bucket", "block"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x, y = batch["x"][i].values, batch["y"][i].values
+                same = batch["first"][i].as_py() == batch["block"][i].as_py()
+                n_x, n_y = (v.field("n").to_numpy() for v in (x, y))
+                comps = {c: j for j, c in enumerate(dict.fromkeys(x.field("comp").to_pylist() + y.field("comp").to_pylist()))}
+                c_x, c_y = (np.array([comps[c] for c in v.field("comp").to_pylist()]) for v in (x, y))
+                fits = (c_x[:, None] != c_y[None, :]) & (100 * np.minimum.outer(n_x, n_y) >= percent * np.maximum.outer(n_x, n_y))
+                a, b = np.nonzero(np.triu(fits, 1) if same else fits)
+                one, two = _matrix(x.field("sig")), _matrix(y.field("sig"))
+                go = passing(one, two, a, b, steps)
+                a, b = a[go], b[go]
+                agree = (one[a] == two[b]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) if len(a) else a
+                here = agree == batch["band"][i].as_py()
+                yield pa.RecordBatch.from_arrays([x.field("key").take(pa.array(a[here])), y.field("key").take(pa.array(b[here]))], ["a", "b"])
+
+    return met.mapInArrow(each, "a binary, b binary")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= percent * union."""
     a = sets.select(F.col("key").alias("a"), F.col("shingles").alias("set_a"))
@@ -191,11 +236,6 @@ def components(links: DataFrame) -> DataFrame:
     return names
 
 
-def sized(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sizes allow the similarity: the smaller set over the larger one is its upper bound."""
-    return pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-
-
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable over links, itself included), kept, text_hash and component of every row.
 
@@ -212,30 +252,24 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, doc_id:
     nodes = written(nodes.withColumn("short", F.xxhash64("key")), "nodes")
 
     bands = F.array(*(F.xxhash64(F.lit(i), F.substring("sig", i * ROWS + 1, ROWS)) for i in range(BANDS)))
-    buckets = nodes.select("short", F.explode(bands).alias("bucket"))
+    buckets = nodes.select("short", F.posexplode(bands).alias("band", "bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")
     # a short key that two nodes share adds a candidate, which is then found not to be a member's
-    members = buckets.join(shared, "bucket").join(nodes.select("short", "key", "n"), "short").select("bucket", "key", "n")
+    members = buckets.join(shared, "bucket").join(nodes.select("short", "key", "n"), "short").select("bucket", "band", "key", "n")
     members = written(members, "members")
     sets = written(full_sets(docs, nodes.join(members.select("key").distinct(), "key", "left_semi").select("key", "rep"), doc_id, text, words), "sets")
     sig = nodes.select("key", "sig")
 
-    def links_of(pairs: DataFrame) -> DataFrame:
-        pairs = sized(pairs, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = pairs.join(sig.select(F.col("key").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("key").alias("b"), F.col("sig").alias("sig_b")), "b")
-        return written(verified(likely(pairs.select("a", "b", "sig_a", "sig_b"), threshold), sets, percent), "links")
-
     first = members.groupBy("bucket").agg(F.min(F.struct("key", "n")).alias("f")).select("bucket", F.col("f.key").alias("a"), F.col("f.n").alias("n_a"))
     stars = members.select("bucket", F.col("key").alias("b"), F.col("n").alias("n_b")).join(first, "bucket").where("a <> b")
-    links = links_of(stars)
-    named = components(links)
-    for_bucket = members.join(named, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    mixed = for_bucket.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("key").alias("first")).where("lo <> hi").select("bucket", "first")
-    open_ = written(for_bucket.join(mixed, "bucket").where("key <> first").select("bucket", "key", "n", "comp"), "open")
-    x = open_.select("bucket", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"))
-    y = open_.select("bucket", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
-    fits = (F.col("comp_a") < F.col("comp_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    more = links_of(x.join(y, "bucket").where(fits))
+    stars = stars.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b").distinct()
+    stars = stars.join(sig.select(F.col("key").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("key").alias("b"), F.col("sig").alias("sig_b")), "b")
+    links = written(verified(likely(stars.select("a", "b", "sig_a", "sig_b"), threshold), sets, percent), "links")
+
+    grouped = members.join(components(links), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    mixed = grouped.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("key").alias("first")).where("lo <> hi").select("bucket", "first")
+    rest = grouped.join(mixed, "bucket").where("key <> first").select("bucket", "band", "key", "n", "comp").join(sig, "key")
+    more = written(verified(likely_across(rest, threshold, percent), sets, percent), "links")
     names = components(links.union(more))
 
     placed = nodes.select("key", "least_id").join(names, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
