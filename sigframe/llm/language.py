@@ -154,11 +154,14 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text: str =
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # bounded by the training sample
-    rows = docs.select(*keep, whole(text).alias("_text"), whole(text).rlike(r"\p{L}").alias("_letter"))
+    # the text passes once, without NULL, and gets its NULLs back afterwards
+    names = [k if k != text else "_text" for k in keep]
+    rows = docs.select(*[k for k in keep if k != text], whole(text).alias("_text"), F.col(text).isNull().alias("_none"), whole(text).rlike(r"\p{L}").alias("_letter"))
+    carried = [*names, *(["_none"] if text in keep else [])]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learned = shared.value
-        names = np.array([*learned.languages, "und"], object)
+        called = np.array([*learned.languages, "und"], object)
         for batch in batches:
             for part in slices(batch, "_text"):
                 data, ends = text_bytes(part["_text"])
@@ -172,11 +175,13 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text: str =
                 least = bits[np.arange(len(top)), top]
                 score = np.where(letter, 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1), 0.0)
                 rate = pa.array(least / np.maximum(np.diff(ends), 1), mask=~letter)
-                yield pa.RecordBatch.from_arrays([*(part[k] for k in keep), pa.array(names[np.where(letter, top, len(names) - 1)], pa.string()),
-                                                  pa.array(score.round(9)), rate], [*keep, "lang_pred", "score", "bits_per_byte"])
+                yield pa.RecordBatch.from_arrays([*(part[k] for k in carried), pa.array(called[np.where(letter, top, len(called) - 1)], pa.string()),
+                                                  pa.array(score.round(9)), rate], [*carried, "lang_pred", "score", "bits_per_byte"])
 
-    schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keep)
-    return rows.mapInArrow(each, f"{schema}, lang_pred string, score double, bits_per_byte double")
+    schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in carried)
+    out = rows.mapInArrow(each, f"{schema}, lang_pred string, score double, bits_per_byte double")
+    given = [F.when(~F.col("_none"), F.col("_text")).alias(text) if k == text else F.col(k) for k in keep]
+    return out.select(*given, "lang_pred", "score", "bits_per_byte")
 
 
 def accepted(lang_pred: Column, bits_per_byte: Column, n_bytes: Column, least_bytes: int = 64, most_bits: float = 8.0) -> Column:

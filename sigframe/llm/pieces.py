@@ -25,7 +25,7 @@ SPACE = "▁"
 WORDS = re.compile(r" *[^ \n]+|\n| +")
 LONG = 256
 #: Distinct words whose ids a worker remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 NONE = np.iinfo(np.int32).max
 
 
@@ -234,8 +234,8 @@ def decoded(v: Vocabulary, ids: np.ndarray, ends: np.ndarray) -> list[str]:
     return out
 
 
-def encode(docs: DataFrame, model_path: str, keys: list[str], text: str = "text", end: bool = True) -> DataFrame:
-    """The key columns and ``ids``, the ids of each whole text with an end id.
+def encode(docs: DataFrame, model_path: str, keys: list[str], text: str = "text", end: bool = True, back: bool = False) -> DataFrame:
+    """The key columns and ``ids``, the ids of each whole text with an end id; with ``back`` also ``decoded``, what they decode to.
 
     The ids are those of the sentencepiece library. NULL and empty texts have the end id alone. Words are remembered within a
     worker, up to REMEMBERED of them; repeated rows are encoded each.
@@ -249,10 +249,11 @@ def encode(docs: DataFrame, model_path: str, keys: list[str], text: str = "text"
             for part in slices(batch, "_text"):
                 ids, ends = encoder.encode(part["_text"].to_pylist(), end)
                 listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(part[k] for k in keys), listed], [*keys, "ids"])
+                again = [pa.array(decoded(encoder.v, ids, ends), pa.string())] if back else []
+                yield pa.RecordBatch.from_arrays([*(part[k] for k in keys), listed, *again], [*keys, "ids", *["decoded"] * back])
 
     schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
-    return rows.mapInArrow(each, f"{schema}, ids array<int>")
+    return rows.mapInArrow(each, f"{schema}, ids array<int>" + ", decoded string" * back)
 
 
 def decode(encoded: DataFrame, model_path: str, keys: list[str], ids: str = "ids") -> DataFrame:

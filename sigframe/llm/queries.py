@@ -74,7 +74,7 @@ def op1_language_id(spark: SparkSession, d: str) -> DataFrame:
 @query("op6_sentencepiece")
 def op6_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
-    both = pieces.decode(pieces.encode(table(spark, d, "documents"), path, ["doc_id"]), path, ["doc_id"])
+    both = pieces.encode(table(spark, d, "documents"), path, ["doc_id"], back=True)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))

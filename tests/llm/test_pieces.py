@@ -55,6 +55,7 @@ def test_frames(spark, library):
     assert len(out) == len(rows)
     want = {(a, tuple(library.encode(b or "", add_eos=True)), b or "") for a, b in rows}
     assert {(r.doc_id, tuple(r.ids), r.decoded) for r in out} == want
+    assert sorted(map(str, pieces.encode(docs, PATH, ["doc_id"], back=True).collect())) == sorted(map(str, out))
     assert pieces.encode(docs.limit(0), PATH, ["doc_id"]).count() == 0
 
 
