@@ -83,12 +83,20 @@ def j2_phonemes(spark, d):
 
 # -- context -----------------------------------------------------------------------------------------------
 
+# Every dimension of a vector takes part in a comparison, each with a weight of its own.
+ALL_DIMS_SQL = "list_sum(list_transform(range(1, 65), lambda i: i * CAST(embedding[i] AS DOUBLE)))"
+
+
+def all_dims(vector):
+    return F.aggregate(F.transform(vector, lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v)
+
+
 @query("w2_context_left", f"""WITH {DOC_WORDS_SQL}
-SELECT doc_id, pos, count(*) OVER w AS n_context, first_value(word) OVER w AS first_word FROM doc_words
+SELECT doc_id, pos, count(*) OVER w AS n_context, array_to_string(list(word) OVER w, ' ') AS context FROM doc_words
 WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""")
 def w2_context_left(spark, d):
     out = words.context_strings(doc_words(spark, d), 5, partition_cols=["doc_id"])
-    return out.select("doc_id", "pos", F.col("n_context").cast("long").alias("n_context"), F.substring_index("context", " ", 1).alias("first_word"))
+    return out.select("doc_id", "pos", F.col("n_context").cast("long").alias("n_context"), "context")
 
 
 @query("w2_context_bidirectional", f"""WITH {TURN_WORDS_SQL}
@@ -113,33 +121,31 @@ def vector_table(spark, d) -> DataFrame:
     return vectors(spark, d).select(F.col("vec_id").alias("key"), "vector")
 
 
-@query("j1_word_vectors", f"""WITH {DOC_WORDS_SQL} SELECT doc_id, count(*) AS n_words, round(sum(embedding[1] * CAST(1 AS DOUBLE)), 5) AS first_dim, round(sum(CAST(embedding[64] AS DOUBLE)), 5) AS last_dim
-FROM (SELECT doc_id, {WORD_KEY_SQL} AS vec_id FROM doc_words) JOIN embeddings USING (vec_id) GROUP BY doc_id""")
+@query("j1_word_vectors", f"""WITH {DOC_WORDS_SQL} SELECT doc_id, count(*) AS n_words, round(sum(v), 4) AS vector_sum
+FROM (SELECT doc_id, {WORD_KEY_SQL} AS vec_id FROM doc_words) JOIN (SELECT vec_id, {ALL_DIMS_SQL} AS v FROM embeddings) USING (vec_id) GROUP BY doc_id""")
 def j1_word_vectors(spark, d):
     keyed = doc_words(spark, d).withColumn("key", word_key(F.col("word")))
     found = words.word_vectors(keyed, vector_table(spark, d), word_col="key", row_cols=("doc_id", "pos"))
     return found.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_words"), F.round(F.sum(F.get("vector", F.lit(0))), 5).alias("first_dim"),
-        F.round(F.sum(F.get("vector", F.lit(63))), 5).alias("last_dim"))
+        F.count(F.lit(1)).alias("n_words"), F.round(F.sum(all_dims(F.col("vector"))), 4).alias("vector_sum"))
 
 
-@query("j1_word_vectors_keep", f"""WITH {TURN_WORDS_SQL} SELECT conv_id, turn, pos, word, v.vec_id IS NOT NULL AS known, round(CAST(embedding[3] AS DOUBLE), 6) AS third
+@query("j1_word_vectors_keep", f"""WITH {TURN_WORDS_SQL} SELECT conv_id, turn, pos, word, v.vec_id IS NOT NULL AS known, round({ALL_DIMS_SQL}, 5) AS vector_sum
 FROM (SELECT *, {WORD_KEY_SQL} AS k FROM turn_words) LEFT JOIN embeddings v ON v.vec_id = k""")
 def j1_word_vectors_keep(spark, d):
     keyed = turn_words(spark, d).withColumn("key", word_key(F.col("word")))
     out = words.word_vectors(keyed, vector_table(spark, d), word_col="key", row_cols=(*TURN, "pos"), keep_unknown=True)
-    return out.select(*TURN, "pos", "word", F.col("vector").isNotNull().alias("known"), F.round(F.get("vector", F.lit(2)), 6).alias("third"))
+    return out.select(*TURN, "pos", "word", F.col("vector").isNotNull().alias("known"), F.round(all_dims(F.col("vector")), 5).alias("vector_sum"))
 
 
-@query("e4_context_vector", f"""WITH {TURN_WORDS_SQL}, x AS (SELECT t.conv_id, t.turn, t.pos, d.i AS dim, CAST(v.embedding[d.i + 1] AS DOUBLE) AS v
-  FROM (SELECT *, {WORD_KEY_SQL} AS k FROM turn_words) t LEFT JOIN embeddings v ON v.vec_id = t.k, (SELECT unnest([0, 31, 63]) AS i) d)
-SELECT conv_id, turn, pos, CAST(dim AS INTEGER) AS dim, round(avg(v) OVER (PARTITION BY conv_id, turn, dim ORDER BY pos ROWS BETWEEN 24 PRECEDING AND CURRENT ROW), 6) AS value FROM x""")
+@query("e4_context_vector", f"""WITH {TURN_WORDS_SQL}, x AS (SELECT t.conv_id, t.turn, t.pos, {ALL_DIMS_SQL} AS v
+  FROM (SELECT *, {WORD_KEY_SQL} AS k FROM turn_words) t LEFT JOIN embeddings v ON v.vec_id = t.k)
+SELECT conv_id, turn, pos, round(avg(v) OVER (PARTITION BY conv_id, turn ORDER BY pos ROWS BETWEEN 24 PRECEDING AND CURRENT ROW), 5) AS value FROM x""")
 def e4_context_vector(spark, d):
     keyed = turn_words(spark, d).withColumn("key", word_key(F.col("word")))
     vec = words.word_vectors(keyed, vector_table(spark, d), word_col="key", row_cols=(*TURN, "pos"), keep_unknown=True)
     out = words.context_means(vec, 25, partition_cols=TURN)
-    dims = F.array(*[F.struct(F.lit(i).alias("dim"), F.round(F.get("context_vector", F.lit(i)), 6).alias("value")) for i in (0, 31, 63)])
-    return out.select(*TURN, "pos", F.explode(dims).alias("c")).select(*TURN, "pos", "c.*")
+    return out.select(*TURN, "pos", F.round(all_dims(F.col("context_vector")), 5).alias("value"))
 
 
 @query("e3_batched_encoder", f"WITH {TURN_WORDS_SQL} SELECT conv_id, turn, CAST(length(word) AS INTEGER) AS layer_0, CAST(2 * length(word) AS INTEGER) AS layer_1, pos FROM turn_words")
@@ -153,7 +159,7 @@ def e3_batched_encoder(spark, d):
 
 
 @query("a17_subword_sums", f"""WITH {TURN_WORDS_SQL}, sub AS (SELECT conv_id, turn, pos, layer, CAST(length(word) AS INTEGER) AS n, vec_id FROM (SELECT *, {WORD_KEY_SQL} AS vec_id FROM turn_words), (SELECT CAST(unnest([0, 1]) AS INTEGER) AS layer))
-SELECT conv_id, turn, pos, layer, round(2 * (layer + 1) * CAST(embedding[5] AS DOUBLE), 6) AS value FROM sub JOIN embeddings USING (vec_id)""")
+SELECT conv_id, turn, pos, layer, round(2 * (layer + 1) * {ALL_DIMS_SQL}, 5) AS value FROM sub JOIN embeddings USING (vec_id)""")
 def a17_subword_sums(spark, d):
     """Each word as two subword tokens on two layers."""
     keyed = turn_words(spark, d).withColumn("key", word_key(F.col("word")))
@@ -162,7 +168,7 @@ def a17_subword_sums(spark, d):
         "*", F.explode(F.array(F.lit(0), F.lit(1))).alias("token_pos"))
     toks = toks.withColumn("vec", F.transform("vector", lambda v: v * (F.col("layer") + 1)))
     out = words.words_from_subwords(toks, keys=(*TURN, "pos", "layer"))
-    return out.select(*TURN, "pos", "layer", F.round(F.get("vec", F.lit(4)), 6).alias("value"))
+    return out.select(*TURN, "pos", "layer", F.round(all_dims(F.col("vec")), 5).alias("value"))
 
 
 @query("a8_basis", """SELECT CAST(i - 1 AS INTEGER) AS dim, round(avg(CAST(embedding[i] AS DOUBLE)) FILTER (WHERE label = 0) - avg(CAST(embedding[i] AS DOUBLE)) FILTER (WHERE label = 1), 6) AS value
