@@ -17,6 +17,8 @@ HEADLINE = [
     "w3_context_strings", "j1_word_vectors", "j2_phonemes", "e4_context_vector", "a12_entropy", "a13_relative_entropy", "t1_topn",
     "a16_model_statistics", "m13_silhouette", "a24_box", "a26_corr_matrix", "a28_density", "m2_banded", "m5_fit_encoding",
     "m6_pca", "st1_sliding",
+    # these grow with the number of users
+    "m1_user_targets", "st5_lagged",
 ]
 
 

@@ -327,14 +327,14 @@ def p17_confound_spec(spark, d):
     return confounds.extract_confounds(confound_table(spark, d), comps, spec, keys=["t"])
 
 
-@query("s2_components_json", """SELECT s_nationkey, 'c' || s_suppkey AS name, 'tCompCor' AS method, s_acctbal > 0 AS retained, CAST(NULL AS VARCHAR) AS mask, s_acctbal AS singular_value FROM supplier""")
+@query("s2_components_json", """SELECT s_nationkey, 'c' || s_suppkey AS name, 'tCompCor' AS method, s_acctbal > 0 AS retained, CAST(NULL AS VARCHAR) AS mask, s_acctbal AS singular_value, s_acctbal / 8 AS cumulative_variance FROM supplier""")
 def s2_components_json(spark, d):
     s = table(spark, d, "supplier")
-    entry = F.struct(F.lit("tCompCor").alias("Method"), (F.col("s_acctbal") > 0).alias("Retained"), F.col("s_acctbal").alias("SingularValue"))
+    entry = F.struct(F.lit("tCompCor").alias("Method"), (F.col("s_acctbal") > 0).alias("Retained"), F.col("s_acctbal").alias("SingularValue"), (F.col("s_acctbal") / 8).alias("CumulativeVarianceExplained"))
     # one sidecar object per nation
     text = s.groupBy("s_nationkey").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("c"), "s_suppkey"), entry)))).alias("j"))
     out = tables.components(text, F.col("j"), "s_nationkey")
-    return out.select("s_nationkey", "name", "method", "retained", "mask", "singular_value")
+    return out.select("s_nationkey", "name", "method", "retained", "mask", "singular_value", "cumulative_variance")
 
 
 @query("s5_line_labels", r"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS parcel_index, line AS aggregate_label FROM (
