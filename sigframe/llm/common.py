@@ -13,6 +13,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Rows of an Arrow batch: texts may be long, and a batch is held by the JVM and by Python at the same time.
+BATCH_ROWS = 500
+
+
+def in_batches(df: DataFrame, each, schema: str) -> DataFrame:
+    """``df.mapInArrow`` in batches of at most BATCH_ROWS; the session keeps that setting, or a lower one of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(each, schema)
+
+
 def whole(text: str | Column) -> Column:
     """The text, or an empty string where it is NULL."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from sigframe.llm.arrays import Grown, mix, ngrams, slices
-from sigframe.llm.common import whole
+from sigframe.llm.common import in_batches, whole
 from sigframe.session import written
 
 ROWS, BANDS = 10, 64
@@ -109,7 +109,7 @@ def described(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
                     ["doc_id", "text_hash", "n_shingles", "key", "sig"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(each, f"doc_id {kind}, text_hash bigint, n_shingles bigint, key binary, sig binary")
+    return in_batches(rows, each, f"doc_id {kind}, text_hash bigint, n_shingles bigint, key binary, sig binary")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
@@ -128,7 +128,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, words:
                 sets = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(grams.view(np.int64))).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), sets], ["key", "shingles"])
 
-    return rows.select("text").mapInArrow(each, "key binary, shingles array<bigint>").dropDuplicates(["key"])
+    return in_batches(rows.select("text"), each, "key binary, shingles array<bigint>").dropDuplicates(["key"])
 
 
 def least_matches(threshold: float, miss: float = MISS) -> list[tuple[int, int]]:
@@ -173,7 +173,7 @@ def likely(pairs: DataFrame, threshold: float) -> DataFrame:
             left = pa.array(passing(_matrix(batch["sig_a"]), _matrix(batch["sig_b"]), same, same, steps))
             yield pa.RecordBatch.from_arrays([batch["a"].take(left), batch["b"].take(left)], ["a", "b"])
 
-    return pairs.mapInArrow(each, "a binary, b binary")
+    return in_batches(pairs, each, "a binary, b binary")
 
 
 def likely_across(open_: DataFrame, threshold: float, percent: int) -> DataFrame:
@@ -207,7 +207,7 @@ def likely_across(open_: DataFrame, threshold: float, percent: int) -> DataFrame
                 here = agree == batch["band"][i].as_py()
                 yield pa.RecordBatch.from_arrays([x.field("key").take(pa.array(a[here])), y.field("key").take(pa.array(b[here]))], ["a", "b"])
 
-    return met.mapInArrow(each, "a binary, b binary")
+    return in_batches(met, each, "a binary, b binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

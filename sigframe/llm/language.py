@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sigframe.llm.arrays import HashIndex, SLICE_BYTES, slices, sums, text_bytes
-from sigframe.llm.common import unit, whole
+from sigframe.llm.common import in_batches, unit, whole
 
 ORDER = 4
 #: Bounds of the training sample: bytes of all languages together, of one language and of one text, and languages (those
@@ -179,7 +179,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text: str =
                                                   pa.array(score.round(9)), rate], [*carried, "lang_pred", "score", "bits_per_byte"])
 
     schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in carried)
-    out = rows.mapInArrow(each, f"{schema}, lang_pred string, score double, bits_per_byte double")
+    out = in_batches(rows, each, f"{schema}, lang_pred string, score double, bits_per_byte double")
     given = [F.when(~F.col("_none"), F.col("_text")).alias(text) if k == text else F.col(k) for k in keep]
     return out.select(*given, "lang_pred", "score", "bits_per_byte")
 

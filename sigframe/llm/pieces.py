@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sigframe.llm.arrays import Grown, HashIndex, ragged, slices
-from sigframe.llm.common import whole
+from sigframe.llm.common import in_batches, whole
 
 SPACE = "▁"
 WORDS = re.compile(r" *[^ \n]+|\n| +")
 LONG = 256
 #: Distinct words whose ids a worker remembers before it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 NONE = np.iinfo(np.int32).max
 
 
@@ -253,7 +253,7 @@ def encode(docs: DataFrame, model_path: str, keys: list[str], text: str = "text"
                 yield pa.RecordBatch.from_arrays([*(part[k] for k in keys), listed, *again], [*keys, "ids", *["decoded"] * back])
 
     schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
-    return rows.mapInArrow(each, f"{schema}, ids array<int>" + ", decoded string" * back)
+    return in_batches(rows, each, f"{schema}, ids array<int>" + ", decoded string" * back)
 
 
 def decode(encoded: DataFrame, model_path: str, keys: list[str], ids: str = "ids") -> DataFrame:
@@ -272,4 +272,4 @@ def decode(encoded: DataFrame, model_path: str, keys: list[str], ids: str = "ids
                                                  [*keys, "ids", "decoded"])
 
     schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
-    return rows.mapInArrow(each, f"{schema}, ids array<int>, decoded string")
+    return in_batches(rows, each, f"{schema}, ids array<int>, decoded string")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from sigframe.llm.arrays import Grown, mix, ngrams, slices, sums
-from sigframe.llm.common import unit, whole
+from sigframe.llm.common import in_batches, unit, whole
 
 BITS = 20
 #: (words or shapes, n) of each kind of feature; all have equal weight in a text.
@@ -157,4 +157,4 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
                 values = shared.value.scores(features(*_words.read(part["text"].to_pylist())))
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(values.round(9))], ["doc_id", "score"])
 
-    return rows.mapInArrow(each, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    return in_batches(rows, each, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
