@@ -176,6 +176,26 @@ def likely(pairs: DataFrame, threshold: float) -> DataFrame:
     return in_batches(pairs, each, "a binary, b binary")
 
 
+def across(batches: Iterator[pa.RecordBatch], steps: list[tuple[int, int]], percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) of rows (band, first, block, x, y) of two blocks of members that pass ``steps`` and first agree in the band."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            same = batch["first"][i].as_py() == batch["block"][i].as_py()
+            x = batch["x"][i].values
+            y = x if same else batch["y"][i].values  # a block met by itself comes in two orders
+            n_x, n_y = (v.field("n").to_numpy() for v in (x, y))
+            comps = {c: j for j, c in enumerate(dict.fromkeys(x.field("comp").to_pylist() + y.field("comp").to_pylist()))}
+            c_x, c_y = (np.array([comps[c] for c in v.field("comp").to_pylist()]) for v in (x, y))
+            fits = (c_x[:, None] != c_y[None, :]) & (100 * np.minimum.outer(n_x, n_y) >= percent * np.maximum.outer(n_x, n_y))
+            a, b = np.nonzero(np.triu(fits, 1) if same else fits)
+            one, two = _matrix(x.field("sig")), _matrix(y.field("sig"))
+            go = passing(one, two, a, b, steps)
+            a, b = a[go], b[go]
+            agree = (one[a] == two[b]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) if len(a) else a
+            here = agree == batch["band"][i].as_py()
+            yield pa.RecordBatch.from_arrays([x.field("key").take(pa.array(a[here])), y.field("key").take(pa.array(b[here]))], ["a", "b"])
+
+
 def likely_across(open_: DataFrame, threshold: float, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that no batch rules out, of the members (bucket, band, key, n, comp, sig) of buckets.
 
@@ -191,21 +211,7 @@ def likely_across(open_: DataFrame, threshold: float, percent: int) -> DataFrame
     met = left.join(packed.select("bucket", "block", F.col("x").alias("y")), ["bucket", "block"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                x, y = batch["x"][i].values, batch["y"][i].values
-                same = batch["first"][i].as_py() == batch["block"][i].as_py()
-                n_x, n_y = (v.field("n").to_numpy() for v in (x, y))
-                comps = {c: j for j, c in enumerate(dict.fromkeys(x.field("comp").to_pylist() + y.field("comp").to_pylist()))}
-                c_x, c_y = (np.array([comps[c] for c in v.field("comp").to_pylist()]) for v in (x, y))
-                fits = (c_x[:, None] != c_y[None, :]) & (100 * np.minimum.outer(n_x, n_y) >= percent * np.maximum.outer(n_x, n_y))
-                a, b = np.nonzero(np.triu(fits, 1) if same else fits)
-                one, two = _matrix(x.field("sig")), _matrix(y.field("sig"))
-                go = passing(one, two, a, b, steps)
-                a, b = a[go], b[go]
-                agree = (one[a] == two[b]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) if len(a) else a
-                here = agree == batch["band"][i].as_py()
-                yield pa.RecordBatch.from_arrays([x.field("key").take(pa.array(a[here])), y.field("key").take(pa.array(b[here]))], ["a", "b"])
+        return across(batches, steps, percent)
 
     return in_batches(met, each, "a binary, b binary")
 

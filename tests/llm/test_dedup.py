@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from sigframe.llm import dedup
 
@@ -96,3 +97,20 @@ def test_signatures_estimate_similarity():
     two = np.concatenate([one[:320], rng.integers(0, 2**63, 80).astype(np.uint64)])
     sig = dedup.signatures(np.concatenate([one, two]), np.array([0, 400, 800]))
     assert abs((sig[0] == sig[1]).mean() - 320 / 480) < 0.06
+
+
+def test_members_of_a_block_meet_in_any_order(spark):
+    """All pairs of 30 unlinked members whose signatures agree, from blocks that each side of the join collects for itself."""
+    rows = [(bucket, 0, bytes([bucket, i]) * 8, 100, bytes([bucket, i]), bytes(dedup.HASHES)) for bucket in range(20) for i in range(30)]
+    random.Random(2).shuffle(rows)
+    members = spark.createDataFrame(rows, "bucket long, band int, key binary, n long, comp binary, sig binary").repartition(8)
+    want = {frozenset((bytes([bucket, i]) * 8, bytes([bucket, j]) * 8)) for bucket in range(20) for i in range(30) for j in range(i)}
+    got = dedup.likely_across(members, 0.85, 85).collect()
+    assert len(got) == len(want) and {frozenset((bytes(r.a), bytes(r.b))) for r in got} == want
+
+    member = lambda i: {"key": bytes([i]) * 16, "n": 100, "comp": bytes([i]), "sig": bytes(dedup.HASHES)}
+    x = [member(i) for i in range(3)]
+    batch = pa.RecordBatch.from_pylist([{"bucket": 1, "block": 0, "band": 0, "first": 0, "x": x, "y": y} for y in (x, x[::-1], [x[1], x[2], x[0]])])
+    for i in range(3):
+        out = pa.Table.from_batches(dedup.across([batch.slice(i, 1)], dedup.least_matches(0.85), 85)).to_pylist()
+        assert {frozenset(r.values()) for r in out} == {frozenset((p["key"], q["key"])) for p in x for q in x if p != q} and len(out) == 3
