@@ -73,16 +73,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
     Queries are the rows where ``is_query`` holds, candidates all rows but those with the query's id. The score is the inner
     product of components floor(scale * x) in 64-bit integers; a missing component of a shorter vector is 0. Ties go to
     the smaller id; fewer candidates give fewer rows. Rows with a NULL id, and vectors that are NULL or hold a NULL or a
-    non-finite component, take no part; an empty vector scores 0. A query row that is repeated gets its rows once, a
-    repeated candidate row is one candidate.
+    non-finite component, take no part; an empty vector scores 0. A query row that is repeated (same id
+    and vector) gets its rows once, a repeated candidate row is one candidate; rows of one id with other vectors are candidates of their own.
 
     Query blocks meet candidate blocks in a join on (query block, lane): queries are copied to every lane, candidates to
     every query block. A task holds one block of each and one array of scores.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), whole_numbers(F.col(vector), scale).alias("v"), is_query.alias("q"))
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("raw"), whole_numbers(F.col(vector), scale).alias("v"), is_query.alias("q"))
     rows = rows.where("vec_id IS NOT NULL AND v IS NOT NULL")
-    asked = rows.where("q").select("vec_id", "v")
+    asked = rows.where("q").select("vec_id", "raw", "v")
     n = asked.count()
     blocks = max(1, -(-n // query_block))
     lanes = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -96,11 +96,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
                                                  ["nth", "ids", "vs"])
                 block += 1
 
-    cand = rows.select("vec_id", "v").mapInArrow(packed, "nth int, ids array<bigint>, vs array<array<bigint>>")
+    # repeated rows go before the k best are taken, or they would take the places of others
+    cand = rows.select("vec_id", "raw").distinct().select("vec_id", whole_numbers(F.col("raw"), scale).alias("v")).mapInArrow(packed, "nth int, ids array<bigint>, vs array<array<bigint>>")
     cand = cand.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
                        F.pmod(F.col("nth") + F.spark_partition_id(), F.lit(lanes)).alias("lane"), "ids", "vs")
     # ids are dealt evenly over the blocks, so that a group is about query_block rows
-    asks = asked.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_set(F.struct("vec_id", "v")).alias("q"))
+    asks = asked.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_set(F.struct("vec_id", "raw", "v")).alias("q"))
     asks = asks.select("block", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.col("q.vec_id").alias("q_ids"), F.col("q.v").alias("q_vs"))
     met = cand.join(asks, ["block", "lane"]).select("block", "ids", "vs", "q_ids", "q_vs")
 
@@ -117,7 +118,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
                 scores = accumulate(terms, len(q_ids), postings(unlisted(row["vs"])), len(ids))
                 yield chosen(q_ids, best(scores, ids, q_ids[:, None] != ids[None, :], k))
 
-    found = met.mapInArrow(scored, "query_id bigint, vec_id bigint, score bigint").distinct()
+    found = met.mapInArrow(scored, "query_id bigint, vec_id bigint, score bigint")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

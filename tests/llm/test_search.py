@@ -39,3 +39,14 @@ def test_against_brute_force(spark):
     assert got(df.limit(0), 5) == set()
     assert got(df.where("vec_id % 50 <> 0"), 5) == set()
     assert got(df.where("vec_id = 100 OR vec_id = 3"), 5) == brute([rows[100], rows[3]], 5)
+
+
+def test_repeated_rows_push_nothing_out(spark):
+    rows = [(0, [1.0, 0.0])] + [(7, [9.0, 0.0])] * 6 + [(i, [float(i % 5), 1.0]) for i in range(10, 20)]
+    rows += [(30, [3.0, 1.0]), (30, [3.0, 2.0])]  # one id, two vectors, one score
+    want = brute(rows, 5)
+    assert len(want) == 5
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert got(df.coalesce(1), 5) == want
+    assert got(df.coalesce(1), 9) == brute(rows, 9)
+    assert got(df.repartition(5), 5) == want
