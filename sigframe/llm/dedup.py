@@ -7,7 +7,8 @@
    similarity reaches the threshold is below MISS.
 4. Survivors are verified on their full sets, and components of verified links are made.
 
-Of two sets at the threshold itself a band agrees with probability 0.85 ** ROWS; none of BANDS does with less than 1e-6.
+Of two sets at the threshold itself a band agrees with probability threshold ** rows. ``banding`` takes as many rows a band as leave
+the probability that none of the bands agrees at BAND_MISS or less: 10 rows at 0.85, 8 at 0.8.
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ from sigframe.llm.arrays import Grown, mix, ngrams, slices
 from sigframe.llm.common import in_batches, whole
 from sigframe.session import written
 
-ROWS, BANDS = 10, 64
-HASHES = ROWS * BANDS
+HASHES = 640
 BATCH = 64
+#: Highest probability that two sets at the threshold share no band.
+BAND_MISS = 1e-6
 MISS = 1e-6
 #: Members of a bucket that are compared with as many others at a time.
 BLOCK = 128
@@ -35,6 +37,14 @@ SENT_KEYS = 500_000
 REMEMBERED = 100_000
 
 
+def banding(threshold: float) -> tuple[int, int]:
+    """(rows, bands) of signatures: the most rows a band with which two sets at the threshold share none with BAND_MISS at most."""
+    for rows in range(HASHES, 0, -1):
+        if (1 - threshold ** rows) ** (HASHES // rows) <= BAND_MISS:
+            return rows, HASHES // rows
+    raise ValueError(f"{HASHES} hash functions are too few for a threshold of {threshold}")
+
+
 def _constants() -> tuple[np.ndarray, np.ndarray]:
     draws = mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64), 2026)
     draws = mix(draws, 10)
@@ -176,8 +186,9 @@ def likely(pairs: DataFrame, threshold: float) -> DataFrame:
     return in_batches(pairs, each, "a binary, b binary")
 
 
-def across(batches: Iterator[pa.RecordBatch], steps: list[tuple[int, int]], percent: int) -> Iterator[pa.RecordBatch]:
+def across(batches: Iterator[pa.RecordBatch], steps: list[tuple[int, int]], percent: int, banded: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """The pairs (a, b) of rows (band, first, block, x, y) of two blocks of members that pass ``steps`` and first agree in the band."""
+    height, bands = banded
     for batch in batches:
         for i in range(batch.num_rows):
             same = batch["first"][i].as_py() == batch["block"][i].as_py()
@@ -191,7 +202,7 @@ def across(batches: Iterator[pa.RecordBatch], steps: list[tuple[int, int]], perc
             one, two = _matrix(x.field("sig")), _matrix(y.field("sig"))
             go = passing(one, two, a, b, steps)
             a, b = a[go], b[go]
-            agree = (one[a] == two[b]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) if len(a) else a
+            agree = (one[a] == two[b])[:, :bands * height].reshape(-1, bands, height).all(axis=2).argmax(axis=1) if len(a) else a
             here = agree == batch["band"][i].as_py()
             yield pa.RecordBatch.from_arrays([x.field("key").take(pa.array(a[here])), y.field("key").take(pa.array(b[here]))], ["a", "b"])
 
@@ -211,7 +222,7 @@ def likely_across(open_: DataFrame, threshold: float, percent: int) -> DataFrame
     met = left.join(packed.select("bucket", "block", F.col("x").alias("y")), ["bucket", "block"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return across(batches, steps, percent)
+        return across(batches, steps, percent, banding(threshold))
 
     return in_batches(met, each, "a binary, b binary")
 
@@ -252,12 +263,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, doc_id:
     a row without words. An empty table gives an empty result.
     """
     threshold = percent / 100
+    height, n_bands = banding(threshold)
     rows = written(described(docs, doc_id, text, words), "rows")
     nodes = rows.where("key IS NOT NULL").groupBy("key").agg(
         F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     nodes = written(nodes.withColumn("short", F.xxhash64("key")), "nodes")
 
-    bands = F.array(*(F.xxhash64(F.lit(i), F.substring("sig", i * ROWS + 1, ROWS)) for i in range(BANDS)))
+    bands = F.array(*(F.xxhash64(F.lit(i), F.substring("sig", i * height + 1, height)) for i in range(n_bands)))
     buckets = nodes.select("short", F.posexplode(bands).alias("band", "bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")
     # a short key that two nodes share adds a candidate, which is then found not to be a member's

@@ -2,6 +2,8 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from sigframe.llm import dedup
 
@@ -112,5 +114,31 @@ def test_members_of_a_block_meet_in_any_order(spark):
     x = [member(i) for i in range(3)]
     batch = pa.RecordBatch.from_pylist([{"bucket": 1, "block": 0, "band": 0, "first": 0, "x": x, "y": y} for y in (x, x[::-1], [x[1], x[2], x[0]])])
     for i in range(3):
-        out = pa.Table.from_batches(dedup.across([batch.slice(i, 1)], dedup.least_matches(0.85), 85)).to_pylist()
+        out = pa.Table.from_batches(dedup.across([batch.slice(i, 1)], dedup.least_matches(0.85), 85, dedup.banding(0.85))).to_pylist()
         assert {frozenset(r.values()) for r in out} == {frozenset((p["key"], q["key"])) for p in x for q in x if p != q} and len(out) == 3
+
+
+def test_pairs_at_any_threshold_share_a_band(spark):
+    assert dedup.banding(0.85) == (10, 64) and dedup.banding(0.8) == (8, 80)
+    for percent in (50, 70, 80, 85, 90, 95, 100):
+        rows, bands = dedup.banding(percent / 100)
+        assert rows * bands <= dedup.HASHES and (1 - (percent / 100) ** rows) ** bands <= 1e-6
+    with pytest.raises(ValueError):
+        dedup.banding(0.01)
+
+
+def test_pair_that_shares_short_bands_only(spark, monkeypatch):
+    """Signatures that differ in every tenth value agree in no band of 10 rows, but in bands of 8."""
+    one, two = np.zeros((2, dedup.HASHES), np.uint8)
+    two[9::10] = 1
+    given = [one.tobytes(), two.tobytes()]
+    words = [f"w{i}" for i in range(120)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words + ["more"]))], "doc_id long, text string").coalesce(1)
+    real = dedup.described
+
+    def planted(*args):
+        sig = F.when(F.col("doc_id") == 1, F.lit(bytearray(given[0]))).otherwise(F.lit(bytearray(given[1])))
+        return real(*args).withColumn("sig", sig)
+
+    monkeypatch.setattr(dedup, "described", planted)
+    assert {r.component_id for r in dedup.near_duplicates(docs, 80).collect()} == {1}
