@@ -29,7 +29,7 @@ HASHES = 640
 BATCH = 64
 #: Highest probability that two sets at the threshold share no band.
 BAND_MISS = 1e-6
-MISS = 1e-6
+MISS = 1e-9
 #: Members of a bucket that are compared with as many others at a time.
 BLOCK = 128
 #: Node keys that are sent to every task to fetch their texts (16 bytes each); more are joined by shuffle.

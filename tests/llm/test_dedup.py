@@ -142,3 +142,7 @@ def test_pair_that_shares_short_bands_only(spark, monkeypatch):
 
     monkeypatch.setattr(dedup, "described", planted)
     assert {r.component_id for r in dedup.near_duplicates(docs, 80).collect()} == {1}
+
+
+def test_all_batches_prune_pairs_at_the_threshold_rarely():
+    assert dedup.MISS * len(dedup.least_matches(0.8)) <= 1.0001e-8
