@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sigframe.llm import dedup, language, lines, mixing, pieces, pii, quality, search, sharding, urls
+from sigframe.llm import dedup, language, lines, mixing, pieces, pii, quality, search, sharding, simhash, spelling, trie, urls
 from sigframe.llm.common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -150,3 +150,70 @@ FROM d LEFT JOIN c ON c.r = d.r LEFT JOIN u ON u.gs = c.gs LEFT JOIN m ON m.node
 def op2_minhash_bayes(spark: SparkSession, d: str) -> DataFrame:
     out = dedup.near_duplicates(table(spark, d, "documents"), percent=85)
     return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+#: CRC-32 in SQL: a table made from the polynomial, and the fold over the bytes ``b`` of a row.
+CRC_TABLE = """crc AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+                        ORDER BY i) AS t FROM (SELECT unnest(range(256)) AS i))"""
+CRC = "xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295)"
+
+
+def bytes_sql(text: str) -> str:
+    return f"list_transform(range(0, octet_length(encode({text}))), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT))"
+
+
+@query("op11_prefix_trie", f"""
+WITH {CRC_TABLE},
+t AS (SELECT conv_id, i, octet_length(encode(text)) AS bytes, m FROM (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, m) AS i FROM (
+          SELECT conv_id, turn, coalesce(text, '') AS text, md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS m
+          FROM conversations WHERE conv_id IS NOT NULL))),
+l AS (SELECT conv_id, count(*) AS n, {bytes_sql("CAST(conv_id AS VARCHAR)")} AS b FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, n, conv_id - conv_id % 5 AS base, {CRC} % 9 AS h FROM l, crc),
+c AS (SELECT h.*, least(h, coalesce((SELECT n FROM l WHERE l.conv_id = base), 0)) AS head FROM h),
+s AS (SELECT c.conv_id, i AS depth, m, bytes FROM c JOIN t ON t.conv_id = base AND i <= head
+      UNION ALL SELECT c.conv_id, i - h + head, m, bytes FROM c JOIN t ON t.conv_id = c.conv_id AND i > h),
+p AS (SELECT conv_id, depth, bytes, string_agg(m, '') OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM s
+      UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+n AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes FROM p GROUP BY path, depth),
+k AS (SELECT substr(path, 1, 32 * (depth - 1)) AS path, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1, 2),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (path, depth)),
+a AS (SELECT substr(path, 1, 32 * d) AS path, sum((n_convs - 1) * bytes) AS saved, sum(CAST(n_children = 0 AS BIGINT)) AS leaves
+      FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM f) GROUP BY 1),
+e AS (SELECT path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, max_by(path, depth) AS path FROM p GROUP BY conv_id) GROUP BY path)
+SELECT f.conv_id, CAST(f.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(a.leaves AS BIGINT) AS n_leaves,
+       CAST(a.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM f JOIN a USING (path) LEFT JOIN e USING (path) LEFT JOIN n u ON u.depth = f.depth - 1 AND u.path = substr(f.path, 1, 32 * (f.depth - 1))
+""")
+def op11_prefix_trie(spark: SparkSession, d: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, d, "conversations"))
+
+
+@query("op12_spelling", f"""
+WITH RECURSIVE {CRC_TABLE},
+r AS (SELECT doc_id, run, count(*) AS times FROM (
+        SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run
+        FROM documents) GROUP BY ALL),
+h AS (SELECT run, times, {CRC} AS h FROM (SELECT run, times, {bytes_sql("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS b FROM r), crc),
+w AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM (
+        SELECT times, CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h)
+      WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+x AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS (SELECT p.word, q.word AS near FROM x p JOIN x q ON p.cut = q.cut AND p.i = q.i AND p.word <> q.word
+         UNION SELECT x.word, w.word FROM x JOIN w ON w.word = x.cut UNION SELECT w.word, x.word FROM x JOIN w ON w.word = x.cut),
+b AS (SELECT a.word, a.n, near.near, v.n AS near_n, row_number() OVER (PARTITION BY a.word ORDER BY v.n DESC, near.near) AS nth,
+             count(*) OVER (PARTITION BY a.word) AS n_near
+      FROM w a JOIN near ON near.word = a.word JOIN w v ON v.word = near.near),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * w.n THEN near END AS form, CASE WHEN near_n >= 5 * w.n THEN near_n END AS form_n
+      FROM w LEFT JOIN b ON b.word = w.word AND nth = 1),
+walk(word, last) AS (SELECT word, word FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.last WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, walk.last AS root, f.n, f.n_near, f.form_n
+FROM f JOIN walk USING (word) JOIN f g ON g.word = walk.last AND g.form IS NULL
+""")
+def op12_spelling(spark: SparkSession, d: str) -> DataFrame:
+    return spelling.variants(table(spark, d, "documents"))
+
+
+@query("op13_simhash")
+def op13_simhash(spark: SparkSession, d: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, d, "documents"))
