@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from sigframe.session import written
+
 #: A word is a run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -17,15 +19,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BATCH_ROWS = 500
 
 
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def in_batches(df: DataFrame, each, schema: str) -> DataFrame:
     """``df.mapInArrow`` in batches of at most BATCH_ROWS; the session keeps that setting, or a lower one of its own."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     conf = df.sparkSession.conf
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+    if not 0 < int(conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+        conf.set(BATCH_SETTING, str(BATCH_ROWS))
     return df.mapInArrow(each, schema)
 
 
+def written_in_batches(df: DataFrame, each, schema: str, rows: int) -> DataFrame:
+    """The stored result of ``df.mapInArrow`` in batches of ``rows``; the session's own setting is back afterwards."""
+    conf = df.sparkSession.conf
+    before = conf.get(BATCH_SETTING)
+    conf.set(BATCH_SETTING, str(rows))
+    try:
+        return written(df.mapInArrow(each, schema), "mapped")
+    finally:
+        conf.set(BATCH_SETTING, before)
+
+
 def whole(text: str | Column) -> Column:
     """The text, or an empty string where it is NULL."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

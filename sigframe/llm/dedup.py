@@ -2,10 +2,12 @@
 
 1. A document becomes a set of word shingles and a signature of minima; equal sets are one node from here on.
 2. Bands of the signature propose candidates. A bucket's members are compared with its first member; then those of its members that
-   are still in different components are compared with each other, block by block. Pairs within a component are never compared.
+   are still in different components are compared with each other. Pairs within a component are never compared.
 3. Signatures of a pair are compared batch by batch. After each batch the pair goes if the posterior probability that its
    similarity reaches the threshold is below MISS.
-4. Survivors are verified on their full sets, and components of verified links are made.
+4. Survivors are verified on their full sets, and components of verified links are made. A bucket with more survivors than members
+   sends its members' sets to the tasks in blocks instead of its pairs; there pairs that links found so far connect are
+   skipped, and only a forest of verified links comes out, so a group that is near without being linked gives no pairs.
 
 Of two sets at the threshold itself a band agrees with probability threshold ** rows. ``banding`` takes as many rows a band as leave
 the probability that none of the bands agrees at BAND_MISS or less: 10 rows at 0.85, 8 at 0.8.
@@ -19,10 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from sigframe.llm.arrays import Grown, mix, ngrams, slices
-from sigframe.llm.common import in_batches, whole
+from sigframe.llm.arrays import Grown, mix, ngrams, ragged, slices
+from sigframe.llm.common import in_batches, whole, written_in_batches
 from sigframe.session import written
 
 HASHES = 640
@@ -32,6 +34,8 @@ BAND_MISS = 1e-6
 MISS = 1e-9
 #: Members of a bucket that are compared with as many others at a time.
 BLOCK = 128
+#: Shingles of the members of a block whose sets are verified in a task; a larger set is a block of its own.
+BLOCK_SHINGLES = 1 << 16
 #: Node keys that are sent to every task to fetch their texts (16 bytes each); more are joined by shuffle.
 SENT_KEYS = 500_000
 REMEMBERED = 100_000
@@ -98,14 +102,17 @@ def signatures(grams: np.ndarray, ends: np.ndarray) -> np.ndarray:
 _shinglers: dict[int, Shingler] = {}
 
 
+def _text_hash(text: str) -> Column:
+    return F.xxhash64(whole(text))
+
+
 def _key(grams: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None
 
 
 def described(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
     """doc_id, text_hash, n_shingles, key (128-bit digest of the set, NULL if empty) and sig of every row."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), whole(text).alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), _text_hash(text).alias("text_hash"), whole(text).alias("text"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = _shinglers.setdefault(words, Shingler(words))
@@ -124,7 +131,7 @@ def described(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
 
 def full_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
     """(key, shingles) of the nodes in ``wanted`` (key, rep): their representatives' texts are read again."""
-    rows = docs.select(F.struct(F.col(doc_id).alias("doc_id"), F.xxhash64(whole(text)).alias("text_hash")).alias("rep"), whole(text).alias("text"))
+    rows = docs.select(F.struct(F.col(doc_id).alias("doc_id"), _text_hash(text).alias("text_hash")).alias("rep"), whole(text).alias("text"))
     few = wanted.count() <= SENT_KEYS
     ids = wanted.select(F.xxhash64("rep").alias("id"))
     rows = rows.withColumn("id", F.xxhash64("rep")).join(F.broadcast(ids) if few else ids, "id", "left_semi")
@@ -186,25 +193,113 @@ def likely(pairs: DataFrame, threshold: float) -> DataFrame:
     return in_batches(pairs, each, "a binary, b binary")
 
 
-def across(batches: Iterator[pa.RecordBatch], steps: list[tuple[int, int]], percent: int, banded: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """The pairs (a, b) of rows (band, first, block, x, y) of two blocks of members that pass ``steps`` and first agree in the band."""
+def _survivors(batch: pa.RecordBatch, i: int, steps: list[tuple[int, int]], percent: int, banded: tuple[int, int]) -> tuple[pa.StructArray, pa.StructArray, np.ndarray, np.ndarray]:
+    """The two blocks x and y of row i, and the places (a in x, b in y) of pairs of different components that pass ``steps`` and
+    first agree in the row's band."""
     height, bands = banded
+    same = batch["first"][i].as_py() == batch["block"][i].as_py()
+    x = batch["x"][i].values
+    y = x if same else batch["y"][i].values  # a block met by itself comes in two orders
+    n_x, n_y = (v.field("n").to_numpy() for v in (x, y))
+    comps = {c: j for j, c in enumerate(dict.fromkeys(x.field("comp").to_pylist() + y.field("comp").to_pylist()))}
+    c_x, c_y = (np.array([comps[c] for c in v.field("comp").to_pylist()]) for v in (x, y))
+    fits = (c_x[:, None] != c_y[None, :]) & (100 * np.minimum.outer(n_x, n_y) >= percent * np.maximum.outer(n_x, n_y))
+    a, b = np.nonzero(np.triu(fits, 1) if same else fits)
+    one, two = _matrix(x.field("sig")), _matrix(y.field("sig"))
+    go = passing(one, two, a, b, steps)
+    a, b = a[go], b[go]
+    agree = (one[a] == two[b])[:, :bands * height].reshape(-1, bands, height).all(axis=2).argmax(axis=1) if len(a) else a
+    here = agree == batch["band"][i].as_py()
+    return x, y, a[here], b[here]
+
+
+def across(batches: Iterator[pa.RecordBatch], steps: list[tuple[int, int]], percent: int, banded: tuple[int, int],
+           dense: bool = False) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) of rows (band, first, block, x, y) of two blocks of members that pass ``steps`` and first agree in the band.
+
+    With ``dense`` a row (bucket, with a and b NULL) stands for the pairs of a block that has more of them than members.
+    """
     for batch in batches:
         for i in range(batch.num_rows):
-            same = batch["first"][i].as_py() == batch["block"][i].as_py()
-            x = batch["x"][i].values
-            y = x if same else batch["y"][i].values  # a block met by itself comes in two orders
-            n_x, n_y = (v.field("n").to_numpy() for v in (x, y))
-            comps = {c: j for j, c in enumerate(dict.fromkeys(x.field("comp").to_pylist() + y.field("comp").to_pylist()))}
-            c_x, c_y = (np.array([comps[c] for c in v.field("comp").to_pylist()]) for v in (x, y))
-            fits = (c_x[:, None] != c_y[None, :]) & (100 * np.minimum.outer(n_x, n_y) >= percent * np.maximum.outer(n_x, n_y))
-            a, b = np.nonzero(np.triu(fits, 1) if same else fits)
-            one, two = _matrix(x.field("sig")), _matrix(y.field("sig"))
-            go = passing(one, two, a, b, steps)
-            a, b = a[go], b[go]
-            agree = (one[a] == two[b])[:, :bands * height].reshape(-1, bands, height).all(axis=2).argmax(axis=1) if len(a) else a
-            here = agree == batch["band"][i].as_py()
-            yield pa.RecordBatch.from_arrays([x.field("key").take(pa.array(a[here])), y.field("key").take(pa.array(b[here]))], ["a", "b"])
+            x, y, a, b = _survivors(batch, i, steps, percent, banded)
+            if dense and len(a) > len(x):
+                none = pa.array([None], pa.binary())
+                yield pa.RecordBatch.from_arrays([none, none, pa.array([batch["bucket"][i].as_py()], pa.int64())], ["a", "b", "bucket"])
+                continue
+            pairs = {"a": x.field("key").take(pa.array(a)), "b": y.field("key").take(pa.array(b))}
+            if dense:
+                pairs["bucket"] = pa.nulls(len(a), pa.int64())
+            yield pa.RecordBatch.from_arrays(list(pairs.values()), list(pairs))
+
+
+def _block_forest(x: pa.StructArray, y: pa.StructArray, a: np.ndarray, b: np.ndarray, percent: int) -> list[tuple[bytes, bytes]]:
+    """Verified links (a, b) among the pairs, less those between members that earlier ones, or their components, connect."""
+    both = pa.concat_arrays([x, y])
+    keys, lists = both.field("key"), both.field("shingles")
+    ends = np.asarray(lists.offsets).astype(np.int64)
+    flat = np.unique(np.asarray(lists.values)[ends[0]:ends[-1]], return_inverse=True)[1]
+    starts, sizes = ends[:-1] - ends[0], np.diff(ends)
+    comps = {c: j for j, c in enumerate(dict.fromkeys(both.field("comp").to_pylist()))}
+    group = np.array([comps[c] for c in both.field("comp").to_pylist()])
+    held, out = np.zeros(flat.max() + 1 if len(flat) else 1, bool), []
+    b = b + len(x)
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    edges = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1], [True]]))
+    for at, to in zip(edges, edges[1:]):
+        one, others = a[at], b[at:to]
+        others = others[group[others] != group[one]]
+        if not len(others):
+            continue
+        mine = flat[starts[one]:starts[one] + sizes[one]]
+        held[mine] = True
+        theirs = np.add.reduceat(held[flat[ragged(starts[others], sizes[others])]], np.cumsum(sizes[others]) - sizes[others], dtype=np.int64)
+        held[mine] = False
+        for other in others[100 * theirs >= percent * (sizes[one] + sizes[others] - theirs)]:
+            if group[other] != group[one]:
+                group[group == group[other]] = group[one]
+                out.append((keys[int(one)].as_py(), keys[int(other)].as_py()))
+    return out
+
+
+def dense_links(members: DataFrame, sets: DataFrame, threshold: float, percent: int) -> DataFrame:
+    """Verified links (a, b) of the buckets' members (bucket, band, key, n, comp, sig), a forest for each two blocks.
+
+    Blocks hold about BLOCK_SHINGLES shingles together and meet with their members' full sets, so pairs never leave a task.
+    """
+    steps, banded = least_matches(threshold), banding(threshold)
+    counts = members.groupBy("bucket").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    dealt = members.join(counts, "bucket").withColumn("block", F.pmod(F.xxhash64("key", "bucket"), F.col("blocks")).cast("int")).join(sets, "key")
+    packed = written(dealt.groupBy("bucket", "block").agg(
+        F.first("band").alias("band"), F.first("blocks").alias("blocks"), F.collect_list(F.struct("key", "n", "comp", "sig", "shingles")).alias("x")), "blocks")
+    left = packed.select("bucket", "band", F.col("block").alias("first"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"), "x")
+    met = left.join(packed.select("bucket", "block", F.col("x").alias("y")), ["bucket", "block"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x, y, a, b = _survivors(batch, i, steps, percent, banded)
+                found = _block_forest(x, y, a, b, percent) if len(a) else []
+                yield pa.RecordBatch.from_arrays([pa.array([p[j] for p in found], pa.binary()) for j in (0, 1)], ["a", "b"])
+
+    return written_in_batches(met, each, "a binary, b binary", rows=16)
+
+
+def open_links(members: DataFrame, sig: DataFrame, sets: DataFrame, threshold: float, percent: int) -> DataFrame:
+    """Verified links (a, b) between members (bucket, band, key, n, comp) of a bucket that are in different components."""
+    steps, banded = least_matches(threshold), banding(threshold)
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"))
+    packed = members.join(sizes.where(F.col("c") <= BLOCK).select("bucket"), "bucket").join(sig, "key").groupBy("bucket").agg(
+        F.first("band").alias("band"), F.collect_list(F.struct("key", "n", "comp", "sig")).alias("x"))
+    packed = packed.select("bucket", "band", F.lit(0).alias("first"), F.lit(0).alias("block"), "x")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return across(batches, steps, percent, banded, dense=True)
+
+    found = written(in_batches(packed, each, "a binary, b binary, bucket bigint"), "pairs")
+    sparse = verified(found.where("a IS NOT NULL").select("a", "b"), sets, percent)
+    dense = sizes.where(F.col("c") > BLOCK).select("bucket").unionAll(found.where("bucket IS NOT NULL").select("bucket"))
+    return sparse.unionAll(dense_links(members.join(dense, "bucket", "left_semi").join(sig, "key"), sets, threshold, percent))
 
 
 def likely_across(open_: DataFrame, threshold: float, percent: int) -> DataFrame:
@@ -286,8 +381,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, doc_id:
 
     grouped = members.join(components(links), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     mixed = grouped.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("key").alias("first")).where("lo <> hi").select("bucket", "first")
-    rest = grouped.join(mixed, "bucket").where("key <> first").select("bucket", "band", "key", "n", "comp").join(sig, "key")
-    more = written(verified(likely_across(rest, threshold, percent), sets, percent), "links")
+    rest = grouped.join(mixed, "bucket").where("key <> first").select("bucket", "band", "key", "n", "comp")
+    more = written(open_links(written(rest, "open"), sig, sets, threshold, percent), "links")
     names = components(links.union(more))
 
     placed = nodes.select("key", "least_id").join(names, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
@@ -301,16 +396,18 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, doc_id:
 def one_of_each(docs: DataFrame, percent: int = 80, words: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, less near-duplicates: of each component the row with the least id stays.
 
-    Rows without words are no duplicates of anything. Of rows that are repeated with id and text one stays.
+    Rows without words are no duplicates of anything. Of rows that are repeated with id and text one stays. Rows go by id and text hash
+    together, so a row is lost only to another of its own id. Columns of any name are kept.
     """
     found = near_duplicates(docs, percent, words, doc_id, text).where("component IS NOT NULL")
-    ids = written(found.select("component", F.struct("doc_id", "text_hash").alias("rep"), F.xxhash64("doc_id", "text_hash").alias("id")), "ids")
-    first = ids.groupBy("component").agg(F.min("rep").alias("first"))
-    many = ids.groupBy("component", "rep", "id").agg(F.count(F.lit(1)).alias("times")).join(first, "component")
-    many = written(many.where("rep <> first OR times > 1").select("id", (F.col("rep") == F.col("first")).alias("again")), "less")
+    ids = written(found.select("component", F.struct("doc_id", "text_hash").alias("rep")).groupBy("component", "rep").agg(F.count(F.lit(1)).alias("times")), "ids")
+    first = ids.groupBy("component").agg(F.min("rep").alias("first"), F.sum("times").alias("rows")).where("rows > 1").drop("rows")
+    many = ids.join(first, "component").where("rep <> first OR times > 1")
+    many = written(many.select(F.col("rep.doc_id").alias("i"), F.col("rep.text_hash").alias("h"), (F.col("rep") == F.col("first")).alias("again")), "less")
     few = many.count() <= SENT_KEYS
     send = F.broadcast if few else (lambda x: x)
-    rows = docs.withColumn("_id", F.xxhash64(F.col(doc_id), F.xxhash64(whole(text))))
-    rest = rows.join(send(many.select(F.col("id").alias("_id"))), "_id", "left_anti")
-    repeated = rows.join(send(many.where("again").select(F.col("id").alias("_id"))), "_id", "left_semi").dropDuplicates(["_id"])
-    return rest.unionAll(repeated).select(*docs.columns)
+    row = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("doc"), _text_hash(text).alias("hash"))
+    here = row["doc"].eqNullSafe(F.col("i")) & (row["hash"] == F.col("h"))
+    rest = row.join(send(many.select("i", "h")), here, "left_anti")
+    repeated = row.join(send(many.where("again").select("i", "h")), here, "left_semi").dropDuplicates(["doc", "hash"])
+    return rest.unionAll(repeated).select("row.*")

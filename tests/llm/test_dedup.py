@@ -146,3 +146,63 @@ def test_pair_that_shares_short_bands_only(spark, monkeypatch):
 
 def test_all_batches_prune_pairs_at_the_threshold_rarely():
     assert dedup.MISS * len(dedup.least_matches(0.8)) <= 1.0001e-8
+
+
+def near_group(n, words, changed, seed=5):
+    """Copies of one text with so many words changed: near each other, most of them not linked."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(words)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for at in rng.sample(range(words), changed):
+            w[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("percent,changed", [(80, 2), (85, 1)])
+def test_group_that_is_near_and_not_linked(spark, monkeypatch, percent, changed):
+    """Links equal brute force, in one block, in several, and with small sets a block; the pairs stay in the tasks."""
+    rows = near_group(90, 120, changed)
+    want = brute(rows, percent)
+    joined = []
+    real = dedup.verified
+
+    def counted(pairs, *args):
+        joined.append(pairs.count())
+        return real(pairs, *args)
+
+    monkeypatch.setattr(dedup, "verified", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for block, shingles_ in ((128, 1 << 16), (20, 1 << 11)):
+        monkeypatch.setattr(dedup, "BLOCK", block)
+        monkeypatch.setattr(dedup, "BLOCK_SHINGLES", shingles_)
+        got = dedup.near_duplicates(docs, percent).collect()
+        assert sorted(((False, r.doc_id), r.n_shingles, (False, r.component_id)) for r in got) == want
+    assert max(joined[1::2]) <= 80 * 90
+
+
+def test_dense_buckets_give_forests(spark):
+    """A bucket whose members are all linked and in different components gives one link fewer than members, in blocks a few more."""
+    n = 40
+    sig = bytes(dedup.HASHES)
+    members = spark.createDataFrame([(7, 0, bytes([i]) * 16, 10, bytes([i]), sig) for i in range(n)], "bucket long, band int, key binary, n long, comp binary, sig binary")
+    sets = spark.createDataFrame([(bytes([i]) * 16, list(range(9)) + [100 + i]) for i in range(n)], "key binary, shingles array<bigint>")
+    links = dedup.dense_links(members, sets, 0.8, 80).collect()
+    assert len(links) == n - 1 and len({bytes(k) for r in links for k in (r.a, r.b)}) == n
+    setting = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    apart = spark.createDataFrame([(bytes([i]) * 16, list(range(10 * i, 10 * i + 10))) for i in range(n)], "key binary, shingles array<bigint>")
+    assert dedup.dense_links(members, apart, 0.8, 80).count() == 0
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == setting
+
+
+def test_rows_whose_hashes_of_id_and_text_meet_stay(spark, monkeypatch):
+    """Rows are removed by id and text hash: with equal text hashes only the id tells them apart."""
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "one two three four five six"), (None, "lone words of a row that has no id"), (5, "")],
+                                 "doc_id long, text string")
+    docs = docs.withColumn("_id", F.lit("kept")).withColumn("row", F.lit(1)).withColumn("hash", F.lit(2)).withColumn("i", F.lit(3))
+    monkeypatch.setattr(dedup, "_text_hash", lambda text: F.lit(0).cast("long"))
+    got = dedup.one_of_each(docs, 80).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == [(False, 1), (False, 3), (False, 5), (True, 0)]
+    assert all(r["_id"] == "kept" and r["row"] == 1 and r["hash"] == 2 and r["i"] == 3 for r in got)
