@@ -22,9 +22,11 @@ from sigframe.llm.arrays import HashIndex, SLICE_BYTES, slices, sums, text_bytes
 from sigframe.llm.common import in_batches, unit, whole
 
 ORDER = 4
-#: Bounds of the training sample: bytes of all languages together, of one language and of one text, and languages (those
-#: with most training text). They bound the model as well, whatever the size of the corpus.
-TRAIN_BYTES, LANGUAGE_BYTES, TEXT_BYTES, LANGUAGES = 1 << 20, 256 << 10, 32 << 10, 64
+#: Bounds of the training sample: bytes of all languages together, of one language and of one drawn text. They bound the model
+#: as well, whatever the size of the corpus.
+TRAIN_BYTES, LANGUAGE_BYTES, TEXT_BYTES = 1 << 20, 256 << 10, 32 << 10
+#: Each language is learned; a corpus that names more of them than this is an error, as its model would not fit a task.
+LANGUAGES = 512
 
 
 def windows(padded: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -128,19 +130,28 @@ class LanguageModel:
 
 
 def sample(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict[str, list[bytes]]:
-    """A bounded training sample, by language: whole texts of up to TEXT_BYTES, chosen by a hash of id and text."""
+    """A bounded training sample of every language: whole texts of up to TEXT_BYTES, chosen by a hash of id and text. A language
+    that none is drawn of gives its first text by that hash, the shorter ones first, cut to what is its share."""
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), unit(F.col(key).cast("string"), F.col(text)).alias("u"))
-    rows = rows.where(F.col("lang").isNotNull() & F.octet_length("text").between(1, TEXT_BYTES))
-    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")).orderBy(F.desc("bytes"), "lang").limit(LANGUAGES).collect()
+    rows = rows.where(F.col("lang").isNotNull() & (F.octet_length("text") > 0))
+    size = F.octet_length("text")
+    short = F.sum(F.when(size <= TEXT_BYTES, size)).alias("bytes")
+    sizes = rows.groupBy("lang").agg(short).limit(LANGUAGES + 1).collect()
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages to learn; group rare ones under one name")
     if not sizes:
         return {}
     most = min(LANGUAGE_BYTES, TRAIN_BYTES // len(sizes))
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, most / r["bytes"]))).otherwise(share)
+    spark = docs.sparkSession
+    shares = spark.createDataFrame([(r["lang"], min(1.0, most / r["bytes"]) if r["bytes"] else 0.0) for r in sizes], "lang string, share double")
+    drawn = rows.where(size <= TEXT_BYTES).join(F.broadcast(shares), "lang").where("u < share")  # at most LANGUAGES rows
     out: dict[str, list[bytes]] = {}
-    for r in sorted(rows.where(F.col("u") < share).select("lang", "text").collect()):
+    for r in sorted(drawn.select("lang", "text").collect()):
         out.setdefault(r["lang"], []).append(r["text"].encode())
+    bare = [r["lang"] for r in sizes if r["lang"] not in out]
+    if bare:
+        first = rows.where(F.col("lang").isin(bare)).groupBy("lang").agg(F.min(F.struct((size > TEXT_BYTES).alias("long"), "u", F.left("text", F.lit(most)).alias("text"))).alias("f"))
+        out.update({r["lang"]: [r["f"]["text"].encode()[:most]] for r in first.collect()})
     return out
 
 

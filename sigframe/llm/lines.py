@@ -12,8 +12,9 @@ from sigframe.llm.common import WORD, bound_once, whole
 from sigframe.session import written
 
 WINDOW = 8
-#: A line is removed in a host if it stands in more documents than both limits allow: so many, and this share of the host's.
-LEAST_DOCS, SHARE = 20, 0.01
+#: A line is removed in a host if it stands in more documents than LEAST_DOCS and in more than this share of the host's, or, in a
+#: host of any size, in more than MOST_DOCS.
+LEAST_DOCS, SHARE, MOST_DOCS = 20, 0.01, 1000
 #: A document is rejected if less than this share of its words is left.
 LEFT = 0.5
 #: Frequent lines above this number are joined by shuffle; fewer (16 bytes each) are sent to every task.
@@ -72,17 +73,17 @@ def line_rows(text: Column) -> Column:
     return hashed
 
 
-def frequent(rows: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE) -> DataFrame:
-    """(host, hash) of lines in more documents of the host than its limit: ``rows`` has host, lines."""
+def frequent(rows: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE, most_docs: int = MOST_DOCS) -> DataFrame:
+    """(host, hash) of lines in more documents of the host than its limits: ``rows`` has host, lines."""
     docs = rows.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
     seen = rows.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["hash"]))).alias("hash"))
     seen = seen.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least_docs)
-    over = seen.join(docs, "host").where(F.col("n") > F.col("docs") * share)
+    over = seen.join(docs, "host").where((F.col("n") > F.col("docs") * share) | (F.col("n") > most_docs))
     return over.select("host", "hash")
 
 
 def rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", least_docs: int = LEAST_DOCS,
-          share: float = SHARE, left: float = LEFT) -> DataFrame:
+          share: float = SHARE, left: float = LEFT, most_docs: int = MOST_DOCS) -> DataFrame:
     """doc_id, the base columns, n_removed (words in removed lines), and kept.
 
     A document is kept unless a base rule fails or less than ``left`` of its words remain. Every row counts as one document of its
@@ -90,7 +91,7 @@ def rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
     """
     source = F.coalesce(F.col(host).cast("string"), F.lit(""))
     lines = docs.select(source.alias("host"), line_rows(whole(text)).alias("lines"))
-    common = written(frequent(lines, least_docs, share), "lines")
+    common = written(frequent(lines, least_docs, share, most_docs), "lines")
     few = common.count() <= SENT_LINES
     key = [F.col(doc_id).alias("doc_id"), source.alias("host"), F.xxhash64(whole(text)).alias("text_hash")]
     measured = base(docs, key, text).drop("_text")

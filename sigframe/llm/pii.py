@@ -35,6 +35,8 @@ CANDIDATES = {
 }
 #: What a text must contain for a pattern to be tried.
 NEEDS = {"email": r"@|\(at\)|\[at\]", "ip": r"[0-9]\.[0-9]", "card": "[0-9]{2}|[0-9][ .-]{1,2}[0-9]", "phone": r"[0-9]{2}|[0-9][ ().-]{1,3}[0-9]", "secret": "[0-9]"}
+#: The same for the base rules: what every match has in it.
+BASE_NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 #: What a text must contain to be searched at all.
 SOME = r"[0-9@]|[(\[]at[)\]]"
 OCTETS = r"^(?:0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.|$)){4}$"
@@ -86,7 +88,7 @@ def passes(kind: str, m: Column) -> Column:
 
 def base_spans(text: Column) -> Column:
     def of(nth: int, kind: str) -> Column:
-        found = F.filter(matches(text, BASE[kind], "@" if kind == "email" else NEEDS[kind]), lambda x: passes(kind, x["m"]))
+        found = F.filter(matches(text, BASE[kind], BASE_NEEDS[kind]), lambda x: passes(kind, x["m"]))
         return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(nth).alias("kind"), x["end"].alias("end")))
 
     return F.array_sort(F.concat(*(of(i, k) for i, k in enumerate(BASE)))).cast(SPAN)

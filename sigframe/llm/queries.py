@@ -51,7 +51,7 @@ def op4_hash_tree(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("op10_term_at_a_time", """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+WITH v AS (SELECT DISTINCT vec_id, embedding, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
       FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
@@ -101,7 +101,7 @@ l AS (SELECT r, host, i, line, regexp_replace(lower(line), '[^\pL\pN]+', '', 'g'
             FROM (SELECT r, host, string_split(text, chr(10)) AS ls FROM d)))),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE words > 0 GROUP BY r),
 f AS (SELECT host, key FROM (SELECT host, key, count(DISTINCT r) AS c FROM l WHERE key <> '' GROUP BY 1, 2)
-      JOIN (SELECT host, count(*) AS docs FROM d GROUP BY 1) USING (host) WHERE c > 20 AND c > docs * 0.01),
+      JOIN (SELECT host, count(*) AS docs FROM d GROUP BY 1) USING (host) WHERE c > 20 AND (c > docs * 0.01 OR c > 1000)),
 lost AS (SELECT r, sum(words) AS n_removed FROM l JOIN f USING (host, key) GROUP BY r),
 b AS (SELECT w.r, w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
              CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,

@@ -38,12 +38,14 @@ def digests(strings: list[str]) -> np.ndarray:
 def build(rules: list[tuple[str, str, str]]) -> bytes:
     """(host, path, verdict) as one file: an npz-free layout of sorted keys, string offsets, strings and verdicts.
 
-    Of a rule listed twice with both verdicts ``block`` stays.
+    Of a rule listed twice with both verdicts ``block`` stays. A path begins with ``/`` or is empty, which is ``/``.
     """
     kept: dict[str, str] = {}
     for host, path, verdict in rules:
         if verdict not in ("allow", "block"):
             raise ValueError(f"{host}{path}: a verdict is allow or block, not {verdict!r}")
+        if path and not path.startswith("/") or "/" in host:
+            raise ValueError(f"{host} {path}: a host has no slash and a path begins with one")
         name = f"{host.translate(str.maketrans(UPPER, LOWER))}{path or '/'}"
         kept[name] = "block" if "block" in (verdict, kept.get(name)) else "allow"
     names = list(kept)

@@ -2,6 +2,8 @@ import math
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from sigframe.llm import language
 from sigframe.llm.language import LanguageModel, ORDER
@@ -77,3 +79,23 @@ def test_sample_is_bounded_and_skips_nulls(spark):
     got = language.sample(docs)
     assert set(got) == {"en"} and 150_000 < sum(map(len, got["en"])) < 400_000 and max(map(len, got["en"])) <= language.TEXT_BYTES
     assert language.sample(docs.limit(0)) == {}
+
+
+def test_every_language_is_learned(spark):
+    """70 languages, one of them in a single long text, one in a text of a letter; too many are an error."""
+    rng = random.Random(4)
+    letters = [chr(0x4E00 + 40 * k + j) for k in range(70) for j in range(8)]
+    text = lambda k, n: " ".join("".join(rng.choices(letters[8 * k:8 * k + 8], k=4)) for _ in range(n))
+    rows = [(100 * k + i, text(k, 30), f"l{k:02d}") for k in range(68) for i in range(12)]
+    rows += [(90_000, text(68, 9000), "l68"), (90_001, letters[8 * 69], "l69"), (90_002, None, "l70"), (90_003, "", "l70"), (90_004, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = language.sample(docs)
+    assert sorted(got) == [f"l{k:02d}" for k in range(70)]
+    assert 0 < len(b"".join(got["l68"])) <= language.TRAIN_BYTES // 70
+    model = LanguageModel.train(got)
+    found = {r.doc_id: r.lang_pred for r in language.identify(docs, model, ["doc_id"]).collect()}
+    assert all(found[d] == lang for d, t, lang in rows if t and lang)
+    assert found[90_002] == found[90_003] == "und"
+    many = spark.range(language.LANGUAGES + 1).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text"), F.col("id").cast("string").alias("lang"))
+    with pytest.raises(ValueError):
+        language.sample(many)

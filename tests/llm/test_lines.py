@@ -1,6 +1,8 @@
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from sigframe.llm import lines
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -41,3 +43,17 @@ def test_lines_of_many_documents_are_removed(spark):
         assert {r.doc_id: (r.n_removed, r.kept) for r in lines.rules(docs, least_docs=20, share=0.1).collect()} == got
     finally:
         lines.SENT_LINES = lines_joined
+
+
+def test_documents_of_shared_lines_are_rejected_at_the_defaults(spark):
+    """In a small host and in one where the share alone would spare the line."""
+    own = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    shared = "\n".join(" ".join(f"s{k}y{j}" for j in range(12)) for k in range(3))
+    rows = [(i, f"{shared}\n{own(i, 10)}", "small") for i in range(30)] + [(100 + i, own(100 + i, 25), "small") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.base_failed, r.n_removed, r.kept) for r in lines.rules(docs).collect()}
+    assert all(got[i] == (False, 36, False) for i in range(30)) and all(got[100 + i] == (False, 0, True) for i in range(30))
+    large = spark.range(130_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 1100, F.concat(F.lit("a line of one host that goes on for twelve words or so\n"), F.lit("one two three four five six seven eight nine")))
+                                        .otherwise(F.concat(F.lit("t"), F.col("id").cast("string"))).alias("text"), F.lit("hot").alias("source"))
+    found = lines.frequent(large.select(F.col("source").alias("host"), lines.line_rows(F.col("text")).alias("lines")))
+    assert found.count() == 2  # 1,100 of 130,000 documents are below the share of 1 %, above 1,000

@@ -80,3 +80,11 @@ def test_scores_in_sql_equal_those_in_numpy(spark):
     df = spark.createDataFrame([tuple(map(int, r)) for r in rows], ", ".join(f"{f} int" for f in pii.FEATURES))
     got = df.select(model.margin(F.struct(*pii.FEATURES)).alias("m")).collect()
     assert np.allclose([r.m for r in got], model.margins(rows))
+
+
+def test_base_spans_do_not_depend_on_other_digits(spark):
+    """A phone number whose digits all stand apart, and a card with one separator each, alone and beside other digits."""
+    texts = ["+1    2    3    4    5    6    7    8    9", "+1    2    3    4    5    6    7    8    9 and 12", "+1(((2)))3...4---5   6   7   8   9", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "1.2.3.4"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in docs.select("text", pii.base_spans(F.col("text")).alias("spans")).collect():
+        assert [(s.start, s.kind, s.end) for s in r.spans] == brute(r.text)

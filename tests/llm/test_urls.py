@@ -60,3 +60,10 @@ def test_rules_are_checked(spark, monkeypatch):
     monkeypatch.setattr(urls, "MAX_ARRAY_BYTES", 10)
     with pytest.raises(ValueError, match="bytes"):
         urls.judge(pages, rules)
+
+
+def test_rules_that_are_no_host_and_path_are_refused():
+    for rule in (("net", "en/", "block"), ("example.net/en", "/", "allow"), ("net", "/", "perhaps")):
+        with pytest.raises(ValueError):
+            urls.build([rule])
+    assert urls.build([("net", "", "block")]) == urls.build([("net", "/", "block")])
