@@ -1,10 +1,14 @@
 """Spelling variants: words one edit apart, by a frontier of states that moves through a trie as joins.
 
-The trie is a table of nodes (prefixes) with their outgoing edges, stored by level. A state (word, pos, node, edits) says that ``pos``
-code points of a word have been read at ``node`` with so many edits. Each level joins all states with the nodes they are at: a state without an
-edit follows its own letter, replaces it by a larger one, or deletes it; a state with an edit only follows. A state with one
-edit that has read its word at the end of another word is a pair of neighbours. Insertions are deletions of the other word, and
-replacements by smaller letters those of the other word, so pairs are found once and mirrored.
+Every word is read forwards and backwards, with a first sign that tells which, and the trie holds both: a table of nodes (prefixes of
+readings) with their outgoing edges, stored by level. A state (reading, pos, node, edits) says that ``pos`` signs of a reading have been read
+at ``node`` with so many edits. Each level joins all states with the nodes they are at: a state without an edit follows its own
+letter, replaces it by a larger one, or deletes it; a state with an edit only follows. A state with one edit that has read all at the end
+of another reading is a pair of neighbours. Insertions are deletions of the other word, and replacements by smaller letters those of
+the other word, so pairs are found once and mirrored.
+
+An edit in the second half of a word is made in the forward reading, one in the first half in the backward one. So states enter
+at the middle of a word, where few others share its prefix, and not at the root, where all do.
 
 The number of joins is the length of the longest word, so words above LONGEST code points are paired by the hashes of their texts with
 one code point left out instead, and verified; a hash and a place are shared by as many words as there are letters, at most.
@@ -46,56 +50,85 @@ def _letter(word: str, at: Column | int) -> Column:
     return F.substring(F.col(word), (F.lit(at) if isinstance(at, int) else at) + 1, F.lit(1))
 
 
-def trie(words: DataFrame) -> str:
-    """Path of the nodes (level, node, kids): ``kids`` are edges (letter, whether a word ends there, letters that follow), by level."""
-    steps = words.select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("level"))
-    edges = steps.select("level", F.substring("word", F.lit(1), F.col("level")).alias("node"), _letter("word", F.col("level")).alias("letter"),
-                         _letter("word", F.col("level") + 1).alias("then"))
+FORWARD, BACKWARD = ">", "<"
+
+
+def readings(words: DataFrame) -> DataFrame:
+    """(reading, start) of every word, forwards and backwards; edits are made from ``start`` on."""
+    n = F.length("word")
+    half = F.floor(n / 2).cast("int")
+    both = F.array(F.struct(F.concat(F.lit(FORWARD), "word").alias("reading"), (half + 1).alias("start")),
+                   F.struct(F.concat(F.lit(BACKWARD), F.reverse("word")).alias("reading"), (n - half + 1).alias("start")))
+    return words.select(F.inline(both))
+
+
+def trie(reads: DataFrame) -> str:
+    """Path of the nodes (level, node, kids): ``kids`` are edges (letter, whether a reading ends there, letters that follow), by level.
+
+    Levels above the least ``start`` are not needed.
+    """
+    n = F.length("reading")
+    # a node has all its edges only if every reading through it adds its own, also those that start further down
+    first = reads.agg(F.min("start")).first()[0]
+    steps = reads.select("reading", F.explode(F.sequence(F.lit(first), n - 1)).alias("level"))
+    edges = steps.select("level", F.substring("reading", F.lit(1), F.col("level")).alias("node"), _letter("reading", F.col("level")).alias("letter"),
+                         _letter("reading", F.col("level") + 1).alias("then"))
     follow = edges.groupBy("level", "node", "letter").agg(F.array_join(F.array_sort(F.collect_set("then")), "").alias("then"), F.bool_or(F.col("then") == "").alias("ends"))
     nodes = written(follow.groupBy("level", "node").agg(F.collect_list(F.struct("letter", "ends", "then")).alias("kids")), "nodes")
-    path = f"{shared_dir(words.sparkSession)}/levels"
+    path = f"{shared_dir(reads.sparkSession)}/levels"
     nodes.repartitionByRange("level", "node").write.partitionBy("level").parquet(path)
     return path
 
 
-STATE = ["word", "pos", "node", "edits", "ends"]
+STATE = ["reading", "pos", "node", "edits", "ends"]
 
 
 def walked(words: DataFrame) -> DataFrame:
     """Pairs (a, b) of ``words``, b being a with one code point deleted or replaced by a larger one."""
     spark = words.sparkSession
-    longest = words.agg(F.max(F.length("word"))).first()[0] or 0
-    path = trie(words) if longest else None
-    nodes = spark.read.schema("node string, kids array<struct<letter string, ends boolean, then string>>, level int").parquet(path) if longest else None
-    front = words.select("word", F.lit(0).alias("pos"), F.lit("").alias("node"), F.lit(0).alias("edits"), F.lit(False).alias("ends"))
+    reads = written(readings(words), "readings")
+    size = F.length("reading")
+    first, last = reads.agg(F.min("start"), F.max(size)).first()
     found = []
-    here, after = _letter("word", F.col("pos")), _letter("word", F.col("pos") + 1)
-    for level in range(longest):
-        # a deletion stays at its node; of equal letters in a row the last is deleted
-        cut = front.where(F.col("edits") == 0).where(here != after).select("word", (F.col("pos") + 1).alias("pos"), "node", F.lit(1).alias("edits"), "ends")
-        met = front.unionByName(cut).join(nodes.where(F.col("level") == level).select("node", "kids"), "node", "left")
-        own, then = _letter("word", F.col("pos")), _letter("word", F.col("pos") + 1)
-        goes = F.when(F.col("edits") == 1, F.filter("kids", lambda k: k["letter"] == own)).otherwise(F.filter(
-            "kids", lambda k: (k["letter"] == own) | ((k["letter"] > own) & F.when(then == "", k["ends"]).otherwise(F.contains(k["then"], then)))))
-        done = (F.col("edits") == 1) & (F.col("pos") == F.length("word"))
-        kids = met.select("word", "pos", "node", "edits", "ends", done.alias("done"), F.explode_outer(F.when(done, F.array(F.lit(None).cast(
-            "struct<letter:string,ends:boolean,then:string>"))).otherwise(goes)).alias("kid"))
-        kids = kids.where("done AND ends OR kid IS NOT NULL")
-        moved = kids.select(
-            "word", F.when(F.col("done"), F.col("pos")).otherwise(F.col("pos") + 1).alias("pos"), F.concat("node", F.coalesce("kid.letter", F.lit(""))).alias("node"),
-            F.when(F.col("done"), F.lit(1)).otherwise(F.col("edits") + (F.col("kid.letter") != own).cast("int")).alias("edits"),
-            F.coalesce("kid.ends", "ends").alias("ends"), "done")
-        # what has reached the end of its word with this step is done as well
-        at_end = (F.col("edits") == 1) & (F.col("pos") == F.length("word")) & F.col("ends")
-        front = written(moved.withColumn("done", F.col("done") | at_end).where("done OR pos < length(word)"), "front")
-        found.append(front.where("done").select(F.col("word").alias("a"), F.col("node").alias("b")))
-        front = front.where("NOT done").select(*STATE)
+    if first is not None:
+        nodes = spark.read.schema("node string, kids array<struct<letter string, ends boolean, then string>>, level int").parquet(trie(reads))
+        front, own, then = None, _letter("reading", F.col("pos")), _letter("reading", F.col("pos") + 1)
+        for level in range(first, last):
+            enter = reads.where(F.col("start") == level).select("reading", F.lit(level).alias("pos"), F.substring("reading", 1, level).alias("node"), F.lit(0).alias("edits"), F.lit(False).alias("ends"))
+            front = enter if front is None else front.unionByName(enter)
+            front = written(_step(front, nodes.where(F.col("level") == level).select("node", "kids"), own, then), "front")
+            found.append(front.where("done"))
+            front = front.where("NOT done").select(*STATE)
     out = words.limit(0).select(F.col("word").alias("a"), F.col("word").alias("b"))
     for pairs in found:
-        out = out.unionAll(pairs)
+        out = out.unionAll(pairs.select(*(F.when(F.left("reading", F.lit(1)) == FORWARD, F.substring(c, F.lit(2), size)).otherwise(
+            F.reverse(F.substring(c, F.lit(2), size))).alias(n) for c, n in (("reading", "a"), ("node", "b")))))
     return out
 
 
+def _step(front: DataFrame, nodes: DataFrame, own: Column, then: Column) -> DataFrame:
+    """The states one level down, those that are pairs marked as ``done``."""
+    size = F.length("reading")
+    # a deletion stays at its node; of equal letters in a row the last of the word is deleted
+    before = _letter("reading", F.col("pos") - 1)
+    lone = F.when(F.left("reading", F.lit(1)) == FORWARD, own != then).otherwise(own != before)
+    cut = front.where(F.col("edits") == 0).where(lone).select("reading", (F.col("pos") + 1).alias("pos"), "node", F.lit(1).alias("edits"), "ends")
+    met = front.unionByName(cut).join(nodes, "node", "left")
+    goes = F.when(F.col("edits") == 1, F.filter("kids", lambda k: k["letter"] == own)).otherwise(F.filter(
+        "kids", lambda k: (k["letter"] == own) | ((k["letter"] > own) & F.when(then == "", k["ends"]).otherwise(F.contains(k["then"], then)))))
+    done = (F.col("edits") == 1) & (F.col("pos") == size)
+    none = F.array(F.lit(None).cast("struct<letter:string,ends:boolean,then:string>"))
+    kids = met.select("reading", "pos", "node", "edits", "ends", done.alias("done"), F.explode_outer(F.when(done, none).otherwise(goes)).alias("kid"))
+    kids = kids.where("done AND ends OR kid IS NOT NULL")
+    moved = kids.select(
+        "reading", F.when(F.col("done"), F.col("pos")).otherwise(F.col("pos") + 1).alias("pos"), F.concat("node", F.coalesce("kid.letter", F.lit(""))).alias("node"),
+        F.when(F.col("done"), F.lit(1)).otherwise(F.col("edits") + (F.col("kid.letter") != own).cast("int")).alias("edits"),
+        F.coalesce("kid.ends", "ends").alias("ends"), "done")
+    # what has reached the end of its word with this step is done as well
+    at_end = (F.col("edits") == 1) & (F.col("pos") == size) & F.col("ends")
+    return moved.withColumn("done", F.col("done") | at_end).where(F.col("done") | (F.col("pos") < size))
+
+
 def _place_hashes(word: str) -> tuple[np.ndarray, int]:
     """Hashes of the word without its code point i, for every i, and of the whole word."""
     points = mix(np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64), 12)
