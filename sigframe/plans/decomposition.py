@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from sigframe.plans.gram import collect_gram, gram
+from sigframe.plans.gram import MAX_DRIVER_BYTES, collect_gram, gram
 
 
 @dataclass(frozen=True)
@@ -35,12 +35,13 @@ class State:
 
 @dataclass(frozen=True)
 class Components:
-    """Loadings (k x p), mean, and the share of variance of every component found."""
+    """Loadings (k x p), mean, and the share of variance of every component found; ``error`` is that of a wide fit."""
 
     loadings: np.ndarray
     mean: np.ndarray
     ratio: np.ndarray
     variance: np.ndarray
+    error: float = 0.0
 
     @property
     def k(self) -> int:
@@ -98,8 +99,18 @@ def _map_rows(df: DataFrame, source: str, name: str, model: Components, fn: Call
 
 
 def fit_and_reduce(df: DataFrame, *, threshold: float = 0.95, n_components: int | None = None, x_col: str = "x",
-                   method: Callable[[State, int | None, float], Components] = solve) -> tuple[DataFrame, Components]:
-    """Reduced rows and the model; one summing pass serves the search and the final fit."""
+                   method: Callable[[State, int | None, float], Components] = solve, limit: int | None = None) -> tuple[DataFrame, Components]:
+    """Reduced rows and the model; one summing pass serves the search and the final fit.
+
+    Where a p x p matrix would take more than ``limit`` bytes (``gram.MAX_DRIVER_BYTES``), :func:`sigframe.plans.subspace.fit_wide` finds
+    the components without one.
+    """
+    first = df.select(F.size(x_col).alias("p")).first()
+    if first and 8 * (first["p"] + 1) ** 2 > (MAX_DRIVER_BYTES if limit is None else limit):
+        from sigframe.plans.subspace import fit_wide
+
+        model = fit_wide(df, n_components=n_components, threshold=threshold, x_col=x_col)
+        return project(df, model, x_col), model
     model = method(moments(df, x_col), n_components, threshold)
     return project(df, model, x_col), model
 

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -67,3 +68,16 @@ def written(df, name: str = "table"):
     path = f"{shared_dir(df.sparkSession)}/{name}"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Within it rows reach Python ``rows`` at a time; afterwards the session has its own setting again. Only actions count, so
+    store the result inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(max(1, rows)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from sigframe.functions.arrays import dot
 from sigframe.operators import bands, events as stimulus, folds as fold_ops
 from sigframe.plans import decomposition, encoding, ridge
 from sigframe.plans.kernel import Kernels
@@ -102,6 +103,14 @@ def m2_banded(spark, d):
     return _band_rows(fit, fit.coef)
 
 
+@query("m1_wide", f"WITH {_TWO} {_BAND_OUT}")
+def m1_wide(spark, d):
+    """The same search without sums of products, as tables above the limit are solved."""
+    x, y = features(spark, d), responses(spark, d)
+    fit = ridge.prepare(x, y, run_folds(y), TWO, limit=0).search(GAMMAS, ALPHAS)
+    return _band_rows(fit, fit.coef)
+
+
 @query("m3_kernel", f"WITH {_TWO} {_BAND_OUT}")
 def m3_kernel(spark, d):
     """The same search through kernels; weights mapped back to features."""
@@ -312,6 +321,26 @@ def m6_explained(spark, d):
     return v.agg(F.count(F.lit(1)).alias("n"), F.lit(len(model.mean)).cast("long").alias("n_features"), F.round(F.sum("v"), 6).alias("total_variance"))
 
 
+@query("m6_wide", f"""WITH {SAMPLES_SQL}, c AS (SELECT user_id, CAST(floor(time / 3600.0) AS INTEGER) AS t, count(*) AS n FROM samples GROUP BY 1, 2),
+g AS (SELECT u.user_id, h.t, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT user_id FROM c) u CROSS JOIN (SELECT unnest(range(0, (SELECT max(t) FROM c) + 1)) AS t) h
+      LEFT JOIN c ON c.user_id = u.user_id AND c.t = h.t),
+m AS (SELECT *, n - avg(n) OVER (PARTITION BY t) AS d FROM g)
+SELECT user_id, CAST(least((SELECT count(DISTINCT user_id) FROM g), (SELECT count(DISTINCT t) FROM g)) AS INTEGER) AS n_components, round(sum(d * d), 6) AS norm2 FROM m GROUP BY 1""")
+def m6_wide(spark, d):
+    """Users by hours, more columns than rows: all components, without a matrix of the columns, keep each row's length."""
+    hours = F.floor(event_seconds() / 3600).cast("int")
+    events = table(spark, d, "events").select("user_id", hours.alias("t"))
+    last = events.agg(F.max("t")).scalar()
+    counts = events.groupBy("user_id", "t").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    held = counts.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("t", "n"))).alias("m"))
+    held = held.withColumn("last", last)
+    x = F.transform(F.sequence(F.lit(0), F.col("last")), lambda t: F.coalesce(F.try_element_at("m", t), F.lit(0.0)))
+    rows = written(held.select("user_id", x.alias("x")))
+    directions = min(rows.count(), len(rows.first()["x"]))
+    reduced, _ = decomposition.fit_and_reduce(rows, n_components=directions, limit=0)
+    return reduced.select("user_id", F.size("z").alias("n_components"), F.round(dot(F.col("z"), F.col("z")), 6).alias("norm2"))
+
+
 @query("m7_inverse_transform", "SELECT vec_id, CAST(i - 1 AS INTEGER) AS dim, round(CAST(embedding[i] AS DOUBLE), 5) AS value FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings)")
 def m7_inverse_transform(spark, d):
     rows = rows64(spark, d)

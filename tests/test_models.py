@@ -436,3 +436,56 @@ def test_stream_moments_are_idempotent(spark):
     s = state.read_moments(spark, f"{base}/sums")
     assert s.n == 40
     np.testing.assert_allclose(s.scatter, np.cov(x.T) * 39, atol=1e-9)
+
+
+# -- wide tables ---------------------------------------------------------------------------------------------------
+
+def test_wide_ridge_equals_the_direct_solution(spark, monkeypatch):
+    """More features than samples in a fold, several passes and chunks, shared and own penalties, gaps refused."""
+    from sigframe.plans import wide
+
+    _, _, _, xs, ys, folds = problem(spark, n=15, p=12, targets=4, seed=3)
+    spaces, gammas, alphas = [("a", 0, 8), ("b", 8, 12)], np.array([[0.5, 0.5], [0.9, 0.1]]), [1.0, 30.0]
+    direct = ridge.prepare(xs, ys, folds, spaces)
+    monkeypatch.setattr(wide, "PASS_BYTES", 8 * 12 * 6 * 2 * 2)
+    rows = lambda df: {r["target"]: r for r in df.collect()}
+    data = ridge.prepare(xs, ys, folds, spaces, limit=0)
+    want, got = direct.search(gammas, alphas), data.search(gammas, alphas)
+    assert isinstance(data, wide.Wide) and len(data.passes) > 1
+    a, b, c, d = rows(want.choice), rows(got.choice), rows(want.coef), rows(got.coef)
+    for t in a:
+        assert (a[t].gamma_id, a[t].alpha) == (b[t].gamma_id, b[t].alpha) and a[t].score == pytest.approx(b[t].score, rel=1e-7)
+        np.testing.assert_allclose(d[t].coef, c[t].coef, atol=1e-8)
+        assert d[t]["mean"] == pytest.approx(c[t]["mean"])
+    deltas = lambda fit: {(r.target, r.space): round(r.delta, 9) for r in fit.deltas.collect()}
+    assert deltas(got) == deltas(want)
+    with pytest.raises(ValueError):
+        data.search(gammas, [0.0])
+    with pytest.raises(Exception, match="responses"):
+        ridge.prepare(xs, ys.where("t <> 7 OR target <> 'v1'"), folds, spaces, limit=0).search(gammas, alphas)
+
+
+def test_wide_components(spark):
+    """More columns than rows: leading components and variances against NumPy; a threshold doubles the subspace."""
+    from sigframe.plans import subspace
+
+    rng = np.random.default_rng(2)
+    n, p = 50, 120
+    x = rng.normal(size=(n, 8)) * np.array([9, 7, 5, 4, 3, 2, 1, 1]) @ rng.normal(size=(8, p)) + 0.01 * rng.normal(size=(n, p)) + 5
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "i int, x array<double>").repartition(7)
+    _, s, v = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    model = subspace.fit_wide(df, n_components=5)
+    np.testing.assert_allclose(model.variance[:5], s[:5] ** 2 / (n - 1), rtol=1e-9)
+    np.testing.assert_allclose(np.abs((model.loadings * v[:5]).sum(axis=1)), 1, atol=1e-9)
+    assert model.error < 1e-6 and model.loadings.shape == (5, p)
+    old, subspace.OVERSAMPLE = subspace.OVERSAMPLE, -30
+    try:
+        few = subspace.fit_wide(df, threshold=0.99)
+    finally:
+        subspace.OVERSAMPLE = old
+    share = np.cumsum(s ** 2) / (s ** 2).sum()
+    assert few.k == int(np.argmax(share >= 0.99)) + 1
+    reduced, same = decomposition.fit_and_reduce(df, n_components=5, limit=0)
+    np.testing.assert_allclose(same.loadings, model.loadings, atol=1e-9)
+    z = np.array([r.z for r in reduced.orderBy("i").collect()])
+    np.testing.assert_allclose(np.abs(z), np.abs((x - x.mean(0)) @ v[:5].T), atol=1e-6)
