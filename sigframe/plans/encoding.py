@@ -10,9 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from sigframe.functions.arrays import subtract, vector_mean
 from sigframe.operators.windows import delay
-from sigframe.plans.kernel import Kernels
-from sigframe.plans.ridge import ALPHAS, Banded, Fit, prepare, prepare_group, random_gammas
-from sigframe.session import written
+from sigframe.plans.kernel import GroupKernels, Kernels
+from sigframe.plans.ridge import ALPHAS, Banded, Fit, prepare, prepare_group, random_gammas, with_refined
 
 # The default lags in samples.
 DELAYS = (1, 2, 3, 4)
@@ -53,25 +52,17 @@ def _random_search(x, y, folds, spaces, *, banded, gammas, alphas, max_iter, **h
 
 
 def _group_search(x, y, folds, spaces, *, banded, gammas, alphas, max_iter, **how):
-    data = prepare_group(x, y, folds, spaces, **how)
+    data = (prepare_group if banded else GroupKernels)(x, y, folds, spaces, **how)
     return data, data.search(gammas, alphas)
 
 
 def _gradient_search(x, y, folds, spaces, *, banded, gammas, alphas, max_iter, **how):
     """Start every target from one shared weight with its best penalty, then descend."""
-    data = prepare(x, y, folds, spaces, **how)
+    data = (prepare if banded else Kernels)(x, y, folds, spaces, **how)
     k = len(spaces)
     start = data.search(np.full((1, k), 1.0 / k), alphas)
     refined, _ = data.refine(start, max_iter=max_iter)
-    refined = written(refined, "refined")
-    names = F.array(*[F.lit(n) for n, _, _ in spaces])
-    deltas = refined.select("target", F.posexplode("deltas").alias("i", "delta")).select(
-        "target", F.element_at(names, F.col("i") + 1).alias("space"), "delta")
-    choice = start.choice.join(refined.select("target", (-F.col("loss")).alias("_s")), "target", "left").select(
-        "target", "gamma_id", "alpha", F.coalesce("_s", "score").alias("score"))
-    kept = start.coef.join(refined, "target", "left_anti").unionByName(refined.select("target", "coef", "mean"))
-    rest = start.deltas.join(refined, "target", "left_anti").unionByName(deltas)
-    return data, Fit(kept, rest, choice, start.cv_scores)
+    return data, with_refined(start, refined, spaces)
 
 
 SOLVERS["hyper_gradient"] = _gradient_search
@@ -86,8 +77,7 @@ def fit_encoding(x: DataFrame, y: DataFrame, folds: DataFrame, spaces: Sequence[
     """Fit x(run, t, x[]) to y(run, t, target, y) with inner folds (fold, run, is_val).
 
     Without spaces one shared weight is used. With spaces the primal form serves more samples
-    than features (or when forced), kernels otherwise; ``primal_coef`` gives feature weights of either. The group-level and the
-    gradient solver are primal. ``max_iter`` is the number of gradient steps. Counts and means are small collects.
+    than features (or when forced), kernels otherwise, for every solver; ``primal_coef`` gives feature weights of either. ``max_iter`` is the number of gradient steps. Counts and means are small collects.
     """
     if solver not in SOLVERS:
         raise ValueError(f"no solver {solver!r}; registered are {sorted(SOLVERS)}")
@@ -97,7 +87,7 @@ def fit_encoding(x: DataFrame, y: DataFrame, folds: DataFrame, spaces: Sequence[
     wide_x, wide = delayed_features(x, stats["m"], delays, bands, partition_cols=partition_cols)
     if gammas is None:
         gammas = np.ones((1, 1)) if single else random_gammas(n_iter, [b[0] for b in bands], seed)
-    banded = single or solver != "random_search" or stats["n"] > len(stats["m"]) or force_banded
+    banded = single or stats["n"] > len(stats["m"]) or force_banded
     data, fit = SOLVERS[solver](wide_x, y, folds, wide, banded=banded, gammas=np.asarray(gammas, float), alphas=alphas,
                                 max_iter=max_iter, n_chunks=n_chunks, centre_y=centre_y, missing=missing)
     kind = "ridge" if single else "banded" if banded else "kernel"

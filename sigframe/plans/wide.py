@@ -200,6 +200,9 @@ class Wide:
             out = out.unionAll(c)
         return Fit(written(out, "coef"), delta_table(self.spark, self.spaces, gammas, choice), choice, per_gamma.select("gamma_id", "target", "score"))
 
+    def refine(self, fit: Fit, **options):
+        raise ValueError("refinement needs sums of products or kernels; reduce the features of a wide model first")
+
     def _losses(self, systems: Sequence[System], chunks: Sequence[int], alphas: np.ndarray) -> DataFrame:
         """(gamma_id, target, alpha, score): mean over folds of the negative squared error."""
         read, width, run_col = self._reader(), self.width, self.run_col
@@ -215,7 +218,7 @@ class Wide:
             known = c[-1] - 2 * np.einsum("apt,pt->at", b, c[:-1])
             return pd.DataFrame([(state["sys"].iloc[0], state["chunk"].iloc[0], b.ravel(), known.ravel())], columns=["sys", "chunk", "b", "known"])
 
-        each = own = self.crosses.where(F.col("chunk").isin(list(chunks)))
+        each = self.crosses.where(F.col("chunk").isin(list(chunks)))
         ids = F.explode(F.sequence(F.lit(0), F.lit(len(systems) - 1))).alias("sys")
         own = each.select("*", ids)
         solved = written(states.groupBy("sys", "chunk").cogroup(own.groupBy("sys", "chunk")).applyInPandas(

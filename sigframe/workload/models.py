@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from sigframe.functions.arrays import dot
 from sigframe.operators import bands, events as stimulus, folds as fold_ops
 from sigframe.plans import decomposition, encoding, ridge
-from sigframe.plans.kernel import Kernels
+from sigframe.plans.kernel import GroupKernels, Kernels
 from sigframe.session import shared_dir, written
 from sigframe.sources.models import load_model, save_model
 from sigframe.streaming import run as stream, state, windows as stream_windows
@@ -244,6 +244,15 @@ def m4_group_level(spark, d):
     return fit.choice.join(fit.coef, "target").select("target", "alpha", F.round("score", 3).alias("score"), F.round(F.get("coef", F.lit(0)), 9).alias("coef"))
 
 
+@query("m4_group_kernel", f"WITH {_GROUP} SELECT target, alpha, round(score, 3) AS score, round(coef, 9) AS coef FROM cf")
+def m4_group_kernel(spark, d):
+    """The group-level model through kernels that all subjects share; weights mapped back to features."""
+    x = features(spark, d, ("view",)).drop("run")
+    data = GroupKernels(x, written(subject_responses(spark, d)), _subject_folds(spark, d), [("view", 0, 1)])
+    fit = data.search(np.ones((1, 1)), ALPHAS)
+    return fit.choice.join(data.primal(fit, x), "target").select("target", "alpha", F.round("score", 3).alias("score"), F.round(F.get("coef", F.lit(0)), 9).alias("coef"))
+
+
 @query("a7_group_average", f"WITH {_GROUP} SELECT target, t, round(y, 4) AS y FROM avgd")
 def a7_group_average(spark, d):
     return subject_responses(spark, d).groupBy("target", "t").agg(F.round(F.avg("y"), 4).alias("y"))
@@ -293,6 +302,20 @@ def m5b_refine(spark, d):
     return mask.join(refined, "target", "left").select("target", "refined", "start_loss", "loss", F.col("deltas").isNotNull().alias("has_deltas"))
 
 
+@query("m5b_refine_kernel", f"WITH {_TWO} SELECT target, round(-score, 3) AS start_loss, true AS not_above, true AS equal_loss FROM best")
+def m5b_refine_kernel(spark, d):
+    """Refinement of a kernel fit: it starts at the loss of the search and ends no higher; the loss of the end is computed again from the
+    refined weights, by the sums of the primal form."""
+    x, y = features(spark, d), responses(spark, d)
+    data = Kernels(x, y, run_folds(y), TWO, n_chunks=2)
+    fit = data.search(GAMMAS, ALPHAS)
+    refined = written(data.refine(fit, limit=40.0)[0], "refined")
+    primal = ridge.prepare(x, y, run_folds(y), TWO, n_chunks=2)
+    again = primal.refine(ridge.with_refined(fit, refined, TWO), max_iter=0, limit=40.0)[0].select("target", F.col("start_loss").alias("again"))
+    equal = F.abs(F.col("again") - F.col("loss")) <= 1e-9 * F.abs("loss")
+    return refined.join(again, "target").select("target", F.round("start_loss", 3).alias("start_loss"), (F.col("loss") <= F.col("start_loss")).alias("not_above"), equal.alias("equal_loss"))
+
+
 @query("s11_model_roundtrip", f"WITH {_TWO} SELECT target, alpha, round(u, 9) AS view, round(v, 9) AS click FROM w")
 def s11_model_roundtrip(spark, d):
     path = f"{shared_dir(spark)}/model"

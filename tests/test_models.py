@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sigframe.operators import folds as fold_ops, inference
 from sigframe.plans import decomposition, encoding, gram, ridge
-from sigframe.plans.kernel import Kernels
+from sigframe.plans.kernel import GroupKernels, Kernels
 from sigframe.session import shared_dir
 from sigframe.sources.models import load_model, save_model
 from sigframe.streaming import run as stream, state, windows
@@ -489,3 +489,39 @@ def test_wide_components(spark):
     np.testing.assert_allclose(same.loadings, model.loadings, atol=1e-9)
     z = np.array([r.z for r in reduced.orderBy("i").collect()])
     np.testing.assert_allclose(np.abs(z), np.abs((x - x.mean(0)) @ v[:5].T), atol=1e-6)
+
+
+# -- kernels: groups and refinement ----------------------------------------------------------------------------------
+
+def test_group_kernels_equal_the_primal_group_model(spark):
+    rng = np.random.default_rng(8)
+    n, p = 12, 20
+    x = rng.normal(size=(n, p))
+    xs = spark.createDataFrame([(i // 6, i % 6, [float(v) for v in r]) for i, r in enumerate(x)], "run int, t int, x array<double>")
+    ys = spark.createDataFrame([(s, i // 6, i % 6, f"v{j}", float(x[i, :4].sum() * (j + 1) + rng.normal())) for s in range(4) for i in range(n) for j in range(3)],
+                               "subject int, run int, t int, target string, y double")
+    folds = fold_ops.leave_runs_out(spark.createDataFrame([(i,) for i in range(4)], "subject int"), 4, 1, run_col="subject")
+    spaces, gammas, alphas = [("a", 0, 12), ("b", 12, 20)], np.array([[0.5, 0.5], [0.8, 0.2]]), [0.5, 5.0]
+    one = ridge.prepare_group(xs, ys, folds, spaces).search(gammas, alphas)
+    data = GroupKernels(xs, ys, folds, spaces)
+    two = data.search(gammas, alphas)
+    rows = lambda df: {r["target"]: r for r in df.collect()}
+    a, b, c, d = rows(one.choice), rows(two.choice), rows(one.coef), rows(data.primal(two, xs))
+    for t in a:
+        assert (a[t].gamma_id, a[t].alpha) == (b[t].gamma_id, b[t].alpha) and a[t].score == pytest.approx(b[t].score)
+        np.testing.assert_allclose(d[t].coef, c[t].coef, atol=1e-9)
+
+
+def test_refinement_in_the_dual_takes_the_steps_of_the_primal(spark):
+    _, _, _, xs, ys, folds = problem(spark, n=30, p=8, targets=4, seed=6)
+    spaces, gammas, alphas = [("a", 0, 5), ("b", 5, 8)], np.array([[0.5, 0.5], [0.9, 0.1]]), [1.0, 30.0]
+    primal, dual = ridge.prepare(xs, ys, folds, spaces), Kernels(xs, ys, folds, spaces, n_chunks=2)
+    one, two = primal.search(gammas, alphas), dual.search(gammas, alphas)
+    a = {r.target: r for r in primal.refine(one)[0].collect()}
+    refined = dual.refine(two)[0]
+    b = {r.target: r for r in refined.collect()}
+    back = {r.target: r for r in dual.primal(ridge.with_refined(two, refined, spaces), xs).collect()}
+    for t in a:
+        np.testing.assert_allclose(b[t].deltas, a[t].deltas, atol=1e-6)
+        assert b[t].loss == pytest.approx(a[t].loss) and b[t].loss <= b[t].start_loss
+        np.testing.assert_allclose(back[t].coef, a[t].coef, atol=1e-7)
