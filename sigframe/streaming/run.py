@@ -42,6 +42,8 @@ def drain(df: DataFrame, mode: str = "append", finish: Callable[[], None] | None
     """
     spark = df.sparkSession
     base = shared_dir(spark)
+    # progress of all batches is kept, not of the last hundred, or late rows of earlier ones would go uncounted
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", str(1 << 20))
 
     def run() -> int:
         q = (

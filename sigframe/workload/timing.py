@@ -191,6 +191,23 @@ def m9_user_metric(spark, d):
     return out.select("perm", "target", F.round("stat", 6).alias("stat"))
 
 
+@query("m9_mergeable_metric", f"""WITH {_BLOCK_NULL} SELECT perm, d.target, round(avg(abs(s.y - d.p)), 6) AS stat
+  FROM map JOIN cut d ON d.b = b1 JOIN cut s ON s.b = b2 AND s.o = d.o AND s.target = d.target GROUP BY 1, 2""")
+def m9_mergeable_metric(spark, d):
+    """The mean absolute error from sums of block pairs."""
+    out = inference.block_metric(blocked(spark, d), block_perms(spark, d), inference.MEAN_ABSOLUTE_ERROR)
+    return out.select("perm", "target", F.round("stat", 6).alias("stat"))
+
+
+@query("m10_timeshift_metric", f"""WITH {regular_sql()}, {_SCORED}, m AS (SELECT max(t) + 1 AS n FROM scored), s AS (SELECT unnest(range(0, (SELECT max(t) + 1 FROM scored), 24)) AS s)
+SELECT CAST(s // 24 AS INTEGER) AS perm, a.target, round(avg(abs(a.y - b.p)), 6) AS stat
+FROM s, m, scored a JOIN scored b ON b.target = a.target AND b.t = (a.t + s) % n GROUP BY 1, 2""")
+def m10_timeshift_metric(spark, d):
+    shifts = spark.range(-(-n_steps(spark, d) // 24)).select(F.col("id").cast("int").alias("perm"), (F.col("id") * 24).alias("shift"))
+    out = inference.timeshift_metric(scored(spark, d), shifts, inference.MEAN_ABSOLUTE_ERROR, n_rows=n_steps(spark, d), block_rows=100)
+    return out.select("perm", "target", F.round("stat", 6).alias("stat"))
+
+
 @query("m10_timeshift", f"""WITH {regular_sql()}, {_SCORED}, m AS (SELECT max(t) + 1 AS n FROM scored), s AS (SELECT unnest(range(0, (SELECT max(t) + 1 FROM scored), 24)) AS s)
 SELECT CAST(s // 24 AS INTEGER) AS perm, a.target, round(covar_pop(a.y, b.p) / (stddev_pop(a.y) * stddev_pop(b.p)), 6) AS stat
 FROM s, m, scored a JOIN scored b ON b.target = a.target AND b.t = (a.t + s) % n GROUP BY 1, 2""")
@@ -230,6 +247,8 @@ _ADJ = {
     "bonferroni": "p * m",
     "sidak": "1 - pow(1 - p, m)",
     "holm": "max(p * (m - hi + c)) OVER (ORDER BY p)",
+    "holm-sidak": "max(1 - pow(1 - p, m - hi + c)) OVER (ORDER BY p)",
+    "simes-hochberg": "min(p * (m - hi + 1)) OVER (ORDER BY p DESC)",
     "fdr_bh": "min(p * m / hi) OVER (ORDER BY p DESC)",
     "fdr_by": "min(p * m * (SELECT sum(1.0 / i) FROM range(1, (SELECT CAST(max(m) AS BIGINT) + 1 FROM rk)) t(i)) / hi) OVER (ORDER BY p DESC)",
 }
@@ -246,11 +265,29 @@ def rank_p(spark, d) -> DataFrame:
 
 
 for _m in _ADJ:
-    @query(f"a4_{_m}", f"WITH {_P} SELECT c_custkey, p, round(least(a, 1), 9) AS p_adj FROM pv JOIN (SELECT p, {_ADJ[_m]} AS a FROM rk) USING (p)")
+    @query(f"a4_{_m.replace('-', '_')}", f"WITH {_P} SELECT c_custkey, p, round(least(a, 1), 9) AS p_adj FROM pv JOIN (SELECT p, {_ADJ[_m]} AS a FROM rk) USING (p)")
     def a4_adjust(spark, d, method=_m):
         return inference.adjust_p(rank_p(spark, d), method).select("c_custkey", "p", F.round("p_adj", 9).alias("p_adj"))
 
 
+_LEVEL = 0.2
+_SMALL = _P.replace("+ 1), 12) AS p FROM customer)", "+ 1), 12) AS p0, round(p0 * p0 * p0 * p0, 12) AS p FROM customer UNION ALL SELECT NULL, NULL, NULL UNION ALL SELECT -1, NULL, 'NaN'::DOUBLE)", 1).replace(
+    "FROM pv GROUP BY p", "FROM pv WHERE NOT isnan(p) GROUP BY p", 1)
+
+
+for _m, _fact in (("fdr_tsbh", 1.0), ("fdr_tsbky", 1 + _LEVEL)):
+    @query(f"a4_{_m}", f"""WITH {_SMALL}, bh AS (SELECT p, c, m, least(min(p * m / hi) OVER (ORDER BY p DESC), 1) AS q FROM rk),
+f AS (SELECT max(m) AS m, coalesce(sum(c) FILTER (WHERE q <= {_LEVEL} / {_fact}), 0) AS found FROM bh),
+s AS (SELECT CASE WHEN found > 0 AND found < m THEN (m - found) / m ELSE 1 END AS share FROM f)
+SELECT pv.c_custkey, CASE WHEN NOT isnan(pv.p) THEN pv.p END AS p, round(CASE WHEN q IS NOT NULL THEN least(q * share * {_fact}, 1) END, 9) AS p_adj FROM pv LEFT JOIN (SELECT p, q, share FROM bh, s) x ON x.p = pv.p""")
+    def a4_two_stage(spark, d, method=_m):
+        """Small p values, tied ones, one missing and one NaN."""
+        p = rank_p(spark, d).withColumn("p", F.round(F.col("p") * F.col("p") * F.col("p") * F.col("p"), 12))
+        p = p.unionAll(spark.range(1).selectExpr("CAST(NULL AS BIGINT)", "CAST(NULL AS DOUBLE)")).unionAll(spark.range(1).selectExpr("-1L", "double('NaN')"))
+        out = inference.adjust_p(p, method, alpha=_LEVEL)
+        return out.select("c_custkey", F.when(~F.isnan("p"), F.col("p")).alias("p"), F.round("p_adj", 9).alias("p_adj"))
+
+
 @query("a5_threshold_scores", """WITH z AS (SELECT c_custkey, (c_acctbal - avg(c_acctbal) OVER ()) / 1500 AS z FROM customer),
 x AS (SELECT *, abs(z) / sqrt(2) AS x, 1 / (1 + 0.5 * abs(z) / sqrt(2)) AS t FROM z),
 pv AS (SELECT c_custkey, z, least(1, t * exp(-x * x - 1.26551223 + t * (1.00002368 + t * (0.37409196 + t * (0.09678418 + t * (-0.18628806 + t * (0.27886807

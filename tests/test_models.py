@@ -525,3 +525,23 @@ def test_refinement_in_the_dual_takes_the_steps_of_the_primal(spark):
         np.testing.assert_allclose(b[t].deltas, a[t].deltas, atol=1e-6)
         assert b[t].loss == pytest.approx(a[t].loss) and b[t].loss <= b[t].start_loss
         np.testing.assert_allclose(back[t].coef, a[t].coef, atol=1e-7)
+
+
+@pytest.mark.parametrize("n,rows", [(50, 7), (48, 12), (10, 100), (9, 1)])
+def test_metrics_of_shifted_and_permuted_blocks(spark, n, rows):
+    """Every shift, also where the last block is short and the series wraps around; several keys; sums of blocks against whole series."""
+    rng = np.random.default_rng(n)
+    y, p = rng.normal(size=(2, 2, n))
+    df = spark.createDataFrame([(f"v{j}", t, float(y[j, t]), float(p[j, t]), t // 5, t % 5) for j in range(2) for t in range(n)], "target string, t int, y double, p double, block int, offset int")
+    shifts = spark.createDataFrame([(i, s) for i, s in enumerate([*range(n), n + 3, -2])], "perm int, shift long")
+    got = {(r.perm, r.target): r.stat for r in inference.timeshift_metric(df, shifts, inference.MEAN_SQUARED_ERROR, n_rows=n, block_rows=rows).collect()}
+    assert len(got) == 2 * (n + 2)
+    for i, s in enumerate([*range(n), n + 3, -2]):
+        for j in range(2):
+            assert got[(i, f"v{j}")] == pytest.approx(((np.roll(y[j], s) - p[j]) ** 2).mean())
+    if n % 5 == 0:
+        order = rng.permutation(n // 5)
+        perms = spark.createDataFrame([(0, b, int(o)) for b, o in enumerate(order)], "perm int, b1 int, b2 int")
+        for r in inference.block_metric(df, perms, inference.MEAN_ABSOLUTE_ERROR).collect():
+            j = int(r.target[1])
+            assert r.stat == pytest.approx(abs(y[j].reshape(-1, 5)[order].ravel() - p[j]).mean())
