@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from tests.check import compare, connect
 
 SF = "/root/testdata/sf0.001"
-NAMES = [f"op{n}_" for n in range(1, 11)] + ["pipeline"]
+NAMES = [f"op{n}_" for n in range(1, 14)] + ["pipeline"]
 
 
 @pytest.fixture(scope="module")
