@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from sigframe.functions.arrays import zeros
-from sigframe.operators.segments import SEGMENT_ROWS, over_rows
+from sigframe.operators.segments import SEGMENT_ROWS, over_rows, running_sum, segment_of
 
 
 def delay(
@@ -133,6 +133,26 @@ def run_ids(df: DataFrame, onsets: Sequence[int], *, order_col: str = "t", name:
     return df.withColumn(name, F.size(passed).cast("int"))
 
 
+def run_ids_from(df: DataFrame, onsets: DataFrame, *, partition_cols: Sequence[str] = (), order_col: str = "t", name: str = "run",
+                 rows: int = SEGMENT_ROWS) -> DataFrame:
+    """Run of each position from a table of onsets (partition_cols, order_col), however many: how many onsets stand at or before it, less one.
+
+    Rows and onsets are merged by position and onsets counted along, in segments of ``rows`` positions whose totals carry over. Positions are
+    integers; those before the first onset get -1, equal onsets count once, and NULL positions get NULL.
+    """
+    keys = [*partition_cols, order_col]
+    marks = onsets.select(*keys).distinct().where(F.col(order_col).isNotNull())
+    row = F.struct(*df.columns)
+    both = df.where(F.col(order_col).isNotNull()).select(*keys, row.alias("_row")).unionByName(marks.select(*keys, F.lit(None).cast(df.select(row).schema[0].dataType).alias("_row")))
+    # an onset comes before the row at its position
+    place = 2 * F.col(order_col).cast("long") + F.col("_row").isNotNull().cast("int")
+    both = both.select(*partition_cols, place.alias("_place"), "_row")
+    counted = running_sum(both, F.col("_row").isNull().cast("long"), "_n", partition_cols=list(partition_cols), order_col="_place",
+                          segment=segment_of(F.col("_place"), 2 * rows))
+    out = counted.where("_row IS NOT NULL").select("_row.*", (F.col("_n") - 1).cast("int").alias(name))
+    return out.unionByName(df.where(F.col(order_col).isNull()).withColumn(name, F.lit(None).cast("int")))
+
+
 def chunks(df: DataFrame, size: int, *, partition_cols: Sequence[str] = ("run",), order_col: str = "t",
            keep_partial: bool = True) -> DataFrame:
     """Non-overlapping chunks of a dense series; the dropping form leaves out a short last one."""

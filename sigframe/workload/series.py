@@ -242,6 +242,14 @@ def w15_run_ids(spark, d):
     return windows.run_ids(series(spark, d).select(F.col("run").alias("series"), "t"), [0, 168, 336, 504])
 
 
+@query("w15_runs_from_onsets", """SELECT event_id, CAST(count(*) FILTER (WHERE event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY epoch_us(ts)) - 1 AS INTEGER) AS run FROM events""")
+def w15_runs_from_onsets(spark, d):
+    """Every purchase of a user begins a run: as many onsets as there are purchases."""
+    events = table(spark, d, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_type")
+    out = windows.run_ids_from(events, events.where("event_type = 'purchase'"), partition_cols=["user_id"], rows=86_400_000_000)
+    return out.select("event_id", "run")
+
+
 @query("w16_reduce", f"""WITH {regular_sql()}, w AS (SELECT run, CAST(t // 24 AS INTEGER) AS day, list(value ORDER BY t) AS x FROM series GROUP BY 1, 2)
 SELECT run, day, x[len(x)] AS last_value, x[1] AS first_value, x[4] AS third, round(list_avg(x), 6) AS mean FROM w""")
 def w16_reduce(spark, d):
@@ -374,6 +382,15 @@ for _k in (1, 2):
         return week_folds(spark, d, k)
 
 
+@query("m12_folds_by_rank", """WITH n AS (SELECT DISTINCT c_nationkey AS run FROM customer),
+sets AS (SELECT row_number() OVER (ORDER BY a.run, b.run, c.run) - 1 AS fold, [a.run, b.run, c.run] AS val FROM n a JOIN n b ON b.run > a.run JOIN n c ON c.run > b.run)
+SELECT fold, run, list_contains(val, run) AS is_val FROM sets, n""")
+def m12_folds_by_rank(spark, d):
+    """Three nations left out: 2,300 folds, each made from its number."""
+    runs = table(spark, d, "customer").select(F.col("c_nationkey").alias("run")).distinct()
+    return folds.folds_by_rank(runs, runs.count(), 3)
+
+
 @query("j13_fold_sizes", f"""WITH {regular_sql()}, {_folds_sql(2)}
 SELECT fold, list_contains(val, CAST(t // 168 AS INTEGER)) AS is_val, count(*) AS n FROM series, sets GROUP BY 1, 2""")
 def j13_fold_sizes(spark, d):

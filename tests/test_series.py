@@ -323,3 +323,32 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch, spark):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_dir(Session())
     assert session.is_local("local[4]") and not session.is_local("local-cluster[2,1,1024]") and not session.is_local("yarn")
+
+
+def test_runs_from_many_onsets(spark):
+    """100,000 onsets; equal ones, positions before the first, and segments without onsets; the plan does not grow."""
+    rows = spark.range(0, 300_000, 3).select(F.col("id").alias("t"), F.lit(1).alias("run_x"))
+    onsets = spark.range(100_000).select((F.col("id") * 2 + 11).alias("t")).unionAll(spark.range(5).select((F.col("id") * 0 + 11).alias("t")))
+    out = windows.run_ids_from(rows, onsets, rows=1000)
+    want = F.when(F.col("t") < 11, -1).otherwise(F.least(F.floor((F.col("t") - 11) / 2), F.lit(99_999)))
+    assert out.count() == 100_000 and out.where(F.col("run") != want).count() == 0 and out.where("run IS NULL").count() == 0
+    few = windows.run_ids_from(rows, onsets.limit(3), rows=1000)
+    size = lambda df: len(df._jdf.queryExecution().toString())
+    assert size(out) < 2 * size(few)
+    with_null = spark.createDataFrame([("a", 5), ("a", None), ("b", 5)], "k string, t long")
+    got = {(r.k, r.t): r.run for r in windows.run_ids_from(with_null, spark.createDataFrame([("a", 5), ("a", 2)], "k string, t long"), partition_cols=["k"]).collect()}
+    assert got == {("a", 5): 1, ("a", None): None, ("b", 5): -1}
+
+
+def test_folds_by_rank(spark):
+    """All sets of C(30, 5) in a random order without repeats, and a slice of them in lexical order."""
+    from itertools import combinations, islice
+
+    runs = spark.range(30).select((F.col("id") * 3).alias("run"))
+    every = folds.folds_by_rank(runs, 30, 5, seed=4).where("is_val").groupBy("fold").agg(F.array_sort(F.collect_list("run")).alias("v"))
+    counts = every.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("v").alias("d"), F.min(F.size("v")).alias("low"), F.max(F.size("v")).alias("high")).first()
+    assert tuple(counts) == (142_506, 142_506, 5, 5)
+    part = folds.folds_by_rank(runs, 30, 5, first=1000, n_folds=7).where("is_val").groupBy("fold").agg(F.array_sort(F.collect_list("run")).alias("v")).orderBy("fold").collect()
+    assert [tuple(v // 3 for v in r.v) for r in part] == list(islice(combinations(range(30), 5), 1000, 1007)) and part[0].fold == 1000
+    with pytest.raises(ValueError):
+        folds.folds_by_rank(runs, 30, 30)
