@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sigframe.functions.arrays import vector_sum
+from sigframe.functions.arrays import vector_sum, with_value
 from sigframe.session import written
 
 MAX_DRIVER_BYTES = 1 << 30
@@ -109,9 +109,10 @@ def pack_targets(y: DataFrame, *, keys: Sequence[str] = ("run", "t"), target: st
     """
     if missing not in ("error", "zero"):
         raise ValueError(f"missing responses are an error or zero, not {missing!r}")
+    names = written(y.select(target).distinct(), "targets")
     if n_chunks is None:
-        n_chunks = max(1, -(-y.select(target).distinct().count() // CHUNK_TARGETS))
-    names = y.select(target).distinct().withColumn("chunk", F.pmod(F.xxhash64(target), F.lit(n_chunks)).cast("int"))
+        n_chunks = max(1, -(-names.count() // CHUNK_TARGETS))
+    names = names.withColumn("chunk", F.pmod(F.xxhash64(target), F.lit(n_chunks)).cast("int"))
     places = names.withColumn("place", F.row_number().over(Window.partitionBy("chunk").orderBy(target)) - 1)
     places = places.withColumn("width", F.count(F.lit(1)).over(Window.partitionBy("chunk")))
     value = F.col(value).cast("double")
@@ -125,8 +126,8 @@ def pack_targets(y: DataFrame, *, keys: Sequence[str] = ("run", "t"), target: st
     else:
         # one merge of the places that are there with those that should be, not a lookup of each
         blank = F.transform(F.sequence(F.lit(0), F.col("width").cast("int") - 1), lambda i: F.struct(i.alias("place"), F.lit(1).alias("blank"), F.lit(0.0).alias("_v")))
-        merged = F.aggregate(F.array_sort(F.concat("c", blank)), F.struct(F.lit(-1).alias("at"), F.array().cast("array<double>").alias("out")), lambda acc, x: F.when(
-            x["place"] == acc["at"], acc).otherwise(F.struct(x["place"].alias("at"), F.array_append(acc["out"], x["_v"]).alias("out"))))["out"]
+        merged = with_value(F.array_sort(F.concat("c", blank)), lambda s: F.transform(
+            F.filter(s, lambda x, i: (i == 0) | (x["place"] != F.get(s, i - 1)["place"])), lambda x: x["_v"]))
         packed = F.when(whole, F.col("c._v")).otherwise(merged)
     listed = names.groupBy("chunk").agg(F.array_sort(F.collect_list(target)).alias("targets"))
     out = rows.select(*keys, "chunk", packed.alias("y"))
