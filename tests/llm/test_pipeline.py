@@ -46,3 +46,10 @@ def test_empty_input(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
+
+
+def test_a_corpus_without_labels_passes_language_id(spark):
+    rows = [(i, f"some english words of document {i}", None, "s", 10) for i in range(50)] + [(50, None, None, None, None), (51, "123", None, "s", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.identified(spark, docs, "")
+    assert out.columns == corpus_pipeline.COLUMNS and sorted(map(str, out.collect())) == sorted(map(str, docs.collect()))
