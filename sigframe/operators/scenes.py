@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sigframe.operators.segments import SEG, over_rows, segment_of
 from sigframe.operators.windows import dilate
+from sigframe.session import written
 
 # Default thresholds per detector.
 THRESHOLDS = {"content": 27.0, "adaptive": 3.0, "threshold": 12.0, "hash": 0.395}
@@ -99,13 +100,35 @@ def _previous_mark(keyed: DataFrame, parts: Sequence[str]) -> DataFrame:
         "_prev", F.coalesce("_prev", "_carry"))
 
 
+def _entries(table: DataFrame, min_len: int, parts: Sequence[str]) -> DataFrame:
+    """(parts, segment, _entry) of tables (parts, segment, _exit[]): the distance that each segment is entered with.
+
+    Tables of neighbours are composed, then those of pairs, of fours and so on, one join a round, until each reaches back to where its entry
+    does not matter: a run's start counts as a kept cut, and after an empty segment all are free. Rounds are about the
+    logarithm of the longest chain, and no row holds more than one table.
+    """
+    order = Window.partitionBy(*parts).orderBy(SEG)
+    free = F.when(F.col(SEG) == 0, 0).otherwise(min_len)
+    table = table.select(*parts, SEG, "_exit", F.row_number().over(order).alias("_i"), (F.col(SEG) - F.lag(SEG).over(order)).alias("_gap"))
+    first = F.col("_gap").isNull() | (F.col("_gap") > 1)
+    table = written(table.select(*parts, SEG, "_i", first.alias("_first"), F.when(first, F.array_repeat(F.element_at("_exit", free + 1), min_len + 1)).otherwise(F.col("_exit")).alias("_f")), "tables")
+    step = 1
+    while not table.where(F.array_min("_f") < F.array_max("_f")).isEmpty():
+        before = table.select(*parts, (F.col("_i") + step).alias("_i"), F.col("_f").alias("_before"))
+        both = table.join(before, [*parts, "_i"], "left")
+        table = written(both.withColumn("_f", F.when(F.col("_before").isNull(), F.col("_f")).otherwise(F.transform("_before", lambda e: F.get("_f", e)))).drop("_before"), "tables")
+        step *= 2
+    exits = table.select(*parts, (F.col("_i") + 1).alias("_i"), F.get("_f", F.lit(0)).alias("_out"))
+    return table.join(exits, [*parts, "_i"], "left").select(*parts, SEG, F.when(F.col("_first"), free).otherwise(F.col("_out")).alias("_entry"))
+
+
 def spaced_cuts(cuts: DataFrame, min_len: int, *, partition_cols: Sequence[str] = ("run",),
                 order_col: str = "t", rows: int = 65536) -> DataFrame:
     """Keep a cut only if it lies at least ``min_len`` frames after the last kept one (or the start).
 
     The rule is sequential, but all a segment needs from its past is how far back the last kept
     cut lies, and that matters only up to ``min_len``. Each segment therefore reports its exit
-    distance for every entry distance; those small tables are chained per run, and the segments
+    distance for every entry distance; those small tables are composed by doubling, and the segments
     then resolve their own cuts independently.
     """
     rows = max(rows, min_len)
@@ -131,24 +154,7 @@ def spaced_cuts(cuts: DataFrame, min_len: int, *, partition_cols: Sequence[str]
         return pd.DataFrame([row])
 
     table = keyed.groupBy(*parts, SEG).applyInPandas(exits, f"{part_ddl}, {SEG} long, _exit array<int>")
-    start_state = F.struct(
-        F.lit(-1).cast("long").alias("seg"), F.lit(0).alias("out"),
-        F.array().cast("array<struct<seg:bigint,entry:int>>").alias("log"))
-
-    def step(state, item):
-        # the run start counts as a kept cut at position 0; after an empty segment all are free
-        entry = F.when(item[SEG] == 0, F.lit(0)).when(
-            (state["seg"] >= 0) & (item[SEG] == state["seg"] + 1), state["out"]).otherwise(F.lit(min_len))
-        return F.struct(
-            item[SEG].alias("seg"), F.element_at(item["_exit"], entry + 1).alias("out"),
-            F.concat(state["log"], F.array(F.struct(item[SEG].alias("seg"), entry.alias("entry")))).alias("log"))
-
-    chain = (
-        table.groupBy(*parts)
-        .agg(F.array_sort(F.collect_list(F.struct(SEG, "_exit"))).alias("s"))
-        .select(*parts, F.explode(F.aggregate("s", start_state, step)["log"]).alias("e"))
-        .select(*parts, F.col("e.seg").alias(SEG), F.col("e.entry").alias("_entry"))
-    )
+    chain = _entries(table, min_len, parts)
 
     def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
         start = int(pdf[SEG].iloc[0]) * rows

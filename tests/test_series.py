@@ -352,3 +352,25 @@ def test_folds_by_rank(spark):
     assert [tuple(v // 3 for v in r.v) for r in part] == list(islice(combinations(range(30), 5), 1000, 1007)) and part[0].fold == 1000
     with pytest.raises(ValueError):
         folds.folds_by_rank(runs, 30, 30)
+
+
+def test_spaced_cuts_over_ten_thousand_segments(spark, monkeypatch):
+    """One run whose chain never breaks and one with pauses; rounds grow with the logarithm of the segments."""
+    rng = np.random.default_rng(1)
+    long_ = np.flatnonzero(rng.random(60_000) < 0.6)
+    sparse = np.flatnonzero((rng.random(3000) < 0.5) & (np.arange(3000) // 50 % 3 > 0))
+    cuts = spark.createDataFrame([("a", int(t)) for t in long_] + [("b", int(t)) for t in sparse], "run string, t long")
+    rounds = []
+    real = scenes.written
+    monkeypatch.setattr(scenes, "written", lambda df, *a: rounds.append(1) or real(df, *a))
+    got = {}
+    for r in scenes.spaced_cuts(cuts, 5, rows=6).collect():
+        got.setdefault(r.run, []).append(r.t)
+    for run, at in (("a", long_), ("b", sparse)):
+        last, want = 0, []
+        for t in at:
+            if t - last >= 5:
+                last = t
+                want.append(t)
+        assert sorted(got[run]) == want
+    assert len(rounds) <= 16
