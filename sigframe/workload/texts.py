@@ -125,9 +125,10 @@ def vector_table(spark, d) -> DataFrame:
 FROM (SELECT doc_id, {WORD_KEY_SQL} AS vec_id FROM doc_words) JOIN (SELECT vec_id, {ALL_DIMS_SQL} AS v FROM embeddings) USING (vec_id) GROUP BY doc_id""")
 def j1_word_vectors(spark, d):
     keyed = doc_words(spark, d).withColumn("key", word_key(F.col("word")))
-    found = words.word_vectors(keyed, vector_table(spark, d), word_col="key", row_cols=("doc_id", "pos"))
-    return found.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_words"), F.round(F.sum(all_dims(F.col("vector"))), 4).alias("vector_sum"))
+    # folded once for each vector, not once for each word
+    folded = vector_table(spark, d).withColumn("total", all_dims(F.col("vector")))
+    found = words.word_vectors(keyed, folded, word_col="key", row_cols=("doc_id", "pos"))
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"), F.round(F.sum("total"), 4).alias("vector_sum"))
 
 
 @query("j1_word_vectors_keep", f"""WITH {TURN_WORDS_SQL} SELECT conv_id, turn, pos, word, v.vec_id IS NOT NULL AS known, round({ALL_DIMS_SQL}, 5) AS vector_sum
