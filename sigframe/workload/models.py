@@ -11,7 +11,7 @@ from sigframe.plans import decomposition, encoding, ridge
 from sigframe.plans.kernel import GroupKernels, Kernels
 from sigframe.session import shared_dir, written
 from sigframe.sources.models import load_model, save_model
-from sigframe.streaming import run as stream, state, windows as stream_windows
+from sigframe.streaming import run as stream, state, timers, windows as stream_windows
 from sigframe.workload.base import SAMPLES_SQL, event_seconds, regular_sql, samples, series
 from sigframe.workload.registry import query, table
 
@@ -467,6 +467,28 @@ def st5_lagged(spark, d):
     return out.select("run", "event_id", "value", "value_d1", "value_d3")
 
 
+@query("st7_grid_lags", f"""WITH {_STREAM}, g AS (SELECT run, us // 3600000000 AS h, sum(value) AS value FROM e GROUP BY 1, 2)
+SELECT g.run, CAST(g.h * 3600 AS BIGINT) AS start_s, round(g.value, 2) AS value, round(coalesce(a.value, 0), 2) AS value_d1, round(coalesce(b.value, 0), 2) AS value_d24
+FROM g LEFT JOIN g a ON a.run = g.run AND a.h = g.h - 1 LEFT JOIN g b ON b.run = g.run AND b.h = g.h - 24""")
+def st7_grid_lags(spark, d):
+    """Hourly sums an hour and a day earlier, a run's hours in keys of 128."""
+    events, finish = event_stream(spark, d)
+    with timers.rocksdb(spark):
+        out = stream.drain(timers.lagged_grid(events, [1, 24], period="1 hour", late="10 minutes", key_rows=128, bucket_rows=16), finish=finish)
+    return out.select("run", F.unix_seconds("ts").alias("start_s"), *[F.round(c, 2).alias(c) for c in ("value", "value_d1", "value_d24")])
+
+
+@query("st8_spaced_cuts", f"""WITH RECURSIVE {_STREAM}, k AS (SELECT run, min(us) AS us FROM e GROUP BY run
+UNION ALL SELECT e.run, min(e.us) FROM k JOIN e ON e.run = k.run AND e.us >= k.us + 7200000000 GROUP BY e.run)
+SELECT run, us FROM k""")
+def st8_spaced_cuts(spark, d):
+    """Events that lie two hours or more behind the last kept one of their type."""
+    events, finish = event_stream(spark, d)
+    with timers.rocksdb(spark):
+        out = stream.drain(timers.spaced_cuts(events, "2 hours", late="10 minutes", bucket="1 hour"), finish=finish)
+    return out.select("run", F.unix_micros("ts").alias("us"))
+
+
 @query("st6_regressors", f"WITH {_STREAM} SELECT event_id, printf('%.2f*%.2f', CAST(us // 1000000 - 1704067200 AS DOUBLE), value) AS regressor FROM e")
 def st6_regressors(spark, d):
     s = event_stream(spark, d)[0].select("run", "event_id", (F.unix_seconds("ts") - 1704067200).cast("double").alias("onset"), F.col("value").alias("amplitude"))

@@ -9,7 +9,7 @@ from sigframe.plans import decomposition, encoding, gram, ridge
 from sigframe.plans.kernel import GroupKernels, Kernels
 from sigframe.session import shared_dir
 from sigframe.sources.models import load_model, save_model
-from sigframe.streaming import run as stream, state, windows
+from sigframe.streaming import run as stream, state, timers, windows
 
 
 def problem(spark, n=60, p=6, targets=5, runs=3, seed=0, noise=0.5):
@@ -424,6 +424,50 @@ def test_late_rows_are_told(spark):
     assert stream.drain(late(), allow_late=True).count() > 0
 
 
+@pytest.mark.parametrize("files_per_trigger", [1, 3, 1000])
+def test_grid_lags_of_a_run_in_several_keys(spark, files_per_trigger):
+    """Runs of 40 and 10 points in keys of eight, a lag that crosses a key's border, and pauses."""
+    s, finish = stream.replay(spark, event_files(spark), "*.parquet", "ts", files_per_trigger)
+    some = s.where("run is null or not (run = 'a' and unix_seconds(ts) % 7 = 3)")
+    with timers.rocksdb(spark):
+        out = stream.drain(timers.lagged_grid(some, [1, 5], period="1 second", late="1 hour", key_rows=8, bucket_rows=4), finish=finish)
+    got = {(r["run"], r["t"]): (r["value"], r["value_d1"], r["value_d5"]) for r in out.withColumn("t", F.unix_seconds("ts") - 1_000_000_000).collect()}
+    there = {("a", i): float(i) for i in range(40) if (1_000_000_000 + i) % 7 != 3} | {("b", i): float(100 + i) for i in range(10)}
+    assert got == {(run, t): (v, there.get((run, t - 1), 0.0), there.get((run, t - 5), 0.0)) for (run, t), v in there.items()}
+
+
+@pytest.mark.parametrize("files_per_trigger", [1, 3, 1000])
+def test_stream_cuts_keep_their_distance(spark, files_per_trigger):
+    s, finish = stream.replay(spark, event_files(spark), "*.parquet", "ts", files_per_trigger)
+    some = s.where("run is null or unix_seconds(ts) % 3 < 2")
+    with timers.rocksdb(spark):
+        out = stream.drain(timers.spaced_cuts(some, "4 seconds", late="1 hour", bucket="7 seconds"), finish=finish)
+    want = set()
+    for run, n in (("a", 40), ("b", 10)):
+        last = None
+        for t in range(n):
+            if (1_000_000_000 + t) % 3 < 2 and (last is None or t - last >= 4):
+                last = t
+                want.add((run, t))
+    rows = out.select("run", (F.unix_seconds("ts") - 1_000_000_000).alias("t")).collect()
+    assert len(rows) == len(want) and {(r["run"], r["t"]) for r in rows} == want
+
+
+def test_grid_points_are_sums_and_missing_values_stay(spark):
+    base = shared_dir(spark)
+    rows = [("a", 100, 1.0), ("a", 100, 2.0), ("a", 101, None), ("a", 102, 4.0), (None, 101, 9.0), ("a", None, 9.0)]
+    df = spark.createDataFrame(rows, "run string, s int, value double").select("run", F.timestamp_seconds("s").alias("ts"), "value")
+    df.coalesce(1).write.parquet(f"{base}/in")
+    s, finish = stream.replay(spark, f"{base}/in", "*.parquet", "ts")
+    with timers.rocksdb(spark):
+        out = stream.drain(timers.lagged_grid(s, [1], period="1 second", late="0 seconds", key_rows=4, bucket_rows=2), finish=finish)
+    got = {r["t"]: (r["value"], r["value_d1"]) for r in out.withColumn("t", F.unix_seconds("ts")).collect()}
+    assert got == {100: (3.0, 0.0), 101: (None, 3.0), 102: (4.0, None)}
+    for wrong in (dict(period="0 seconds"), dict(period="1 second", key_rows=3), dict(period="1 second", key_rows=1024, delays=[2000])):
+        with pytest.raises(ValueError):
+            timers.lagged_grid(s, wrong.pop("delays", [1]), late="0 seconds", **wrong)
+
+
 def test_stream_moments_are_idempotent(spark):
     base = shared_dir(spark)
     rng = np.random.default_rng(8)
