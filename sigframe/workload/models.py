@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sigframe.functions.arrays import dot
 from sigframe.operators import bands, events as stimulus, folds as fold_ops
-from sigframe.plans import decomposition, encoding, ridge
+from sigframe.plans import decomposition, encoding, evaluation, ridge
 from sigframe.plans.kernel import GroupKernels, Kernels
 from sigframe.session import shared_dir, written
 from sigframe.sources.models import load_model, save_model
@@ -177,6 +177,26 @@ def a23_metrics_raw(spark, d):
     return out.withColumns({c: F.round(c, 6) for c in ("correlation", "r2")})
 
 
+@query("a23_evaluate", f"""WITH {_TWO}, j AS (SELECT w.target, y.y, u * x1 AS pa, v * x2 AS pb, u * x1 + v * x2 AS p FROM w JOIN y USING (target) JOIN x USING (t)),
+q AS (SELECT target, unnest(['view', 'click']) AS space, unnest([pa, pb]) AS pk, y, p FROM j)
+SELECT target, 'whole' AS part, round(coalesce(covar_pop(p, y) / nullif(sqrt(var_pop(p) * var_pop(y)), 0), 0), 6) AS correlation, round(1 - avg((y - p) * (y - p)) / var_pop(y), 6) AS r2 FROM j GROUP BY 1
+UNION ALL SELECT target, space, round(avg(pk * y) / sqrt(var_pop(y) * var_pop(p)), 6), round(avg(pk * (2 * y - p)) / var_pop(y), 6) FROM q GROUP BY 1, 2""")
+def a23_evaluate(spark, d):
+    """Scores and shares from blocks of targets, on responses as they are."""
+    x, y, fit = two_spaces(spark, d)
+    found = evaluation.evaluate(x, y, fit.coef, spaces=TWO, n_chunks=2)
+    both = found.scores.select("target", F.lit("whole").alias("part"), "correlation", "r2").unionAll(found.shares.select("target", "space", "correlation", "r2"))
+    return both.withColumns({c: F.round(c, 6) for c in ("correlation", "r2")})
+
+
+@query("a23_evaluate_blocks", f"WITH {_RAW} SELECT target, t, round(p, 6) AS prediction, round(y - p, 6) AS residual FROM j")
+def a23_evaluate_blocks(spark, d):
+    x, y, fit = two_spaces(spark, d)
+    found = evaluation.evaluate(x, y, fit.coef, spaces=TWO, n_chunks=2)
+    cells = found.blocks.join(found.targets, "chunk").select("t", F.inline(F.arrays_zip("targets", "prediction", "residual")))
+    return cells.select(F.col("targets").alias("target"), "t", F.round("prediction", 6).alias("prediction"), F.round("residual", 6).alias("residual"))
+
+
 # -- many targets: every user's events of a type, in steps of six hours -------------------------------------------
 
 _USERS = f"""{SAMPLES_SQL}, st AS (SELECT CAST(unnest(range(0, (SELECT CAST(floor(max(time) / 21600.0) AS BIGINT) FROM samples) + 1)) AS INTEGER) AS t),

@@ -482,6 +482,37 @@ def test_stream_moments_are_idempotent(spark):
     np.testing.assert_allclose(s.scatter, np.cov(x.T) * 39, atol=1e-9)
 
 
+def test_evaluation_in_blocks(spark, monkeypatch):
+    """Scores, shares and blocks of many small blocks equal the long forms; what does not fit together is an error."""
+    from sigframe.plans import evaluation
+
+    _, _, _, xs, ys, folds = problem(spark, n=60, p=6, targets=5)
+    spaces = [("a", 0, 2), ("b", 2, 6)]
+    ys = ys.withColumn("y", F.col("y") + 1000)
+    coef = ridge.prepare(xs, ys, folds, spaces).search(np.array([[0.5, 0.5]]), [1.0]).coef
+    monkeypatch.setattr(evaluation, "BLOCK_BYTES", 1 << 10)
+    found = evaluation.evaluate(xs, ys, coef, spaces=spaces, n_chunks=2)
+    assert found.groups > 5
+    whole, split = ridge.predict(xs, coef), ridge.predict(xs, coef, spaces=spaces)
+    want = {r["target"]: (r["correlation"], r["r2"], r["n"]) for r in ridge.metrics(ys, whole).collect()}
+    got = {r["target"]: (r["correlation"], r["r2"], r["n"]) for r in found.scores.collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+    want = {(r["target"], r["space"]): (r["correlation"], r["r2"]) for r in ridge.split_metrics(ys, split).collect()}
+    got = {(r["target"], r["space"]): (r["correlation"], r["r2"]) for r in found.shares.collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-8) for k in want)
+    want = {(r["t"], r["target"]): r["prediction"] for r in whole.collect()}
+    cells = found.blocks.join(found.targets, "chunk").collect()
+    got = {(r["t"], n): p for r in cells for n, p in zip(r["targets"], r["prediction"])}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert all(abs(e) < 1e3 for r in cells for e in r["residual"])
+    with pytest.raises(Exception, match="no weights for the target v0"):
+        evaluation.evaluate(xs, ys, coef.where("target <> 'v0'"))
+    with pytest.raises(Exception, match="no features for the responses"):
+        evaluation.evaluate(xs.where("t > 0"), ys, coef).scores.collect()
+    with pytest.raises(ValueError, match="no weights"):
+        evaluation.evaluate(xs, ys, coef.limit(0))
+
+
 # -- wide tables ---------------------------------------------------------------------------------------------------
 
 def test_wide_ridge_equals_the_direct_solution(spark, monkeypatch):
