@@ -482,6 +482,22 @@ def test_stream_moments_are_idempotent(spark):
     np.testing.assert_allclose(s.scatter, np.cov(x.T) * 39, atol=1e-9)
 
 
+def test_a_task_decomposes_a_scaling_and_fold_once(monkeypatch):
+    rng = np.random.default_rng(4)
+    z = {k: np.hstack([np.ones((9, 1)), rng.normal(size=(9, 3))]) for k in "abc"}
+    grams = {k: v.T @ v for k, v in z.items()}
+    crosses = [{k: np.vstack([v.T @ y, (y * y).sum(0)]) for k, v in z.items() for y in [rng.normal(size=(9, 2))]} for _ in range(4)]
+    folds = [ridge.Fold(("a", "b"), ("a", "b"), ("c",), ("c",)), ridge.Fold(("b", "c"), ("b", "c"), ("a",), ("a",))]
+    scales, alphas = [np.ones(3), np.array([1.0, 0.5, 0.1])], np.array([0.1, 10.0])
+    losses = lambda factors: [ridge._cv_losses(grams, c, folds, s, alphas, g, factors) for g, s in enumerate(scales) for c in crosses]
+    once, again = ridge.Factors(), ridge.Factors()
+    kept = losses(once)
+    assert once.made == len(scales) * len(folds)
+    monkeypatch.setattr(ridge, "FACTOR_BYTES", 0)
+    np.testing.assert_array_equal(kept, losses(again))
+    assert again.made == len(scales) * len(folds) * len(crosses)
+
+
 def test_evaluation_in_blocks(spark, monkeypatch):
     """Scores, shares and blocks of many small blocks equal the long forms; what does not fit together is an error."""
     from sigframe.plans import evaluation
