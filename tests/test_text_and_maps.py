@@ -113,6 +113,32 @@ def test_silhouette_brute_force(spark, tiles):
         assert got[i] == pytest.approx((b - a) / max(a, b))
 
 
+def test_silhouette_holds_a_strip_of_small_tiles(spark, monkeypatch):
+    """However few tiles are asked for, a task holds so many rows and distances only; copies of an item and single ones count right."""
+    seen = []
+    for held in ("TILE_ROWS", "DISTANCES"):
+        monkeypatch.setattr(words, held, 20)
+    kind = type(spark.range(1))
+    real = kind.groupBy
+    monkeypatch.setattr(kind, "groupBy", lambda df, *c: (seen.append(df) if repr(c) == repr(("a", "b")) else None, real(df, *c))[1])
+    rng = np.random.default_rng(4)
+    v, c = rng.normal(size=(150, 3)), rng.integers(0, 4, 150)
+    v[75:100] = v[:25]
+    c[149] = 9
+    df = spark.createDataFrame([(i, int(c[i]), [float(x) for x in v[i]]) for i in range(150)], "word int, cluster int, vector array<double>")
+    got = {r["word"]: r["silhouette"] for r in words.silhouette(df, tiles=1, normalise=False).collect()}
+    dist = np.linalg.norm(v[:, None] - v[None], axis=2)
+    means = np.array([[dist[i][(c == k) & (np.arange(150) != i)].mean() if k != 9 or i != 149 else np.nan for k in (0, 1, 2, 3, 9)] for i in range(150)])
+    for i in range(149):
+        k = [0, 1, 2, 3, 9].index(c[i])
+        a, b = means[i][k], np.delete(means[i], k).min()
+        assert got[i] == pytest.approx((b - a) / max(a, b), abs=1e-6)
+    assert got[149] == 0
+    sizes = [r["count"] for r in real(seen[0], "a", "b").count().collect()]
+    assert len(sizes) > 30 and max(sizes) < 80
+    assert sum(sizes) == 150 * 8  # a row goes to every tile once
+
+
 def test_density_identity_and_edges(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(6, 4))
