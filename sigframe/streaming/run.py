@@ -13,12 +13,22 @@ END = "2261-01-01 00:00:00"
 
 
 def read_files(spark: SparkSession, folder: str, pattern: str, files_per_trigger: int = 1000) -> DataFrame:
-    """A parquet file stream of the files in ``folder`` that match ``pattern``."""
-    schema = spark.read.parquet(f"{folder.rstrip('/')}/{pattern}").schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
-    )
+    """A parquet file stream of what matches ``pattern`` in ``folder``: files, or tables that are folders of part files."""
+    base = folder.rstrip("/")
+    matched = f"{base}/{pattern}"
+    schema = spark.read.parquet(matched).schema
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    # a file name filter sees the part files' own names, so folders are given as the path
+    if is_folder(spark, matched):
+        return reader.parquet(matched)
+    return reader.option("pathGlobFilter", pattern).parquet(base)
+
+
+def is_folder(spark: SparkSession, pattern: str) -> bool:
+    """Whether a path, or one that the pattern matches, is a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return any(f.isDirectory() for f in found or [])
 
 
 def replay(spark: SparkSession, folder: str, pattern: str, ts_col: str, files_per_trigger: int = 1000) -> tuple[DataFrame, Callable[[], None]]:

@@ -482,6 +482,20 @@ def test_stream_moments_are_idempotent(spark):
     np.testing.assert_allclose(s.scatter, np.cov(x.T) * 39, atol=1e-9)
 
 
+def test_streams_read_tables_that_are_folders(spark):
+    """A table may be one file or a folder of part files; other tables beside it are not read."""
+    base = shared_dir(spark)
+    spark.range(10).repartition(3).write.parquet(f"{base}/t.parquet")
+    spark.range(50, 53).write.parquet(f"{base}/u.parquet")
+    for path in (base, f"{base}/"):
+        for pattern in ("t.parquet", "t.par*"):
+            out = stream.drain(stream.read_files(spark, path, pattern))
+            assert sorted(r["id"] for r in out.collect()) == list(range(10))
+    assert stream.drain(stream.read_files(spark, base, "*.parquet")).count() == 13
+    part = next(f.rsplit("/", 1)[1] for f in spark.read.parquet(f"{base}/u.parquet").inputFiles())
+    assert 0 < stream.drain(stream.read_files(spark, f"{base}/u.parquet", part)).count() <= 3
+
+
 def test_a_task_decomposes_a_scaling_and_fold_once(monkeypatch):
     rng = np.random.default_rng(4)
     z = {k: np.hstack([np.ones((9, 1)), rng.normal(size=(9, 3))]) for k in "abc"}
