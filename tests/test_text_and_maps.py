@@ -1,6 +1,7 @@
 """Transcripts, words, predictions, regions and confounds on small fixtures."""
 
 import json
+import re
 
 import numpy as np
 import pytest
@@ -50,6 +51,41 @@ def test_word_spans_and_tokens(spark):
     assert [r["word"] for r in transcripts.words_of(df, ["doc"]).orderBy("pos").collect()] == text.split()
 
 
+ODD_TEXTS = ["", " ", "x", "x x", None, "\u00a0a\u2003b\u3000", "a\x1cb\x85c\u2028d\ne\r\nf\tg\x0bh", "😀 é😀x e\u0301 \u200b \ufeffz", "x\x00y \x00", "$1 \\ ^x$"]
+
+
+def test_word_spans_need_no_python_and_match_it(spark):
+    """Character spans of words as Python's white space has them, of any characters."""
+    df = spark.createDataFrame(list(enumerate(ODD_TEXTS)), "doc int, text string")
+    out = transcripts.word_spans(df, ["doc"])
+    assert "Python" not in out._jdf.queryExecution().toString()
+    got = [(r["doc"], r["pos"], r["word"], r["start"], r["end"]) for r in out.orderBy("doc", "pos").collect()]
+    assert got == [(d, k, m.group(), m.start(), m.end() - 1) for d, t in enumerate(ODD_TEXTS) for k, m in enumerate(re.finditer(r"\S+", t or ""))]
+    assert [f.dataType.simpleString() for f in out.schema][2:] == ["string", "int", "int"]
+
+
+def test_word_rows_need_no_python_and_match_numpy(spark):
+    """Starts on the straight line and gaps of text, with any starts missing, no words and no text."""
+    rng = np.random.default_rng(6)
+    docs, want = [], {}
+    for d, text in enumerate(ODD_TEXTS + ["a, b; c - d e f g. h"] * 30):
+        spans = [(m.start(), m.end()) for m in re.finditer(r"\S+", text or "")]
+        starts = [None if rng.uniform() < 0.5 else float(np.round(rng.normal(), 3)) if rng.uniform() < 0.9 else float("nan") for _ in spans]
+        if d % 7 == 3:
+            starts = [None] * len(starts)
+        docs.append((d, text, [("W", "w", "success", s, 1.0, a, b, None) for s, (a, b) in zip(starts, spans)]))
+        v = np.array([np.nan if s is None else s for s in starts], float)
+        at = np.flatnonzero(~np.isnan(v))
+        line = [None] * at[0] + np.interp(np.arange(at[0], len(v)), at, v[at]).tolist() if len(at) else [None] * len(v)
+        for k, (a, b) in enumerate(spans):
+            want[(d, k)] = (line[k], (text or "")[b:spans[k + 1][0] if k + 1 < len(spans) else None])
+    docs += [(1000, "text", None), (1001, None, [("W", "w", "success", 2.0, 1.0, 0, 1, None)])]
+    want[(1001, 0)] = (2.0, "")
+    out = transcripts.word_rows(spark.createDataFrame(docs, f"doc int, transcript string, words array<{transcripts.WORD}>"))
+    assert "Python" not in out._jdf.queryExecution().toString()
+    assert {(r["doc"], r["pos"]): (r["start"], r["punctuation"]) for r in out.collect()} == want
+
+
 @pytest.mark.parametrize("bidirectional", [False, True])
 @pytest.mark.parametrize("rows", [3, 100])
 def test_context_windows(spark, rows, bidirectional):
