@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sigframe.operators import confounds, predictions, regions, words
 from sigframe.session import shared_dir
 from sigframe.sources import catalog, phonemes, tables, transcripts
+from sigframe.workload import load
 
 
 def write(spark, text, name):
@@ -131,6 +132,21 @@ def test_subword_count_check(spark):
         words.words_from_subwords(toks, n_words=n.withColumn("n_words", F.lit(3))).collect()
 
 
+@pytest.mark.parametrize("name, step", [("a17_subword_sums", "words_from_subwords"), ("e4_context_vector", "context_means")])
+def test_words_carry_one_number_through_shuffles(spark, monkeypatch, name, step):
+    """Vectors are folded before they meet their words: what the shuffling step gets has no array of 64 dimensions."""
+    seen, real = [], getattr(words, step)
+    monkeypatch.setattr(words, step, lambda df, *a, **k: (seen.append(df), real(df, *a, **k))[1])
+    load()[0][name](spark, "/root/testdata/sf0.001")
+    lists = [f.name for f in seen[0].schema if f.dataType.typeName() == "array"]
+    assert all(seen[0].agg(F.max(F.size(c))).first()[0] == 1 for c in lists)
+
+
+def test_subwords_of_single_numbers(spark):
+    toks = spark.createDataFrame([("d", 0, 0, 1.0), ("d", 0, 0, 2.5), ("d", 1, 0, 4.0)], "doc string, word_pos int, layer int, vec double")
+    assert {r["word_pos"]: r["vec"] for r in words.words_from_subwords(toks).collect()} == {0: 3.5, 1: 4.0}
+
+
 @pytest.mark.parametrize("tiles", [1, 3])
 def test_silhouette_brute_force(spark, tiles):
     rng = np.random.default_rng(1)
