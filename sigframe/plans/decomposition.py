@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from sigframe.plans.gram import MAX_DRIVER_BYTES, collect_gram, gram
+from sigframe.session import arrow_rows, written
 
 
 @dataclass(frozen=True)
@@ -103,14 +104,16 @@ def fit_and_reduce(df: DataFrame, *, threshold: float = 0.95, n_components: int
     """Reduced rows and the model; one summing pass serves the search and the final fit.
 
     Where a p x p matrix would take more than ``limit`` bytes (``gram.MAX_DRIVER_BYTES``), :func:`sigframe.plans.subspace.fit_wide` finds
-    the components without one.
+    the components without one, and the reduced rows are stored in the shared folder.
     """
     first = df.select(F.size(x_col).alias("p")).first()
     if first and 8 * (first["p"] + 1) ** 2 > (MAX_DRIVER_BYTES if limit is None else limit):
-        from sigframe.plans.subspace import fit_wide
+        from sigframe.plans.subspace import ROW_BYTES, fit_wide
 
         model = fit_wide(df, n_components=n_components, threshold=threshold, x_col=x_col)
-        return project(df, model, x_col), model
+        # wide rows reach Python few at a time, which only counts for what is stored here
+        with arrow_rows(df.sparkSession, ROW_BYTES // (8 * first["p"])):
+            return written(project(df, model, x_col), "reduced"), model
     model = method(moments(df, x_col), n_components, threshold)
     return project(df, model, x_col), model
 

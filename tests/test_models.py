@@ -1,5 +1,8 @@
 """Ridge, kernels, decompositions, inference and streams against NumPy."""
 
+import os
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -596,6 +599,31 @@ def test_wide_components(spark):
     np.testing.assert_allclose(np.abs(z), np.abs((x - x.mean(0)) @ v[:5].T), atol=1e-6)
 
 
+def test_wide_rows_are_projected_few_at_a_time(spark, monkeypatch):
+    from sigframe.plans import subspace
+
+    monkeypatch.setattr(subspace, "ROW_BYTES", 8 * 30 * 4)  # four rows of thirty features
+    folder = shared_dir(spark)
+    os.makedirs(folder)
+
+    def told(df, source, name, model, fn):
+        def watched(x, m):
+            open(f"{folder}/{os.getpid()}-{len(x)}-{time.time_ns()}", "w").close()
+            return fn(x, m)
+        return real(df, source, name, model, watched)
+
+    real = decomposition._map_rows
+    monkeypatch.setattr(decomposition, "_map_rows", told)
+    x = np.random.default_rng(9).normal(size=(50, 30))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "i int, x array<double>").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    reduced, _ = decomposition.fit_and_reduce(df, n_components=30, limit=0)
+    z = np.array([r.z for r in reduced.orderBy("i").collect()])
+    np.testing.assert_allclose((z * z).sum(axis=1), ((x - x.mean(0)) ** 2).sum(axis=1), rtol=1e-9)
+    assert max(int(f.split("-")[1]) for f in os.listdir(folder)) == 4
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 # -- kernels: groups and refinement ----------------------------------------------------------------------------------
 
 def test_group_kernels_equal_the_primal_group_model(spark):
