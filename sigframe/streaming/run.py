@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from sigframe.session import shared_dir
 
@@ -12,6 +15,31 @@ from sigframe.session import shared_dir
 END = "2261-01-01 00:00:00"
 
 
+@dataclass(frozen=True)
+class PerBatch:
+    """A stream and what completes the rows that come out of each micro-batch.
+
+    ``step`` gets these rows, the batch id and a folder where it may keep tables under that id, and returns rows of ``schema``. A repeated
+    batch overwrites its own folders, so retries do not count twice.
+    """
+
+    rows: DataFrame
+    schema: StructType
+    step: Callable[[DataFrame, int, str], DataFrame]
+
+    @property
+    def sparkSession(self) -> SparkSession:
+        return self.rows.sparkSession
+
+    def start(self, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
+        """Start the stream; results are a folder for each batch in ``path``/out."""
+        def keep(batch: DataFrame, batch_id: int) -> None:
+            self.step(batch, batch_id, f"{path}/kept").write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
+
+        writer = self.rows.writeStream.outputMode(mode).foreachBatch(keep)
+        return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def read_files(spark: SparkSession, folder: str, pattern: str, files_per_trigger: int = 1000) -> DataFrame:
     """A parquet file stream of what matches ``pattern`` in ``folder``: files, or tables that are folders of part files."""
     base = folder.rstrip("/")
@@ -44,7 +72,7 @@ def replay(spark: SparkSession, folder: str, pattern: str, ts_col: str, files_pe
     return files.unionAll(spark.readStream.schema(files.schema).parquet(last)), lambda: row.write.mode("append").parquet(last)
 
 
-def drain(df: DataFrame, mode: str = "append", finish: Callable[[], None] | None = None, allow_late: bool = False) -> DataFrame:
+def drain(df: DataFrame | PerBatch, mode: str = "append", finish: Callable[[], None] | None = None, allow_late: bool = False) -> DataFrame:
     """Process all available input into a parquet table in the shared folder and read it.
 
     With ``finish``, of ``replay``, the stream is ended and the result complete. Rows that come later than the stream allows
@@ -55,11 +83,16 @@ def drain(df: DataFrame, mode: str = "append", finish: Callable[[], None] | None
     # progress of all batches is kept, not of the last hundred, or late rows of earlier ones would go uncounted
     spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", str(1 << 20))
 
-    def run() -> int:
-        q = (
+    def start() -> StreamingQuery:
+        if isinstance(df, PerBatch):
+            return df.start(base, f"{base}/checkpoint", mode)
+        return (
             df.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out")
             .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
         )
+
+    def run() -> int:
+        q = start()
         q.awaitTermination()
         return sum(int(s.numRowsDroppedByWatermark) for p in q.recentProgress for s in p.stateOperators)
 
@@ -69,4 +102,4 @@ def drain(df: DataFrame, mode: str = "append", finish: Callable[[], None] | None
         late += run()
     if late and not allow_late:
         raise ValueError(f"{late} rows or partial groups came later than the stream allows; allow more time or pass allow_late")
-    return spark.read.schema(df.schema).parquet(f"{base}/out")
+    return spark.read.schema(df.schema).parquet(f"{base}/out").select(*df.schema.names)

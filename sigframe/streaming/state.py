@@ -2,56 +2,68 @@
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from sigframe.functions.arrays import vector_sum
+from sigframe.operators.windows import delay
 from sigframe.plans.decomposition import State
 from sigframe.plans.gram import collect_gram, gram
+from sigframe.streaming.run import PerBatch
 
 
 def lagged(df: DataFrame, delays: Sequence[int], *, late: str, key: str = "run", order_col: str = "ts", value_col: str = "value",
-           carry: Sequence[str] = ()) -> DataFrame:
-    """Earlier values of each run, 0 before its start, in the order of the event time ``order_col``.
+           carry: Sequence[str] = (), bucket: str = "10 minutes") -> PerBatch:
+    """Earlier values of each run, 0 before its start, in the order of the event time ``order_col``, then of ``carry``.
 
     A row waits in the state until rows before it can no longer come (``late``), so lags do not depend on how rows fall into
-    batches. The state of a run holds the rows that wait and the last max(delay) values.
+    batches. The state has an entry for each ``bucket`` of a run, which a task must be able to hold; a bucket comes out whole when
+    the watermark has passed it. The rows that come out of a batch are numbered from the counts of their buckets and lagged in segments
+    of positions, after the last max(delay) values of the batches before. NULL values stay NULL in lags; a row without a time is dropped.
     """
-    depth = max(delays)
-    fields = df.select(key, order_col, value_col, *carry).schema
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    out_cols = [f.name for f in fields]
-    schema = ddl + "".join(f", {value_col}_d{d} double" for d in delays)
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        past, held = state.get if state.exists else ([], None)
-        parts = [p for p in [*([pickle.loads(held)] if held else []), *batches] if len(p)]
-        if not parts:
-            return
-        rows = pd.concat(parts, ignore_index=True)
-        border = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
-        ready = rows[order_col] <= border
-        done, wait = rows[ready].sort_values([order_col, *carry], kind="stable"), rows[~ready]
-        if len(done):
-            values = np.concatenate([np.zeros(depth - len(past)), past, done[value_col].to_numpy(float)])
-            done = done[out_cols].reset_index(drop=True)
-            for d in delays:
-                done[f"{value_col}_d{d}"] = values[depth - d: len(values) - d]
-            past = [float(v) for v in values[-depth:]]
-        state.update((list(past), pickle.dumps(wait[out_cols].reset_index(drop=True)) if len(wait) else None))
-        if len(wait):
-            state.setTimeoutTimestamp(max(int(wait[order_col].min().timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
-        if len(done):
-            yield done
-
-    rows = df.select(*out_cols).withWatermark(order_col, late)
-    return rows.groupBy(key).applyInPandasWithState(
-        step, schema, "past array<double>, held binary", "append", GroupStateTimeout.EventTimeTimeout)
+    if min(delays) < 0:
+        raise ValueError(f"a stream has no later values: delays {list(delays)}")
+    spark, depth = df.sparkSession, max(delays)
+    fields = list(dict.fromkeys([order_col, *carry, value_col]))
+    out_cols = [key, order_col, value_col, *carry]
+    names = [f"{value_col}_d{d}" for d in delays]
+    schema = T.StructType([*df.select(*out_cols).schema, *[T.StructField(n, T.DoubleType()) for n in names]])
+    tail = T.StructType([df.schema[key], T.StructField("_t", T.LongType()), df.schema[value_col]])
+
+    buckets = df.select(*out_cols).withWatermark(order_col, late).groupBy(key, F.window(order_col, bucket).alias("_window"))
+    rows = buckets.agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_rows")).select(
+        key, F.col("_window.start").alias("_bucket"), F.posexplode("_rows").alias("_pos", "_row")).select(key, "_bucket", "_pos", "_row.*")
+
+    def step(batch: DataFrame, batch_id: int, folder: str) -> DataFrame:
+        # stored, because every use of the batch itself would run the state again
+        batch.write.mode("overwrite").parquet(f"{folder}/ready/batch={batch_id}")
+        ready = spark.read.schema(batch.schema).parquet(f"{folder}/ready/batch={batch_id}")
+        past = ready.limit(0).select(key, F.lit(0).cast("long").alias("_t"), value_col)
+        if batch_id:
+            past = spark.read.schema(tail).parquet(f"{folder}/tail/batch={batch_id - 1}")
+        kept = f"{folder}/tail/batch={batch_id}"
+        if ready.isEmpty():
+            past.write.mode("overwrite").parquet(kept)
+            return ready.select(*out_cols, *[F.lit(None).cast("double").alias(n) for n in names])
+
+        # positions from 0 in each batch; the values kept from earlier ones stand at -1, -2 and so on
+        counts = ready.groupBy(F.col(key).alias("_key"), F.col("_bucket").alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+        earlier = Window.partitionBy("_key").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+        starts = counts.select("_key", "_of", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+        placed = ready.join(starts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_bucket") == F.col("_of")))
+        placed = placed.select(*out_cols, (F.col("_start") + F.col("_pos")).alias("_t"))
+        placed = placed.unionByName(past, allowMissingColumns=True)
+
+        totals = counts.groupBy("_key").agg(F.sum("_n").alias("_total"))
+        total = F.coalesce(F.col("_total"), F.lit(0))
+        last = placed.join(totals, F.col(key).eqNullSafe(F.col("_key")), "left").where(F.col("_t") >= total - depth)
+        last.select(key, (F.col("_t") - total).alias("_t"), value_col).write.mode("overwrite").parquet(kept)
+
+        out = delay(placed, delays, [value_col], partition_cols=[key], order_col="_t").where(F.col("_t") >= 0)
+        return out.select(*out_cols, *[F.col(n).cast("double").alias(n) for n in names])
+
+    return PerBatch(rows, schema, step)
 
 
 def write_moments(df: DataFrame, path: str, checkpoint: str, *, x_col: str = "x"):

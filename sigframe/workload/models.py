@@ -483,8 +483,8 @@ def st4_segments(spark, d):
 @query("st5_lagged", f"WITH {_STREAM} SELECT run, event_id, value, coalesce(lag(value, 1) OVER w, 0) AS value_d1, coalesce(lag(value, 3) OVER w, 0) AS value_d3 FROM e WINDOW w AS (PARTITION BY run ORDER BY us)")
 def st5_lagged(spark, d):
     events, finish = event_stream(spark, d)
-    out = stream.drain(state.lagged(events, [1, 3], late="10 minutes", carry=["event_id"]), finish=finish)
-    return out.select("run", "event_id", "value", "value_d1", "value_d3")
+    out = stream.drain(state.lagged(events, [1, 3], late="10 minutes", carry=["event_id"], bucket="1 hour"), finish=finish)
+    return out.select("run", "event_id", "value", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("value_d1", "value_d3")])
 
 
 @query("st7_grid_lags", f"""WITH {_STREAM}, g AS (SELECT run, us // 3600000000 AS h, sum(value) AS value FROM e GROUP BY 1, 2)

@@ -411,6 +411,76 @@ def test_lags_do_not_depend_on_batches(spark, files_per_trigger):
         assert d1 == (first + t - 1 if t >= 1 else 0) and d5 == (first + t - 5 if t >= 5 else 0)
 
 
+def test_a_run_waits_in_an_entry_for_each_bucket(spark):
+    """Lags of a run reach over pauses and over buckets with fewer rows than the longest lag."""
+    base = shared_dir(spark)
+    s, finish = stream.replay(spark, event_files(spark), "*.parquet", "ts", 3)
+    some = s.where("run is null or unix_seconds(ts) % 7 < 2 or unix_seconds(ts) % 20 < 6")
+    lags = state.lagged(some, [1, 5], late="1 hour", bucket="2 seconds")
+    entries = []
+    for end in (finish, None):
+        q = lags.start(base, f"{base}/checkpoint")
+        q.awaitTermination()
+        entries += [o.numRowsTotal for p in q.recentProgress for o in p.stateOperators]
+        if end:
+            end()
+    there = {run: [i for i in range(n) if (1_000_000_000 + i) % 7 < 2 or i % 20 < 6] for run, n in (("a", 40), ("b", 10))}
+    assert max(entries) == sum(len({i // 2 for i in at}) for at in there.values()) + 1  # the row that ends the replay
+    plan = lags.rows._jdf.queryExecution().analyzed().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+    got = {(r["run"], r["t"]): (r["value_d1"], r["value_d5"]) for r in spark.read.parquet(f"{base}/out").withColumn("t", F.unix_seconds("ts") - 1_000_000_000).collect()}
+    value = lambda run, k: (0 if run == "a" else 100) + there[run][k] if k >= 0 else 0
+    assert got == {(run, t): (value(run, k - 1), value(run, k - 5)) for run, at in there.items() for k, t in enumerate(at)}
+
+
+def test_lags_of_odd_rows(spark):
+    """Rows without run are a run, equal times go by the carried column, missing values stay, and a row without time is dropped."""
+    base = shared_dir(spark)
+    rows = [("a", 5, 1, None), ("a", 5, 0, 1.0), ("a", 9, 2, float("nan")), ("a", 7200, 3, 4.0), (None, 5, 4, 2.0), (None, 7200, 5, 3.0), ("a", None, 6, 9.0)]
+    df = spark.createDataFrame(rows, "run string, s int, id int, value double").select("run", F.timestamp_seconds("s").alias("ts"), "id", "value")
+    df.coalesce(1).write.parquet(f"{base}/in")
+    s, finish = stream.replay(spark, f"{base}/in", "*.parquet", "ts")
+    out = stream.drain(state.lagged(s, [0, 1, 2], late="0 seconds", carry=["id"]), finish=finish)
+    assert out.columns == ["run", "ts", "value", "id", "value_d0", "value_d1", "value_d2"]
+    got = {r["id"]: (str(r["value_d0"]), str(r["value_d1"]), str(r["value_d2"])) for r in out.collect()}
+    assert got == {0: ("1.0", "0.0", "0.0"), 1: ("None", "1.0", "0.0"), 2: ("nan", "None", "1.0"), 3: ("4.0", "nan", "None"),
+                   4: ("2.0", "0.0", "0.0"), 5: ("3.0", "2.0", "0.0")}
+    with pytest.raises(ValueError, match="later values"):
+        state.lagged(s, [-1, 1], late="0 seconds")
+
+
+def test_a_repeated_batch_of_lags_does_not_count_twice(spark):
+    base = shared_dir(spark)
+    s, _ = stream.replay(spark, event_files(spark), "*.parquet", "ts")
+    lags = state.lagged(s, [1, 2], late="1 hour")
+    batch = lambda lo, hi: spark.range(lo, hi).select(
+        F.lit("a").alias("run"), F.timestamp_seconds(F.floor(F.col("id") / 2)).alias("_bucket"), (F.col("id") % 2).cast("int").alias("_pos"),
+        F.timestamp_seconds("id").alias("ts"), F.col("id").cast("double").alias("value"))
+    got = []
+    for batch_id, (lo, hi) in enumerate([(0, 4), (4, 4), (4, 6), (6, 8)]):
+        for _again in range(2):
+            out = lags.step(batch(lo, hi), batch_id, base).orderBy("ts").collect()
+        got += [(r["value"], r["value_d1"], r["value_d2"]) for r in out]
+    assert got == [(float(i), float(max(i - 1, 0)), float(max(i - 2, 0))) for i in range(8)]
+
+
+def test_query_of_lags_agrees_with_its_sql_where_values_are_missing(spark):
+    import duckdb
+
+    from sigframe.workload import load
+
+    base = shared_dir(spark)
+    rows = [(i, 1_000_000_000 + 1000 * i, "a", None if i % 3 == 1 else float(i)) for i in range(20)]
+    events = spark.createDataFrame(rows, "event_id long, s int, event_type string, value double")
+    events = events.withColumn("ts", F.timestamp_seconds("s").cast("timestamp_ntz")).drop("s")
+    events.coalesce(1).write.parquet(f"{base}/events.parquet")
+    made, sql = (x["st5_lagged"] for x in load()[:2])
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{base}/events.parquet/*.parquet'")
+    want = {tuple(r) for r in con.execute(sql).fetchall()}
+    assert {tuple(r) for r in made(spark, base).collect()} == want and len(want) == 20
+
+
 @pytest.mark.parametrize("files_per_trigger", [1, 3, 1000])
 def test_windows_are_complete_for_any_batches(spark, files_per_trigger):
     s, finish = stream.replay(spark, event_files(spark), "*.parquet", "ts", files_per_trigger)
